@@ -1,0 +1,23 @@
+"""Oracle SQL per registered query key (see ``revlens.oracle`` for conventions)."""
+
+from __future__ import annotations
+
+from revlens.oracle import STAGING_CTES, q
+
+ORACLE_SQL: dict[str, str] = {}
+
+_MONEY_COLS = {
+    "stg_invoices": ["amount"], "stg_payments": ["amount"], "stg_marketing_spend": ["spend"],
+}
+
+for _name, _ in STAGING_CTES.items():
+    money = _MONEY_COLS.get(_name, [])
+    sel = "*" if not money else "* REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in money) + ")"
+    ORACLE_SQL[_name] = q(f"SELECT {sel} FROM {_name}")
+
+ORACLE_SQL["fct_revenue_monthly"] = q("""
+    SELECT revenue_month, account_id, CAST(mrr AS DOUBLE) AS mrr, CAST(arr AS DOUBLE) AS arr,
+           CAST(prior_month_mrr AS DOUBLE) AS prior_month_mrr, CAST(revenue_change AS DOUBLE) AS revenue_change,
+           revenue_type, CAST(new_mrr AS DOUBLE) AS new_mrr, CAST(expansion_mrr AS DOUBLE) AS expansion_mrr,
+           CAST(contraction_mrr AS DOUBLE) AS contraction_mrr, CAST(churned_mrr AS DOUBLE) AS churned_mrr, nrr
+    FROM fct_revenue_monthly""")

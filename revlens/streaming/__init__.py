@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The modelled workload is bounded batch only (full reloads of raw tables and full
+rebuilds of the marts); it has no event-time windows, watermarks or state. The batch
+plans in ``revlens.plans`` therefore cover it completely.
+"""
