@@ -40,7 +40,7 @@ def exact_ratio(num: Column, den: Column) -> Column:
 
 def exact_avg(value: Column) -> Column:
     """Average over non-null values: exact sum, then one division (order independent)."""
-    return F.sum(value).cast("double") / F.count(value).cast("double")
+    return F.sum(value).cast("double") / nullif_zero(F.count(value)).cast("double")
 
 
 def round_to(value: Column, scale: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.oracle import STAGING_CTES, q
+from revlens.oracle import DIM_DATE_SQL, STAGING_CTES, money_select, q
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -15,9 +15,28 @@ for _name, _ in STAGING_CTES.items():
     sel = "*" if not money else "* REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in money) + ")"
     ORACLE_SQL[_name] = q(f"SELECT {sel} FROM {_name}")
 
-ORACLE_SQL["fct_revenue_monthly"] = q("""
-    SELECT revenue_month, account_id, CAST(mrr AS DOUBLE) AS mrr, CAST(arr AS DOUBLE) AS arr,
-           CAST(prior_month_mrr AS DOUBLE) AS prior_month_mrr, CAST(revenue_change AS DOUBLE) AS revenue_change,
-           revenue_type, CAST(new_mrr AS DOUBLE) AS new_mrr, CAST(expansion_mrr AS DOUBLE) AS expansion_mrr,
-           CAST(contraction_mrr AS DOUBLE) AS contraction_mrr, CAST(churned_mrr AS DOUBLE) AS churned_mrr, nrr
-    FROM fct_revenue_monthly""")
+REVENUE_MONEY = ["mrr", "arr", "prior_month_mrr", "revenue_change", "new_mrr", "expansion_mrr",
+                 "contraction_mrr", "churned_mrr"]
+MART_MONEY = {
+    "dim_account": [],
+    "fct_revenue_monthly": REVENUE_MONEY,
+    "fct_pipeline": [],
+    "fct_activation": [],
+    "fct_retention": ["cohort_revenue"],
+    "fct_support": [],
+    "fct_cac_ltv": ["total_spend", "total_revenue"],
+    "fct_anomalies": ["metric_value", "prev_month_value"],
+}
+for _name, _money in MART_MONEY.items():
+    ORACLE_SQL[_name] = q(money_select(_name, _money))
+
+# The calendar spans the years of the business activity found in the tables.
+CALENDAR_DAYS = """
+    calendar_days AS (
+        SELECT d FROM generate_series(
+            (SELECT CAST(date_trunc('year', min(o_orderdate)) AS TIMESTAMP) FROM orders),
+            (SELECT CAST(date_trunc('year', max(l_shipdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS TIMESTAMP)
+             FROM lineitem),
+            INTERVAL 1 DAY) t(d))
+"""
+ORACLE_SQL["dim_date"] = "WITH " + CALENDAR_DAYS.strip() + "\n" + DIM_DATE_SQL
