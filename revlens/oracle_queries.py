@@ -17,15 +17,18 @@ for _name, _ in STAGING_CTES.items():
 
 REVENUE_MONEY = ["mrr", "arr", "prior_month_mrr", "revenue_change", "new_mrr", "expansion_mrr",
                  "contraction_mrr", "churned_mrr"]
+# Exact-decimal columns of each mart (turned into DOUBLE at the result edge).
 MART_MONEY = {
     "dim_account": [],
     "fct_revenue_monthly": REVENUE_MONEY,
-    "fct_pipeline": [],
-    "fct_activation": [],
-    "fct_retention": ["cohort_revenue"],
-    "fct_support": [],
-    "fct_cac_ltv": ["total_spend", "total_revenue"],
-    "fct_anomalies": ["metric_value", "prev_month_value"],
+    "fct_pipeline": ["win_rate"],
+    "fct_activation": ["activation_rate", "median_days_to_activate"],
+    "fct_retention": ["cohort_revenue", "retention_rate", "churn_rate"],
+    "fct_support": ["sla_breach_rate", "avg_resolution_hours", "median_resolution_hours",
+                    "tickets_per_100_accounts"],
+    "fct_cac_ltv": ["total_spend", "total_revenue", "cac", "rough_ltv", "roas", "ltv_cac_ratio",
+                    "cac_payback_months"],
+    "fct_anomalies": ["metric_value", "prev_month_value", "pct_change"],
 }
 for _name, _money in MART_MONEY.items():
     ORACLE_SQL[_name] = q(money_select(_name, _money))
@@ -40,3 +43,8 @@ CALENDAR_DAYS = """
             INTERVAL 1 DAY) t(d))
 """
 ORACLE_SQL["dim_date"] = "WITH " + CALENDAR_DAYS.strip() + "\n" + DIM_DATE_SQL
+
+from revlens.oracle import DASH_SQL  # noqa: E402
+
+for _name, _sql in DASH_SQL.items():
+    ORACLE_SQL[_name] = q(_sql)

@@ -39,3 +39,36 @@ def activity_bounds(t: TestdataRaw):
 def dim_date_query(spark, sf_dir):
     """The day calendar (dim_date) spanning the activity years of the tables."""
     return calendar_from_bounds(activity_bounds(TestdataRaw(spark, sf_dir)))
+
+
+# -- dashboards ---------------------------------------------------------------------------
+from revlens.config import Filters  # noqa: E402
+from revlens.plans import dashboard as B  # noqa: E402
+
+query("dash_filter_options")(B.dash_filter_options)
+query("dash_kpis")(lambda wh: B.dash_kpis(wh))
+query("dash_mrr_trend")(lambda wh: B.dash_mrr_trend(wh))
+query("dash_segment_revenue")(lambda wh: B.dash_segment_revenue(wh))
+query("dash_win_rate")(B.dash_win_rate)
+query("dash_sales_cycle")(B.dash_sales_cycle)
+query("dash_deal_value")(B.dash_deal_value)
+query("dash_cohort_heatmap")(lambda wh: B.dash_cohort_heatmap(wh))
+query("dash_activation_vs_retention")(lambda wh: B.dash_activation_vs_retention(wh))
+query("dash_churn_by_cohort")(lambda wh: B.dash_churn_by_cohort(wh))
+query("dash_support_summary")(lambda wh: B.dash_support_summary(wh))
+query("dash_tickets_by_segment")(lambda wh: B.dash_tickets_by_segment(wh))
+query("dash_sla_by_region")(lambda wh: B.dash_sla_by_region(wh))
+query("dash_recent_anomalies")(lambda wh: B.dash_recent_anomalies(wh))
+query("dash_anomaly_type_counts")(lambda wh: B.dash_anomaly_type_counts(wh))
+query("dash_anomaly_severity_counts")(lambda wh: B.dash_anomaly_severity_counts(wh))
+query("dash_metric_trend")(lambda wh: B.dash_metric_trend(wh))
+
+# Filtered variants (sample selections of the sidebar filters).
+FILTERED = {
+    "dash_filtered_mrr_trend": (B.dash_mrr_trend, Filters(segment="Enterprise", region="EUROPE")),
+    "dash_filtered_kpis": (B.dash_kpis, Filters(segment="Mid-Market", channel="Referral")),
+    "dash_filtered_tickets_by_segment": (B.dash_tickets_by_segment, Filters(region="ASIA")),
+    "dash_filtered_sla_by_region": (B.dash_sla_by_region, Filters(segment="SMB", channel="LinkedIn")),
+}
+for _key, (_fn, _filters) in FILTERED.items():
+    query(_key)(lambda wh, _fn=_fn, _filters=_filters: _fn(wh, _filters))
