@@ -48,3 +48,12 @@ from revlens.oracle import DASH_SQL  # noqa: E402
 
 for _name, _sql in DASH_SQL.items():
     ORACLE_SQL[_name] = q(_sql)
+
+from revlens.oracle import DQ_SINGULAR_SQL, dq_summary_sql, dq_violations_sql  # noqa: E402
+from revlens.plans.quality import RULES  # noqa: E402  (the declarative rule table is data)
+
+ORACLE_SQL["dq_generic_summary"] = q(dq_summary_sql(RULES))
+for _kind in ("unique", "not_null", "accepted_values", "relationships"):
+    ORACLE_SQL[f"dq_{_kind}"] = q(dq_violations_sql(RULES, _kind))
+for _name, _sql in DQ_SINGULAR_SQL.items():
+    ORACLE_SQL[_name] = q(_sql)

@@ -72,3 +72,15 @@ FILTERED = {
 }
 for _key, (_fn, _filters) in FILTERED.items():
     query(_key)(lambda wh, _fn=_fn, _filters=_filters: _fn(wh, _filters))
+
+
+# -- data quality ---------------------------------------------------------------------------
+from revlens.plans import quality as Q  # noqa: E402
+
+query("dq_generic_summary")(Q.run_checks)
+query("dq_unique")(lambda wh: Q.violations(wh, "unique"))
+query("dq_not_null")(lambda wh: Q.violations(wh, "not_null"))
+query("dq_accepted_values")(lambda wh: Q.violations(wh, "accepted_values"))
+query("dq_relationships")(lambda wh: Q.violations(wh, "relationships"))
+query("dq_non_negative_amounts")(Q.non_negative_amounts)
+query("dq_valid_subscription_dates")(Q.valid_subscription_dates)
