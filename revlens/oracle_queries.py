@@ -57,3 +57,18 @@ for _kind in ("unique", "not_null", "accepted_values", "relationships"):
     ORACLE_SQL[f"dq_{_kind}"] = q(dq_violations_sql(RULES, _kind))
 for _name, _sql in DQ_SINGULAR_SQL.items():
     ORACLE_SQL[_name] = q(_sql)
+
+from revlens.oracle import RAW_CTES as _RAW  # noqa: E402
+
+ORACLE_SQL["src_csv_roundtrip"] = q("SELECT * FROM stg_support_tickets")
+_raw_names = [n for n in _RAW if n.startswith("raw_")]
+_counts = "\nUNION ALL\n".join(f"SELECT '{n}' AS \"table\", CAST(count(*) AS BIGINT) AS \"rows\" FROM {n}" for n in _raw_names)
+ORACLE_SQL["load_row_counts"] = q(f"""
+    SELECT * FROM ({_counts}) c
+    UNION ALL
+    SELECT 'total', CAST(sum("rows") AS BIGINT) FROM ({_counts}) c2""")
+
+from revlens.oracle import OP_SQL  # noqa: E402
+
+for _name, _sql in OP_SQL.items():
+    ORACLE_SQL[_name] = q(_sql)

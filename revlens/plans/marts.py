@@ -23,7 +23,7 @@ from revlens.functions.columns import (
 from revlens.operators.median import exact_median
 from revlens.operators.reshape import unpivot_metrics
 from revlens.operators.spine import calendar, month_spine
-from revlens.operators.windows import pct_change
+from revlens.operators.windows import lag_lead, pct_change
 from revlens.plans.model import Warehouse, mart
 from revlens.sources.values import CLOSED_STAGES
 
@@ -58,20 +58,10 @@ def paid_invoices(wh: Warehouse) -> DataFrame:
     return wh.ref("stg_invoices").where(F.col("status") == "Paid")
 
 
-@mart("fct_revenue_monthly")
-def fct_revenue_monthly(wh: Warehouse) -> DataFrame:
-    """Account x month revenue movements.
-
-    Plan: subscription months come from a ``Generate`` (no calendar join). Instead of
-    ``left join invoices on (account, month)`` followed by ``group by (account, month)``,
-    both inputs are unioned and aggregated once (a co-group): per account-month
-    ``n_sub`` subscription rows and ``paid`` invoice total give ``mrr = n_sub * paid``,
-    exactly the join's fan-out sum. Partial aggregation runs before the only big
-    exchange; the lag/lead window then re-partitions the aggregated rows by account,
-    and each window partition holds at most the calendar's months.
-    """
+def subscription_months(wh: Warehouse) -> DataFrame:
+    """One row per subscription and month it was active (start month .. end or horizon)."""
     h = wh.horizon
-    subs = wh.ref("stg_subscriptions").select("account_id", "start_date", "end_date")
+    subs = wh.ref("stg_subscriptions").select("account_id", "subscription_id", "start_date", "end_date")
     months = month_spine(
         subs,
         month_start(F.col("start_date")),
@@ -79,7 +69,19 @@ def fct_revenue_monthly(wh: Warehouse) -> DataFrame:
         h,
         name="revenue_month",
     )
-    sub_rows = months.select(
+    return months.select("account_id", "subscription_id", "revenue_month", "end_date")
+
+
+def monthly_revenue(wh: Warehouse) -> DataFrame:
+    """Per account-month: paid invoice total (x overlapping subscriptions) and end date.
+
+    Instead of ``left join invoices on (account, month, status)`` followed by a group by,
+    both inputs are unioned and aggregated once (a co-group): ``n_sub`` subscription
+    rows and ``paid`` invoice total give ``mrr = n_sub * paid``, exactly the join's
+    fan-out sum; ``max(end_date)`` ignores nulls as before. Partial aggregation runs
+    before the only exchange.
+    """
+    sub_rows = subscription_months(wh).select(
         "account_id", "revenue_month", F.lit(1).alias("n_sub"), "end_date",
         F.lit(None).cast("decimal(18,2)").alias("amount"),
     )
@@ -87,7 +89,7 @@ def fct_revenue_monthly(wh: Warehouse) -> DataFrame:
         "account_id", month_start(F.col("invoice_date")).alias("revenue_month"), F.lit(0).alias("n_sub"),
         F.lit(None).cast("date").alias("end_date"), "amount",
     )
-    monthly = (
+    return (
         sub_rows.unionByName(inv_rows)
         .groupBy("account_id", "revenue_month")
         .agg(
@@ -97,15 +99,33 @@ def fct_revenue_monthly(wh: Warehouse) -> DataFrame:
         )
         .where(F.col("n_sub") > 0)
         .select(
-            "account_id", "revenue_month", "subscription_end_date",
+            "account_id", "revenue_month",
             F.coalesce(F.col("paid") * F.col("n_sub"), F.lit(0)).cast(MONEY).alias("mrr"),
+            "subscription_end_date",
         )
     )
-    w = Window.partitionBy("account_id").orderBy("revenue_month")
-    lagged = monthly.withColumn("prev_mrr", F.lag("mrr").over(w)).withColumn("next_mrr", F.lead("mrr").over(w))
+
+
+def revenue_with_lag(wh: Warehouse) -> DataFrame:
+    """Previous and next month's mrr per account (zero months included).
+
+    The window re-partitions the aggregated account-months by account; each window
+    partition holds at most the calendar's months, whatever the skew of the raw rows.
+    """
+    return lag_lead(monthly_revenue(wh), "mrr", ["account_id"], "revenue_month", prev="prev_mrr", nxt="next_mrr")
+
+
+@mart("fct_revenue_monthly")
+def fct_revenue_monthly(wh: Warehouse) -> DataFrame:
+    """Account x month revenue movements (new, expansion, contraction, churned, maintained).
+
+    Classification runs after the window and the final filter after the
+    classification, so zero months still serve as previous/next rows.
+    """
+    lagged = revenue_with_lag(wh)
     mrr, prev = F.col("mrr"), F.col("prev_mrr")
     typed = lagged.select(
-        "revenue_month", "account_id", "mrr", prev.alias("_prev"),
+        "revenue_month", "account_id", "mrr",
         F.coalesce(prev, F.lit(0)).cast(MONEY).alias("prior_month_mrr"),
         revenue_change(mrr, prev).cast(MONEY).alias("revenue_change"),
         classify_movement(mrr, prev, F.col("next_mrr"), F.col("subscription_end_date")).alias("revenue_type"),
@@ -158,12 +178,11 @@ def _dim_attrs(wh: Warehouse, *cols: str) -> DataFrame:
     return wh.ref("dim_account").select(F.col("account_id").alias("_dim_account"), *cols)
 
 
-@mart("fct_activation")
-def fct_activation(wh: Warehouse) -> DataFrame:
-    """Per account: users, activated users, activation rate, median days to activate.
+def user_activation(wh: Warehouse) -> DataFrame:
+    """Per user: account, creation time and first activation time (null if none).
 
-    Activation events are reduced to one row per user before the join (partial
-    aggregation), the per-user regrouping reuses the join's partitioning on user_id.
+    Activation events are reduced to one row per user before the left join (partial
+    aggregation); the per-user regrouping reuses the join's partitioning on user_id.
     """
     users = wh.ref("stg_users").select("user_id", "account_id", F.col("created_at").alias("user_created_at"))
     first_activation = (
@@ -172,11 +191,18 @@ def fct_activation(wh: Warehouse) -> DataFrame:
         .groupBy(F.col("user_id").alias("_event_user"))
         .agg(F.min("event_timestamp").alias("activation_timestamp"))
     )
-    ua = (
+    return (
         users.join(first_activation, users["user_id"] == first_activation["_event_user"], "left")
         .groupBy("user_id", "account_id", "user_created_at")
         .agg(F.min("activation_timestamp").alias("activation_timestamp"))
-        .withColumn("_days", elapsed_days(F.col("activation_timestamp"), F.col("user_created_at")))
+    )
+
+
+@mart("fct_activation")
+def fct_activation(wh: Warehouse) -> DataFrame:
+    """Per account: users, activated users, activation rate, median days to activate."""
+    ua = user_activation(wh).withColumn(
+        "_days", elapsed_days(F.col("activation_timestamp"), F.col("user_created_at"))
     )
     metrics = ua.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("total_users"),
@@ -192,14 +218,17 @@ def fct_activation(wh: Warehouse) -> DataFrame:
     )
 
 
-@mart("fct_retention")
-def fct_retention(wh: Warehouse) -> DataFrame:
-    """Cohort month x 30-day bucket: active accounts, revenue, retention and churn rates.
+def account_cohorts(wh: Warehouse) -> DataFrame:
+    return wh.ref("stg_accounts").select("account_id", month_start(F.col("created_at")).alias("cohort_month"))
+
 
-    Two-level aggregation (account-month, then cohort-bucket) replaces count-distinct;
-    the cohort-size side is bounded by the number of cohort months.
+def cohort_retention(wh: Warehouse) -> DataFrame:
+    """Cohort month x 30-day bucket: distinct active accounts and paid revenue.
+
+    Two-level aggregation (cohort-bucket-account, then cohort-bucket) replaces
+    count-distinct; both levels aggregate partially before their shuffle.
     """
-    cohorts = wh.ref("stg_accounts").select("account_id", month_start(F.col("created_at")).alias("cohort_month"))
+    cohorts = account_cohorts(wh)
     inv = paid_invoices(wh).select(F.col("account_id").alias("_inv_account"), "invoice_date", "amount")
     activity = (
         cohorts.join(inv, cohorts["account_id"] == inv["_inv_account"])
@@ -208,10 +237,20 @@ def fct_retention(wh: Warehouse) -> DataFrame:
         .groupBy("cohort_month", "months_since_cohort", "account_id")
         .agg(F.sum("amount").alias("revenue"))
     )
-    retention = activity.groupBy("cohort_month", "months_since_cohort").agg(
+    return activity.groupBy("cohort_month", "months_since_cohort").agg(
         F.count(F.lit(1)).alias("active_accounts"),
         F.sum("revenue").alias("cohort_revenue"),
     )
+
+
+@mart("fct_retention")
+def fct_retention(wh: Warehouse) -> DataFrame:
+    """Retention and churn rates per cohort month and 30-day bucket.
+
+    The cohort-size side has one row per cohort month (bounded by the calendar).
+    """
+    cohorts = account_cohorts(wh)
+    retention = cohort_retention(wh)
     sizes = cohorts.groupBy(F.col("cohort_month").alias("_size_month")).agg(F.count(F.lit(1)).alias("cohort_size"))
     j = retention.join(sizes, retention["cohort_month"] == sizes["_size_month"])
     rate = safe_rate(F.col("active_accounts"), F.col("cohort_size"), 3)
@@ -250,39 +289,60 @@ def fct_support(wh: Warehouse) -> DataFrame:
     )
 
 
-@mart("fct_cac_ltv")
-def fct_cac_ltv(wh: Warehouse) -> DataFrame:
-    """Per marketing channel: spend, paid invoices, revenue, CAC, rough LTV, ROAS.
-
-    ``accounts_acquired`` counts account x paid-invoice rows (i.e. paid invoices), as
-    the modelled query does. Invoices are reduced per account before the join with
-    accounts; both channel-level sides are bounded by the number of channels.
-    """
-    spend = wh.ref("stg_marketing_spend").groupBy("channel").agg(
+def channel_spend(wh: Warehouse) -> DataFrame:
+    return wh.ref("stg_marketing_spend").groupBy("channel").agg(
         F.sum("spend").alias("total_spend"), F.sum("leads_generated").alias("total_leads")
     )
+
+
+def channel_attribution(wh: Warehouse) -> DataFrame:
+    """Per acquisition channel: paid invoices of its accounts and their revenue.
+
+    Invoices are reduced per account before the join with accounts (the outer join
+    of the modelled query is inner because of its filter on the invoice side).
+    """
     per_account = paid_invoices(wh).groupBy(F.col("account_id").alias("_inv_account")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_rev")
     )
     a = wh.ref("stg_accounts").select("account_id", "acquisition_channel")
-    attribution = (
+    return (
         a.join(per_account, a["account_id"] == per_account["_inv_account"])
         .groupBy("acquisition_channel")
-        .agg(F.sum("_n").alias("_acquired"), F.sum("_rev").alias("_revenue"))
+        .agg(F.sum("_n").alias("accounts_acquired"), F.sum("_rev").alias("total_revenue"))
     )
+
+
+def channel_spend_attribution(wh: Warehouse) -> DataFrame:
+    """Channel spend left-joined with attribution; the attribution side has one row per
+    acquisition channel (a fixed category domain), so it is broadcast."""
+    spend = channel_spend(wh)
+    attribution = channel_attribution(wh)
     j = spend.join(F.broadcast(attribution), spend["channel"] == attribution["acquisition_channel"], "left")
-    n, rev, sp = F.col("_acquired"), F.col("_revenue"), F.col("total_spend")
+    return j.select("channel", "total_spend", "total_leads", "accounts_acquired", "total_revenue")
+
+
+@mart("fct_cac_ltv")
+def fct_cac_ltv(wh: Warehouse) -> DataFrame:
+    """Per marketing channel: spend, paid invoices, revenue, CAC, rough LTV, ROAS.
+
+    ``accounts_acquired`` counts account x paid-invoice rows (i.e. paid invoices), as
+    the modelled query does. Invoices are reduced per account before the join with
+    accounts; both channel-level sides are bounded by the number of channels.
+    """
+    j = channel_spend_attribution(wh)
+    n, rev, sp = F.col("accounts_acquired"), F.col("total_revenue"), F.col("total_spend")
     n_dec = n.cast("decimal(20,0)")
-    cac = F.when(n > 0, F.round(sp / n_dec, 2))
-    ltv = F.when(n > 0, F.round(rev / n_dec, 2))
+    cac = F.when(n > 0, F.round(sp.cast("decimal(20,2)") / n_dec, 2))
+    ltv = F.when(n > 0, F.round(rev.cast("decimal(20,2)") / n_dec, 2))
     out = j.select(
         "channel", "total_spend", "total_leads",
         F.coalesce(n, F.lit(0)).alias("accounts_acquired"),
         F.coalesce(rev, F.lit(0)).cast(MONEY).alias("total_revenue"),
         cac.alias("cac"),
         ltv.alias("rough_ltv"),
-        F.when(sp > 0, F.round(rev / sp, 2)).alias("roas"),
-        F.when((n > 0) & (sp > 0), F.round(rev / sp, 1)).alias("ltv_cac_ratio"),
+        F.when(sp > 0, F.round(rev.cast("decimal(20,2)") / sp.cast("decimal(20,2)"), 2)).alias("roas"),
+        F.when((n > 0) & (sp > 0), F.round(rev.cast("decimal(20,2)") / sp.cast("decimal(20,2)"), 1))
+        .alias("ltv_cac_ratio"),
     )
     c, l = F.col("cac"), F.col("rough_ltv")
     return out.withColumn(
@@ -290,12 +350,10 @@ def fct_cac_ltv(wh: Warehouse) -> DataFrame:
     )
 
 
-@mart("fct_anomalies")
-def fct_anomalies(wh: Warehouse) -> DataFrame:
-    """Monthly totals of three revenue metrics with month-over-month change > 10%.
+def monthly_metrics(wh: Warehouse) -> DataFrame:
+    """Long form (month, metric name, value) of three monthly revenue totals.
 
-    One aggregation by month feeds a one-pass unpivot; the lag window is keyed by the
-    metric name and holds one row per month.
+    One aggregation by month feeds a one-pass unpivot (not one scan per metric).
     """
     r = wh.ref("fct_revenue_monthly")
     monthly = r.groupBy(F.col("revenue_month").alias("metric_month")).agg(
@@ -305,7 +363,20 @@ def fct_anomalies(wh: Warehouse) -> DataFrame:
         monthly, ["metric_month"],
         {"MRR": F.col("_mrr"), "Churned MRR": F.col("_churned"), "New MRR": F.col("_new")},
     )
-    changes = pct_change(long, "metric_value", ["metric_name"], "metric_month", prev="prev_month_value")
+    return long
+
+
+def metric_changes(wh: Warehouse) -> DataFrame:
+    """Previous month's value and the rounded percent change per metric (lag computed once).
+
+    The window is keyed by metric name; each partition holds one row per month."""
+    return pct_change(monthly_metrics(wh), "metric_value", ["metric_name"], "metric_month", prev="prev_month_value")
+
+
+@mart("fct_anomalies")
+def fct_anomalies(wh: Warehouse) -> DataFrame:
+    """Months whose metric changed by more than 10% against the previous month."""
+    changes = metric_changes(wh)
     pct = F.col("pct_change")
     return changes.where(F.abs(F.coalesce(pct, F.lit(0))) > 10).select(
         "metric_month", "metric_name", "metric_value", "prev_month_value", "pct_change",

@@ -84,3 +84,38 @@ query("dq_accepted_values")(lambda wh: Q.violations(wh, "accepted_values"))
 query("dq_relationships")(lambda wh: Q.violations(wh, "relationships"))
 query("dq_non_negative_amounts")(Q.non_negative_amounts)
 query("dq_valid_subscription_dates")(Q.valid_subscription_dates)
+
+
+# -- sources and sinks ----------------------------------------------------------------------
+from revlens.plans.staging import stage  # noqa: E402
+from revlens.session import scratch_dir  # noqa: E402
+from revlens.sources.files import load_report, read_csv, text_dates, write_table  # noqa: E402
+
+
+@raw_query("src_csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """Support tickets exported as headered CSV, read back with an explicit schema, staged.
+
+    Exercises the CSV sink (overwrite), the typed CSV source and the staging casts of
+    booleans, doubles and microsecond timestamps. The export lands in a fresh folder
+    below the shared checkpoint directory.
+    """
+    raw = TestdataRaw(spark, sf_dir).raw_support_tickets()
+    path = scratch_dir(spark, "csv-roundtrip")
+    write_table(raw, path, fmt="csv")
+    back = read_csv(spark, path, text_dates(raw.schema))
+    return stage("stg_support_tickets", back)
+
+
+@raw_query("load_row_counts")
+def load_row_counts(spark, sf_dir):
+    """Rows per raw table and in total (the load report)."""
+    raw = TestdataRaw(spark, sf_dir).all()
+    return load_report({name: raw[name] for name in raw})
+
+
+# -- building blocks ------------------------------------------------------------------------
+from revlens.plans.building_blocks import OPERATOR_QUERIES  # noqa: E402
+
+for _key, _fn in OPERATOR_QUERIES.items():
+    query(_key)(_fn)
