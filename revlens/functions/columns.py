@@ -43,6 +43,15 @@ def exact_avg(value: Column) -> Column:
     return F.sum(value).cast("double") / nullif_zero(F.count(value)).cast("double")
 
 
+def avg_of_doubles(value: Column, scale: int = 10) -> Column:
+    """Mean of a double column, rounded to ``scale`` decimals.
+
+    A sum of doubles depends on the (distributed) summation order in its last bits;
+    rounding makes the result reproducible. ``+ 0.0`` turns a negative zero positive.
+    """
+    return F.round(F.avg(value), scale) + F.lit(0.0)
+
+
 def round_to(value: Column, scale: int) -> Column:
     """Half-up rounding of a double through its shortest decimal form (like ``::numeric``)."""
     return F.round(value.cast("decimal(38,10)"), scale)

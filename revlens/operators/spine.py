@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from revlens.config import Horizon
 from revlens.functions.columns import day_of_week_sunday0, padded_name
 
-_DAY = F.expr("INTERVAL 1 DAY")
-_MONTH = F.expr("INTERVAL 1 MONTH")
+
+
+def _interval(unit: str) -> Column:
+    return F.expr(f"INTERVAL 1 {unit}")
 
 
 def calendar_columns(d: Column) -> list[Column]:
@@ -38,7 +40,7 @@ def calendar_columns(d: Column) -> list[Column]:
 
 def calendar_from_bounds(bounds: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """One row per day between the two date columns of a one-row ``bounds`` frame."""
-    days = bounds.select(F.explode(F.sequence(F.col(start), F.col(end), _DAY)).alias("d"))
+    days = bounds.select(F.explode(F.sequence(F.col(start), F.col(end), _interval("DAY"))).alias("d"))
     return days.select(*calendar_columns(F.col("d")))
 
 
@@ -57,5 +59,5 @@ def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, na
     """
     lo = F.greatest(first, F.lit(horizon.first_month))
     hi = F.least(last, F.lit(horizon.end))
-    months = F.when(lo <= hi, F.sequence(lo, hi, _MONTH))
+    months = F.when(lo <= hi, F.sequence(lo, hi, _interval("MONTH")))
     return df.select("*", F.explode(months).alias(name))

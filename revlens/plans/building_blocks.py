@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revlens.config import Filters
 from revlens.functions.columns import (
+    avg_of_doubles,
     bucket30,
     elapsed_days,
     exact_avg,
@@ -171,7 +172,7 @@ def op_filtered_agg(wh: Warehouse) -> DataFrame:
 def op_null_as_zero_avg(wh: Warehouse) -> DataFrame:
     r = wh.ref("fct_revenue_monthly")
     return r.groupBy("revenue_month").agg(
-        F.round(exact_avg(F.coalesce(F.col("nrr"), F.lit(0.0))), 10).alias("avg_nrr")
+        avg_of_doubles(F.coalesce(F.col("nrr"), F.lit(0.0))).alias("avg_nrr")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.config import NO_FILTERS, Filters
-from revlens.functions.columns import conjunction, exact_avg
+from revlens.functions.columns import avg_of_doubles, conjunction, exact_avg
 from revlens.operators.reshape import cohort_pivot
 from revlens.plans.model import Warehouse
 from revlens.sources.values import CLOSED_STAGES
@@ -71,7 +71,7 @@ def dash_kpis(wh: Warehouse, filters: Filters = NO_FILTERS) -> DataFrame:
     current = _with_dim(r, wh, filters).agg(
         F.sum("mrr").alias("current_mrr"),
         F.sum("arr").alias("current_arr"),
-        F.round(exact_avg(F.coalesce(F.col("nrr"), F.lit(0.0))), 10).alias("avg_nrr"),
+        avg_of_doubles(F.coalesce(F.col("nrr"), F.lit(0.0))).alias("avg_nrr"),
         F.sum("churned_mrr").alias("churned_mrr"),
         F.countDistinct("account_id").alias("active_accounts"),
     )
