@@ -8,6 +8,7 @@ decimals into doubles only at the edge (see ``revlens.plans.catalog.as_result``)
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +58,18 @@ def round_to(value: Column, scale: int) -> Column:
     return F.round(value.cast("decimal(38,10)"), scale)
 
 
+def money_sum(value: Column | str) -> Column:
+    """Exact sum of a 2-decimal money column, aggregated as long cents.
+
+    A decimal(18,2) sum has a decimal(28,2) buffer, which exceeds 18 digits and makes
+    every update allocate; summing integral cents keeps the aggregation buffer a
+    primitive long (ANSI mode turns an overflow into an error, never a wrong sum).
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    cents = (v * 100).cast("long")
+    return (F.sum(cents).cast("decimal(38,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,2)")
+
+
 def month_start(d: Column) -> Column:
     """``date_trunc('month', d)::date``."""
     return F.trunc(F.to_date(d), "MM")

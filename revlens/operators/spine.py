@@ -50,7 +50,20 @@ def calendar(spark: SparkSession, horizon: Horizon) -> DataFrame:
     return calendar_from_bounds(bounds)
 
 
-def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, name: str = "month") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over ``spark.sql.shuffle.partitions`` tasks.
+
+    Used before a generator that multiplies its input (one row -> one row per month):
+    the expansion then runs on all tasks even when the input came from few file splits.
+    No key is involved, so a hot key cannot concentrate the work; Spark sorts before a
+    round-robin repartition, which keeps retried tasks deterministic.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
+
+
+def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, name: str = "month",
+                spread_input: bool = True) -> DataFrame:
     """Expand each row to the first-of-month dates from ``first`` to ``last``.
 
     ``first``/``last`` are month starts; the result is also clipped to the calendar
@@ -60,4 +73,5 @@ def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, na
     lo = F.greatest(first, F.lit(horizon.first_month))
     hi = F.least(last, F.lit(horizon.end))
     months = F.when(lo <= hi, F.sequence(lo, hi, _interval("MONTH")))
-    return df.select("*", F.explode(months).alias(name))
+    src = spread(df) if spread_input else df
+    return src.select("*", F.explode(months).alias(name))

@@ -15,6 +15,7 @@ from revlens.functions.columns import (
     elapsed_days,
     exact_avg,
     exact_ratio,
+    money_sum,
     month_start,
     revenue_change,
     round_to,
@@ -27,7 +28,8 @@ from revlens.operators.windows import lag_lead, pct_change
 from revlens.plans.model import Warehouse, mart
 from revlens.sources.values import CLOSED_STAGES
 
-MONEY = "decimal(38,2)"
+MONEY = "decimal(38,2)"  # totals over many rows
+ROW_MONEY = "decimal(18,2)"  # one account-month: fits a long, keeps arithmetic compact
 
 
 @mart("dim_date")
@@ -94,13 +96,13 @@ def monthly_revenue(wh: Warehouse) -> DataFrame:
         .groupBy("account_id", "revenue_month")
         .agg(
             F.sum("n_sub").alias("n_sub"),
-            F.sum("amount").alias("paid"),
+            money_sum("amount").alias("paid"),
             F.max("end_date").alias("subscription_end_date"),
         )
         .where(F.col("n_sub") > 0)
         .select(
             "account_id", "revenue_month",
-            F.coalesce(F.col("paid") * F.col("n_sub"), F.lit(0)).cast(MONEY).alias("mrr"),
+            F.coalesce(F.col("paid") * F.col("n_sub"), F.lit(0)).cast(ROW_MONEY).alias("mrr"),
             "subscription_end_date",
         )
     )
@@ -126,17 +128,17 @@ def fct_revenue_monthly(wh: Warehouse) -> DataFrame:
     mrr, prev = F.col("mrr"), F.col("prev_mrr")
     typed = lagged.select(
         "revenue_month", "account_id", "mrr",
-        F.coalesce(prev, F.lit(0)).cast(MONEY).alias("prior_month_mrr"),
-        revenue_change(mrr, prev).cast(MONEY).alias("revenue_change"),
+        F.coalesce(prev, F.lit(0)).cast(ROW_MONEY).alias("prior_month_mrr"),
+        revenue_change(mrr, prev).cast(ROW_MONEY).alias("revenue_change"),
         classify_movement(mrr, prev, F.col("next_mrr"), F.col("subscription_end_date")).alias("revenue_type"),
     )
     t, change, prior = F.col("revenue_type"), F.col("revenue_change"), F.col("prior_month_mrr")
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(ROW_MONEY)
     expansion = F.when(t == "expansion", change).otherwise(zero)
     contraction = F.when(t == "contraction", change).otherwise(zero)
     return typed.where((mrr > 0) | (t == "churned")).select(
         "revenue_month", "account_id", "mrr",
-        (mrr * 12).cast(MONEY).alias("arr"),
+        (mrr * 12).cast(ROW_MONEY).alias("arr"),
         "prior_month_mrr", "revenue_change", "revenue_type",
         F.when(t == "new", mrr).otherwise(zero).alias("new_mrr"),
         expansion.alias("expansion_mrr"),
@@ -235,11 +237,11 @@ def cohort_retention(wh: Warehouse) -> DataFrame:
         .withColumn("activity_month", month_start(F.col("invoice_date")))
         .withColumn("months_since_cohort", bucket30(F.col("activity_month"), F.col("cohort_month")))
         .groupBy("cohort_month", "months_since_cohort", "account_id")
-        .agg(F.sum("amount").alias("revenue"))
+        .agg(money_sum("amount").alias("revenue"))
     )
     return activity.groupBy("cohort_month", "months_since_cohort").agg(
         F.count(F.lit(1)).alias("active_accounts"),
-        F.sum("revenue").alias("cohort_revenue"),
+        money_sum("revenue").alias("cohort_revenue"),
     )
 
 
@@ -302,13 +304,13 @@ def channel_attribution(wh: Warehouse) -> DataFrame:
     of the modelled query is inner because of its filter on the invoice side).
     """
     per_account = paid_invoices(wh).groupBy(F.col("account_id").alias("_inv_account")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_rev")
+        F.count(F.lit(1)).alias("_n"), money_sum("amount").alias("_rev")
     )
     a = wh.ref("stg_accounts").select("account_id", "acquisition_channel")
     return (
         a.join(per_account, a["account_id"] == per_account["_inv_account"])
         .groupBy("acquisition_channel")
-        .agg(F.sum("_n").alias("accounts_acquired"), F.sum("_rev").alias("total_revenue"))
+        .agg(F.sum("_n").alias("accounts_acquired"), money_sum("_rev").alias("total_revenue"))
     )
 
 
@@ -357,7 +359,7 @@ def monthly_metrics(wh: Warehouse) -> DataFrame:
     """
     r = wh.ref("fct_revenue_monthly")
     monthly = r.groupBy(F.col("revenue_month").alias("metric_month")).agg(
-        F.sum("mrr").alias("_mrr"), F.sum("churned_mrr").alias("_churned"), F.sum("new_mrr").alias("_new")
+        money_sum("mrr").alias("_mrr"), money_sum("churned_mrr").alias("_churned"), money_sum("new_mrr").alias("_new")
     )
     long = unpivot_metrics(
         monthly, ["metric_month"],

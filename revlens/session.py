@@ -30,6 +30,11 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python call-site capture for error context costs several JVM round trips per
+        # Column call while plans are built; batch jobs do not need it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Remove checkpoint files of garbage-collected references.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

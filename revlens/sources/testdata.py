@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from revlens.config import TESTDATA_HORIZON, Horizon
 from revlens.functions.columns import pick
+from revlens.operators.spine import spread
 from revlens.sources.schemas import RAW_TABLES
 from revlens.sources.values import (
     MARKETING_CHANNELS,
@@ -158,7 +159,7 @@ class TestdataRaw:
         first = F.when(F.dayofmonth(start) == 1, start).otherwise(F.add_months(F.trunc(start, "MM"), 1))
         last = F.trunc(F.coalesce(F.col("end_date"), F.lit(self.horizon.open_end)), "MM")
         months = F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
-        m = s.select("account_id", F.explode(months).alias("invoice_date"))
+        m = spread(s).select("account_id", F.explode(months).alias("invoice_date"))
         acc, mon, yr = F.col("account_id"), F.month("invoice_date"), F.year("invoice_date")
         price = pick(PLAN_PRICES, F.pmod(acc, F.lit(4))).cast("decimal(10,2)")
         surge = F.pmod(acc * 31 + mon * 17 + yr * 13, F.lit(20)) == 0
@@ -276,7 +277,11 @@ class TestdataRaw:
 
     def all(self) -> "LazyTables":
         """All nine raw shapes; each plan is built on first access only."""
-        return LazyTables({name: getattr(self, name) for name in RAW_TABLES})
+        builders = {name: getattr(self, name) for name in RAW_TABLES}
+        # Subscriptions and invoices feed other shapes: share one plan object each.
+        builders["raw_subscriptions"] = lambda: self._subscriptions
+        builders["raw_invoices"] = lambda: self._invoices
+        return LazyTables(builders)
 
 
 class LazyTables(Mapping):
