@@ -21,6 +21,7 @@ MARTS: dict[str, MartFn] = {}
 
 # Physical layout of materialized marts (month partitioning lets latest-month queries prune).
 MART_PARTITIONING: dict[str, list[str]] = {"fct_revenue_monthly": ["revenue_month"]}
+MART_CLUSTERING: dict[str, list[str]] = {"fct_revenue_monthly": ["account_id"]}
 
 
 def mart(name: str) -> Callable[[MartFn], MartFn]:
@@ -76,7 +77,8 @@ class Warehouse:
         written = {}
         for name in names:
             path = f"{base_path.rstrip('/')}/{name}"
-            write_table(self.ref(name), path, partition_by=MART_PARTITIONING.get(name))
+            write_table(self.ref(name), path, partition_by=MART_PARTITIONING.get(name),
+                        cluster_by=MART_CLUSTERING.get(name))
             self._models[name] = self.spark.read.parquet(path)
             written[name] = path
         return written

@@ -33,6 +33,9 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # Python call-site capture for error context costs several JVM round trips per
         # Column call while plans are built; batch jobs do not need it.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Keep compiled whole-stage code of many distinct plans (the default 100 entries
+        # is exhausted by one pass over the marts, forcing recompilation).
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Remove checkpoint files of garbage-collected references.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

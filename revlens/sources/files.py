@@ -58,8 +58,18 @@ def read_raw(spark: SparkSession, directory: str, names: Iterable[str] | None =
     return out
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """Replace-on-load sink: overwrite ``path`` with ``df`` (optionally partitioned)."""
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet",
+                cluster_by: list[str] | None = None) -> None:
+    """Replace-on-load sink: overwrite ``path`` with ``df`` (optionally partitioned).
+
+    With ``partition_by``, rows are first range-partitioned on the partition columns
+    (plus ``cluster_by`` as tie-breakers), so each task writes a few contiguous
+    directories instead of one small file per directory; a large directory value is
+    split over several tasks by the tie-breaker columns, so no value lands in one task.
+    """
+    if partition_by:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, *partition_by, *(cluster_by or []))
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
