@@ -1,10 +1,21 @@
 """Exact (interpolated) median per key, ``percentile_cont(0.5)`` semantics.
 
-Plan: (1) histogram ``(keys, value) -> count`` with partial aggregation, so duplicate
-values of a hot key collapse before the shuffle; (2) running count per key over the
-value order (one exchange on the keys, a spillable sort); (3) keep the at most two
-histogram rows covering the middle positions and interpolate. Nulls are ignored; a
-key without values yields no row (callers left-join, giving null).
+A hot key must not end up as one unbounded sort in one task, so the order statistic is
+found in two bounded steps instead of one running count over all values of a key:
+
+1. Histogram ``(keys, value) -> count`` with partial aggregation: duplicate values
+   (also of a hot key) collapse map-side before the shuffle.
+2. Per key: value range and total count; every distinct value falls into one of
+   ``bins`` equal-width bins of the key's range. The bin number is a monotone function
+   of the value, so bins keep the value order.
+3. Running counts over the bins of a key (a window of at most ``bins`` rows per key)
+   locate the at most two bins that hold the middle positions, and the number of values
+   before each of them.
+4. Only the values inside those bins get a running count (window per key and bin) to
+   find the middle value(s); the result interpolates them.
+
+Nulls are ignored; a key without values yields no row (callers left-join -> null).
+Joins on the keys are null-safe, so a null group key keeps its median.
 """
 
 from __future__ import annotations
@@ -14,8 +25,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.functions.columns import conjunction
+
+_UPTO_ROW = (Window.unboundedPreceding, Window.currentRow)
+
+
+def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join with null-safe key equality; the right side's keys are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                           *[c for c in right.columns if c not in keys])
+    cond = conjunction([left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
+
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: Column | str, alias: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: Column | str, alias: str = "median",
+                 bins: int = 1024) -> DataFrame:
+    keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     hist = (
         df.select(*keys, v.cast("double").alias("_v"))
@@ -23,11 +48,29 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: Column | str, alias:
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    ranked = hist.withColumn("_upto", F.sum("_c").over(running)).withColumn("_n", F.sum("_c").over(whole))
+    stats = hist.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")
+    )
+    width = F.col("_hi") - F.col("_lo")
+    bin_of = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)))
+    binned = _join_on_keys(hist, stats, keys).select(
+        *keys, "_v", "_c", "_n", F.coalesce(bin_of, F.lit(0)).cast("int").alias("_b")
+    )
     lo_pos = F.floor((F.col("_n") - 1) / 2)  # 0-based middle positions
     hi_pos = F.floor(F.col("_n") / 2)
-    covers = (F.col("_upto") - F.col("_c") <= hi_pos) & (F.col("_upto") > lo_pos)
-    mid = ranked.where(covers).groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    return mid.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias(alias))
+
+    per_bin = binned.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
+    upto = F.sum("_bc").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*_UPTO_ROW))
+    per_bin = per_bin.withColumn("_upto", upto)
+    targets = per_bin.where((F.col("_upto") - F.col("_bc") <= hi_pos) & (F.col("_upto") > lo_pos)).select(
+        *keys, "_b", (F.col("_upto") - F.col("_bc")).alias("_before")
+    )
+
+    cand = _join_on_keys(binned, targets, [*keys, "_b"])
+    upto2 = F.col("_before") + F.sum("_c").over(
+        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(*_UPTO_ROW)
+    )
+    cand = cand.withColumn("_upto2", upto2)
+    covers = (F.col("_upto2") - F.col("_c") <= hi_pos) & (F.col("_upto2") > lo_pos)
+    mid = cand.where(covers).groupBy(*keys).agg(F.min("_v").alias("_mlo"), F.max("_v").alias("_mhi"))
+    return mid.select(*keys, (F.col("_mlo") + (F.col("_mhi") - F.col("_mlo")) * F.lit(0.5)).alias(alias))

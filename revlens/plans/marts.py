@@ -227,17 +227,19 @@ def account_cohorts(wh: Warehouse) -> DataFrame:
 def cohort_retention(wh: Warehouse) -> DataFrame:
     """Cohort month x 30-day bucket: distinct active accounts and paid revenue.
 
-    Two-level aggregation (cohort-bucket-account, then cohort-bucket) replaces
-    count-distinct; both levels aggregate partially before their shuffle.
+    Paid invoices are first reduced to one row per account-month (partial aggregation,
+    so a hot account contributes at most one row per month to the join); the two-level
+    aggregation (cohort-bucket-account, then cohort-bucket) replaces count-distinct.
     """
     cohorts = account_cohorts(wh)
-    inv = paid_invoices(wh).select(F.col("account_id").alias("_inv_account"), "invoice_date", "amount")
+    monthly = paid_invoices(wh).groupBy(
+        F.col("account_id").alias("_inv_account"), month_start(F.col("invoice_date")).alias("activity_month")
+    ).agg(money_sum("amount").alias("_paid"))
     activity = (
-        cohorts.join(inv, cohorts["account_id"] == inv["_inv_account"])
-        .withColumn("activity_month", month_start(F.col("invoice_date")))
+        cohorts.join(monthly, cohorts["account_id"] == monthly["_inv_account"])
         .withColumn("months_since_cohort", bucket30(F.col("activity_month"), F.col("cohort_month")))
         .groupBy("cohort_month", "months_since_cohort", "account_id")
-        .agg(money_sum("amount").alias("revenue"))
+        .agg(money_sum("_paid").alias("revenue"))
     )
     return activity.groupBy("cohort_month", "months_since_cohort").agg(
         F.count(F.lit(1)).alias("active_accounts"),

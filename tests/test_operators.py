@@ -13,18 +13,22 @@ from revlens.operators.median import exact_median
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_exact_median_matches_numpy(spark, seed):
+@pytest.mark.parametrize("seed,bins", [(1, 1024), (2, 4), (3, 2), (4, 1)])
+def test_exact_median_matches_numpy(spark, seed, bins):
     rnd = random.Random(seed)
     data = []
     for k in range(6):
         n = rnd.randint(1, 40)
         vals = [round(rnd.uniform(0, 10), 1) if rnd.random() > 0.1 else None for _ in range(n)]
         vals += [vals[0]] * rnd.randint(0, 5)  # duplicates
-        data += [(k, v) for v in vals]
+        if k == 5:
+            vals += [1e6] * 3  # far outlier: most values share the first bin
+        data += [(k if k != 4 else None, v) for v in vals]
     df = spark.createDataFrame(data, "k int, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", bins=bins).collect()}
     for k in range(6):
+        if k == 4:
+            k = None
         vals = [v for kk, v in data if kk == k and v is not None]
         if not vals:
             assert k not in got
