@@ -70,6 +70,20 @@ class Warehouse:
                 self._models[name] = MARTS[name](self)
         return self._models[name]
 
+    def register_views(self, names: Iterable[str] | None = None, prefix: str = "") -> list[str]:
+        """Expose staging relations and marts as temporary views (for ad-hoc SQL)."""
+        import revlens.plans.marts  # noqa: F401
+
+        registered = []
+        for name in names or [*STAGING, *MARTS]:
+            self.ref(name).createOrReplaceTempView(prefix + name)
+            registered.append(prefix + name)
+        return registered
+
+    def sql(self, text: str, **args) -> DataFrame:
+        """Ad-hoc query over the registered views; values are bound (``:name``), not pasted."""
+        return self.spark.sql(text, args=args or None)
+
     def materialize(self, base_path: str, names: Iterable[str]) -> dict[str, str]:
         """Write marts (in the given dependency order) and read them back."""
         from revlens.sources.files import write_table
