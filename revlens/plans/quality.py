@@ -116,6 +116,23 @@ def run_checks(wh: Warehouse, rules=RULES, severity: str = "warn") -> DataFrame:
     return _status(summary, severity)
 
 
+class QualityError(RuntimeError):
+    """Raised by ``enforce`` when a rule of blocking severity has failures."""
+
+
+def enforce(summary: DataFrame, fail_on: str = "error") -> list[dict]:
+    """Collect the (one row per rule) summary; raise if a rule with status ``fail_on`` failed.
+
+    With the default ``warn`` severity nothing blocks: failures are returned for reporting.
+    """
+    rows = [r.asDict() for r in summary.collect()]  # bounded: one row per rule
+    blocking = [r for r in rows if r["status"] == fail_on and r["failures"] > 0]
+    if blocking:
+        names = ", ".join(f"{r['model']}.{r['column']}:{r['rule']}={r['failures']}" for r in blocking)
+        raise QualityError(f"{len(blocking)} blocking quality rule(s) failed: {names}")
+    return rows
+
+
 def violations(wh: Warehouse, kind: str, rules=RULES) -> DataFrame:
     """Violating values of all rules of one kind, ``(model, column, value, rows)``."""
     frames = []

@@ -74,3 +74,14 @@ def test_typed_csv_read_and_missing_file(spark):
     assert st["T2"]["resolution_hours"] == 9.0
     rep = {r["table"]: r["rows"] for r in load_report(raw).collect()}
     assert rep == {"raw_support_tickets": 2, "total": 2}
+
+
+def test_severity_warn_reports_and_error_blocks(spark):
+    import pytest
+
+    wh = damaged(spark)
+    rules = [r for r in Q.RULES if r[0] == "stg_accounts"]
+    rows = Q.enforce(Q.run_checks(wh, rules))  # warn: reported, not raised
+    assert any(r["status"] == "warn" for r in rows)
+    with pytest.raises(Q.QualityError):
+        Q.enforce(Q.run_checks(wh, rules, severity="error"))
