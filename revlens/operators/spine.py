@@ -51,15 +51,16 @@ def calendar(spark: SparkSession, horizon: Horizon) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over ``spark.sql.shuffle.partitions`` tasks.
+    """Round-robin the rows over one task per core of the cluster.
 
     Used before a generator that multiplies its input (one row -> one row per month):
-    the expansion then runs on all tasks even when the input came from few file splits.
-    No key is involved, so a hot key cannot concentrate the work; Spark sorts before a
-    round-robin repartition, which keeps retried tasks deterministic.
+    the expansion then runs on every core even when the input came from few file splits.
+    The task count follows the cores (``defaultParallelism``), not the data size, since
+    an explicit repartition is not coalesced later. No key is involved, so a hot key
+    cannot concentrate the work; Spark sorts before a round-robin repartition, which
+    keeps retried tasks deterministic.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, name: str = "month",
