@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,15 @@ def cohort_pivot(df: DataFrame, row: str, column: str, value: Column, max_column
     """
     kept = df.where(F.col(column) <= max_column).select(row, column, value.alias("_cell"))
     return kept.groupBy(row).pivot(column).agg(F.first("_cell"))
+
+
+def one_row(spark: SparkSession, *aggregates: DataFrame) -> DataFrame:
+    """Side by side columns of several one-row aggregates, as one row (no join).
+
+    Each aggregate becomes one scalar subquery returning a struct of its columns, so it
+    is evaluated once; the result row selects the struct fields.
+    """
+    structs = [agg.select(F.struct(*[F.col(f"`{c}`") for c in agg.columns])).scalar().alias(f"_s{i}")
+               for i, agg in enumerate(aggregates)]
+    row = spark.range(1).select(*structs)
+    return row.select(*[F.col(f"_s{i}.`{c}`").alias(c) for i, agg in enumerate(aggregates) for c in agg.columns])

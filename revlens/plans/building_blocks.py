@@ -22,6 +22,7 @@ from revlens.functions.columns import (
 )
 from revlens.operators.median import exact_median
 from revlens.operators.quality import check_unique
+from revlens.operators.reshape import one_row
 from revlens.operators.spine import calendar_columns
 from revlens.plans import marts as M
 from revlens.plans.dashboard import filter_predicate
@@ -117,7 +118,7 @@ def op_cross_one_row(wh: Warehouse) -> DataFrame:
     a = wh.ref("stg_accounts").agg(F.count(F.lit(1)).alias("accounts"))
     d = wh.ref("stg_crm_deals").agg(F.count(F.lit(1)).alias("deals"))
     t = wh.ref("stg_support_tickets").agg(F.count(F.lit(1)).alias("tickets"))
-    return a.crossJoin(d).crossJoin(t)
+    return one_row(wh.spark, a, d, t)
 
 
 def op_function_key_join(wh: Warehouse) -> DataFrame:

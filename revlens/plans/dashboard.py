@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from revlens.config import NO_FILTERS, Filters
 from revlens.functions.columns import avg_of_doubles, conjunction, exact_avg
-from revlens.operators.reshape import cohort_pivot
+from revlens.operators.reshape import cohort_pivot, one_row
 from revlens.plans.model import Warehouse
 from revlens.sources.values import CLOSED_STAGES
 
@@ -79,7 +79,7 @@ def dash_kpis(wh: Warehouse, filters: Filters = NO_FILTERS) -> DataFrame:
         exact_avg(F.col("activation_rate")).alias("avg_activation_rate")
     )
     cac = wh.ref("fct_cac_ltv").agg(exact_avg(F.col("cac")).alias("avg_cac"))
-    row = current.crossJoin(activation).crossJoin(cac)
+    row = one_row(wh.spark, current, activation, cac)
     return row.select(
         "*",
         F.coalesce(F.col("avg_nrr") * 100, F.lit(0.0)).alias("nrr_pct"),

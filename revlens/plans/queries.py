@@ -20,6 +20,7 @@ for _name in MART_ORDER:
 # -- calendar over the years of business activity found in the tables -------------------
 from pyspark.sql import functions as F  # noqa: E402
 
+from revlens.operators.reshape import one_row  # noqa: E402
 from revlens.operators.spine import calendar_from_bounds  # noqa: E402
 from revlens.plans.catalog import raw_query  # noqa: E402
 from revlens.sources.testdata import TestdataRaw  # noqa: E402
@@ -29,7 +30,7 @@ def activity_bounds(t: TestdataRaw):
     """One row: first day of the first order year .. last day of the last ship year."""
     first = t.table("orders").agg(F.min("o_orderdate").alias("_lo"))
     last = t.table("lineitem").agg(F.max("l_shipdate").alias("_hi"))
-    return first.crossJoin(last).select(
+    return one_row(t.spark, first, last).select(
         F.trunc(F.to_date("_lo"), "YEAR").alias("start"),
         F.make_date(F.year("_hi"), F.lit(12), F.lit(31)).alias("end"),
     )

@@ -58,3 +58,23 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))" in plan
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in plan
+
+
+def test_no_nested_loops_cartesian_or_python_in_any_plan(spark):
+    import contextlib
+    import io
+
+    import __spark_entry__ as E
+
+    offenders = []
+    for key, fn in sorted(E.queries().items()):
+        if key == "src_csv_roundtrip":  # writes files while planning; covered elsewhere
+            continue
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            fn(spark, SF).explain("formatted")
+        text = buf.getvalue()
+        hits = [w for w in ("NestedLoop", "Cartesian", "PythonUDF", "EvalPython") if w in text]
+        if hits:
+            offenders.append((key, hits))
+    assert offenders == []
