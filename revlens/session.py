@@ -51,12 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster configures ``spark.checkpoint.dir`` to a shared folder; that value is
     always respected. Only a bare local/test session gets a private temporary folder.
     """
-    current = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="revlens-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, current)
+        try:
+            spark.conf.set(_CHECKPOINT_KEY, current)
+        except Exception:  # noqa: BLE001  (core conf may be read-only at runtime)
+            pass
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -62,14 +62,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 cluster_by: list[str] | None = None) -> None:
     """Replace-on-load sink: overwrite ``path`` with ``df`` (optionally partitioned).
 
-    With ``partition_by``, rows are first range-partitioned on the partition columns
-    (plus ``cluster_by`` as tie-breakers), so each task writes a few contiguous
-    directories instead of one small file per directory; a large directory value is
-    split over several tasks by the tie-breaker columns, so no value lands in one task.
+    With ``partition_by``, rows are first hash-partitioned on the partition columns plus
+    a salt of ``cluster_by`` (``pmod(hash(cluster_by), k)`` with ``k = shuffle partitions
+    / 64``): each task then holds few directory values, so it writes few files instead of
+    one per directory, and a large directory value is still split over ``k`` tasks.
+    Unlike a range partitioning this needs no sampling pass over the input plan.
     """
     if partition_by:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartitionByRange(n, *partition_by, *(cluster_by or []))
+        keys = [F.col(c) for c in partition_by]
+        k = max(1, n // 64)
+        if cluster_by and k > 1:
+            keys.append(F.pmod(F.hash(*[F.col(c) for c in cluster_by]), F.lit(k)))
+        df = df.repartition(n, *keys)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
