@@ -1,31 +1,35 @@
-"""Registered queries: staging relations, marts, dashboards, quality checks, operators."""
+"""Registered queries: staging relations, marts, dashboards, quality checks, sources,
+and the building-block operators. Every query reads the test tables under ``sf_dir``."""
 
 from __future__ import annotations
 
-from revlens.plans.catalog import query
+from pyspark.sql import functions as F
+
+from revlens.config import Filters
+from revlens.operators.reshape import one_row
+from revlens.operators.spine import calendar_from_bounds
+from revlens.plans import dashboard as B
+from revlens.plans import quality as Q
+from revlens.plans.building_blocks import OPERATOR_QUERIES
+from revlens.plans.catalog import query, raw_query
 from revlens.plans.model import MART_ORDER
-from revlens.plans.staging import STAGING
+from revlens.plans.staging import STAGING, stage
+from revlens.session import scratch_dir
+from revlens.sources.files import load_report, read_csv, text_dates, write_table
+from revlens.sources.testdata import TestdataRaw
 
 
 def _model_query(name: str) -> None:
     query(name)(lambda wh: wh.ref(name))
 
 
+# -- staging relations and marts --------------------------------------------------------
 for _name in STAGING:
     _model_query(_name)
 for _name in MART_ORDER:
     _model_query(_name)
 
 
-# -- calendar over the years of business activity found in the tables -------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from revlens.operators.reshape import one_row  # noqa: E402
-from revlens.operators.spine import calendar_from_bounds  # noqa: E402
-from revlens.plans.catalog import raw_query  # noqa: E402
-from revlens.sources.testdata import TestdataRaw  # noqa: E402
-
-
 def activity_bounds(t: TestdataRaw):
     """One row: first day of the first order year .. last day of the last ship year."""
     first = t.table("orders").agg(F.min("o_orderdate").alias("_lo"))
@@ -43,9 +47,6 @@ def dim_date_query(spark, sf_dir):
 
 
 # -- dashboards ---------------------------------------------------------------------------
-from revlens.config import Filters  # noqa: E402
-from revlens.plans import dashboard as B  # noqa: E402
-
 query("dash_filter_options")(B.dash_filter_options)
 query("dash_kpis")(lambda wh: B.dash_kpis(wh))
 query("dash_mrr_trend")(lambda wh: B.dash_mrr_trend(wh))
@@ -74,10 +75,7 @@ FILTERED = {
 for _key, (_fn, _filters) in FILTERED.items():
     query(_key)(lambda wh, _fn=_fn, _filters=_filters: _fn(wh, _filters))
 
-
 # -- data quality ---------------------------------------------------------------------------
-from revlens.plans import quality as Q  # noqa: E402
-
 query("dq_generic_summary")(Q.run_checks)
 query("dq_unique")(lambda wh: Q.violations(wh, "unique"))
 query("dq_not_null")(lambda wh: Q.violations(wh, "not_null"))
@@ -88,11 +86,6 @@ query("dq_valid_subscription_dates")(Q.valid_subscription_dates)
 
 
 # -- sources and sinks ----------------------------------------------------------------------
-from revlens.plans.staging import stage  # noqa: E402
-from revlens.session import scratch_dir  # noqa: E402
-from revlens.sources.files import load_report, read_csv, text_dates, write_table  # noqa: E402
-
-
 @raw_query("src_csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     """Support tickets exported as headered CSV, read back with an explicit schema, staged.
@@ -116,7 +109,5 @@ def load_row_counts(spark, sf_dir):
 
 
 # -- building blocks ------------------------------------------------------------------------
-from revlens.plans.building_blocks import OPERATOR_QUERIES  # noqa: E402
-
 for _key, _fn in OPERATOR_QUERIES.items():
     query(_key)(_fn)

@@ -177,3 +177,22 @@ def test_pct_change_strict_bounds(spark):
     assert mrr[d("2025-05-01")]["anomaly_type"] == "Normal"
     assert mrr[d("2025-06-01")]["anomaly_severity"] == "High Change"
     assert mrr[d("2025-06-01")]["anomaly_type"] == "Spike"
+
+
+def test_dashboard_filters_all_means_no_condition(spark):
+    from revlens.config import Filters
+    from revlens.plans import dashboard as B
+
+    wh = warehouse(
+        spark,
+        raw_accounts=[account("A1", segment="SMB", region="EMEA"), account("A2", segment="Enterprise", region="APAC")],
+        raw_subscriptions=[subscription("S1", "A1", "2025-01-01"), subscription("S2", "A2", "2025-01-01")],
+        raw_invoices=[invoice("I1", "S1", "A1", "2025-01-01", 99), invoice("I2", "S2", "A2", "2025-01-01", 2499)],
+    )
+    every = B.dash_segment_revenue(wh, Filters(segment="All", region="All", channel="All")).collect()
+    assert [(r["segment"], r["total_mrr"]) for r in every] == [("Enterprise", Decimal("2499.00")), ("SMB", Decimal("99.00"))]
+    smb = B.dash_segment_revenue(wh, Filters(segment="SMB")).collect()
+    assert [r["segment"] for r in smb] == ["SMB"]
+    assert B.dash_segment_revenue(wh, Filters(segment="SMB", region="APAC")).count() == 0
+    opts = [(r["dimension"], r["position"], r["value"]) for r in B.dash_filter_options(wh).collect()]
+    assert ("segment", 0, "All") in opts and ("segment", 1, "Enterprise") in opts and ("segment", 2, "SMB") in opts
