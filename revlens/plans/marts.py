@@ -279,7 +279,11 @@ def fct_support(wh: Warehouse) -> DataFrame:
         F.sum(hours).alias("_hours_sum"),
         F.count(hours).alias("_hours_n"),
     )
-    med = exact_median(t, ["account_id"], "resolution_hours", "_median").withColumnRenamed("account_id", "_med_account")
+    # Resolution hours carry one decimal, so the histogram already bounds the distinct
+    # values of any account: one binning level suffices.
+    med = exact_median(t, ["account_id"], "resolution_hours", "_median", levels=1).withColumnRenamed(
+        "account_id", "_med_account"
+    )
     m = tm.join(med, tm["account_id"] == med["_med_account"], "left")
     dim = _dim_attrs(wh, "segment", "region")
     avg_hours = F.col("_hours_sum") / F.when(F.col("_hours_n") > 0, F.col("_hours_n").cast("decimal(20,0)"))

@@ -13,8 +13,8 @@ from revlens.operators.median import exact_median
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("seed,bins", [(1, 1024), (2, 4), (3, 2), (4, 1)])
-def test_exact_median_matches_numpy(spark, seed, bins):
+@pytest.mark.parametrize("seed,bins,levels", [(1, 1024, 2), (2, 4, 1), (3, 2, 3), (4, 1, 2), (5, 3, 2)])
+def test_exact_median_matches_numpy(spark, seed, bins, levels):
     rnd = random.Random(seed)
     data = []
     for k in range(6):
@@ -22,10 +22,10 @@ def test_exact_median_matches_numpy(spark, seed, bins):
         vals = [round(rnd.uniform(0, 10), 1) if rnd.random() > 0.1 else None for _ in range(n)]
         vals += [vals[0]] * rnd.randint(0, 5)  # duplicates
         if k == 5:
-            vals += [1e6] * 3  # far outlier: most values share the first bin
+            vals += [1e6] * 3 + [-1e9]  # far outliers: most values share one first-level bin
         data += [(k if k != 4 else None, v) for v in vals]
     df = spark.createDataFrame(data, "k int, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", bins=bins).collect()}
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", bins=bins, levels=levels).collect()}
     for k in range(6):
         if k == 4:
             k = None
