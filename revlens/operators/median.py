@@ -5,17 +5,19 @@ found by narrowing value ranges instead of one running count over all values of
 
 1. Histogram ``(keys, value) -> count`` with partial aggregation: duplicate values
    (also of a hot key) collapse map-side before the shuffle.
-2. Per level: for each group (the key, plus the bins chosen so far) take the value range
-   of the remaining candidates and split it into ``bins`` equal-width bins. The bin
-   number is a monotone function of the value, so bins keep the value order.
-3. Running counts over the bins of a group (a window of at most ``bins`` rows) locate
-   the at most two bins that hold the middle positions, and how many values precede
-   each; only candidates in those bins go on to the next level.
-4. After ``levels`` levels, the remaining candidates get a running count (window per key
-   and bin path) to find the middle value(s); the result interpolates them.
+2. Per key: value range and count; each distinct value gets a cell among
+   ``bins ** levels`` equal-width cells of that range. The cell is a monotone function
+   of the value, so cells keep the value order; its base-``bins`` digits are the bins
+   of the successive levels (coarse to fine).
+3. Per level: running counts over the bins of a group (the key plus the coarser bins
+   chosen so far; a window of at most ``bins`` rows) locate the at most two bins that
+   hold the middle positions, and how many values precede each; only candidates in
+   those bins go on to the next level.
+4. The remaining candidates get a running count (window per key and bin path) to find
+   the middle value(s); the result interpolates them.
 
-Each extra level re-bins a target bin over its own range, so a few extreme outliers
-cannot leave almost all values of a key in one bin. Nulls are ignored; a key without
+With two levels a final cell is 1/bins² of the key's range, so a few extreme outliers
+cannot leave almost all values of a key in one cell. Nulls are ignored; a key without
 values yields no row (callers left-join -> null). Joins on the keys are null-safe, so a
 null group key keeps its median.
 """
@@ -44,42 +46,41 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: Column | str, alias:
                  bins: int = 1024, levels: int = 2) -> DataFrame:
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    cand = (
+    hist = (
         df.select(*keys, v.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    rng = hist.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    # One fine cell index over bins**levels equal-width cells of the key's range; its
+    # base-`bins` digits are the bin of each level (coarse to fine), all monotone in v.
+    cells = bins ** levels
+    width = F.col("_hi") - F.col("_lo")
+    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1)))
+    digits = [f"_b{i}" for i in range(levels)]
+    cand = _join_on_keys(hist, rng, keys).select(
+        *keys, "_v", "_c", "_n", F.coalesce(cell, F.lit(0)).cast("long").alias("_cell")
+    ).select(
+        *keys, "_v", "_c", "_n",
+        *[F.pmod(F.floor(F.col("_cell") / bins ** (levels - 1 - i)), F.lit(bins)).cast("int").alias(d)
+          for i, d in enumerate(digits)],
+    ).withColumn("_before", F.lit(0).cast("long"))
     lo_pos = F.floor((F.col("_n") - 1) / 2)  # 0-based middle positions
     hi_pos = F.floor(F.col("_n") / 2)
-    path: list[str] = []
-    for level in range(levels):
-        group = [*keys, *path]
-        aggs = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-        if level == 0:
-            aggs.append(F.sum("_c").alias("_n"))
-        rng = cand.groupBy(*group).agg(*aggs)
-        if level == 0:
-            cand = cand.withColumn("_before", F.lit(0).cast("long"))
-        width = F.col("_hi") - F.col("_lo")
-        bin_of = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)))
-        b = f"_b{level}"
-        binned = _join_on_keys(cand, rng, group).select(
-            *group, "_v", "_c", "_n", "_before", F.coalesce(bin_of, F.lit(0)).cast("int").alias(b)
-        )
-        per_bin = binned.groupBy(*group, b).agg(
+    for i, b in enumerate(digits):
+        group = [*keys, *digits[:i]]
+        per_bin = cand.groupBy(*group, b).agg(
             F.sum("_c").alias("_bc"), F.max("_before").alias("_before"), F.max("_n").alias("_n")
         )
         upto = F.col("_before") + F.sum("_bc").over(Window.partitionBy(*group).orderBy(b).rowsBetween(*_UPTO_ROW))
-        per_bin = per_bin.withColumn("_upto", upto)
-        targets = per_bin.where((F.col("_upto") - F.col("_bc") <= hi_pos) & (F.col("_upto") > lo_pos)).select(
-            *group, b, (F.col("_upto") - F.col("_bc")).alias("_before")
-        )
-        cand = _join_on_keys(binned.drop("_before"), targets, [*group, b])
-        path.append(b)
+        targets = per_bin.withColumn("_upto", upto).where(
+            (F.col("_upto") - F.col("_bc") <= hi_pos) & (F.col("_upto") > lo_pos)
+        ).select(*group, b, (F.col("_upto") - F.col("_bc")).alias("_before"))
+        cand = _join_on_keys(cand.drop("_before"), targets, [*group, b])
 
     upto2 = F.col("_before") + F.sum("_c").over(
-        Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(*_UPTO_ROW)
+        Window.partitionBy(*keys, *digits).orderBy("_v").rowsBetween(*_UPTO_ROW)
     )
     cand = cand.withColumn("_upto2", upto2)
     covers = (F.col("_upto2") - F.col("_c") <= hi_pos) & (F.col("_upto2") > lo_pos)
