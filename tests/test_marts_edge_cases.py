@@ -196,3 +196,17 @@ def test_dashboard_filters_all_means_no_condition(spark):
     assert B.dash_segment_revenue(wh, Filters(segment="SMB", region="APAC")).count() == 0
     opts = [(r["dimension"], r["position"], r["value"]) for r in B.dash_filter_options(wh).collect()]
     assert ("segment", 0, "All") in opts and ("segment", 1, "Enterprise") in opts and ("segment", 2, "SMB") in opts
+
+
+def test_invoice_before_cohort_month_gives_negative_bucket(spark):
+    from revlens.plans import dashboard as B
+
+    wh = warehouse(
+        spark,
+        raw_accounts=[account("A", created="2025-03-15 00:00:00")],
+        raw_invoices=[invoice("I0", "S", "A", "2025-01-01", 10), invoice("I1", "S", "A", "2025-03-01", 10)],
+    )
+    buckets = sorted(r["months_since_cohort"] for r in wh.ref("fct_retention").collect())
+    assert buckets == [-2, 0]  # floor(-59 / 30) = -2: kept, like the modelled query
+    heat = B.dash_cohort_heatmap(wh)
+    assert set(heat.columns) == {"cohort_month", "-2", "0"}
