@@ -61,6 +61,7 @@ def main(argv=None) -> int:
 
         if not args.out:
             p.error("build needs --out")
+        wh.load_raw(f"{args.out.rstrip('/')}/raw")
         load_report(wh.raw_tables).show(20, truncate=False)
         for name, path in wh.materialize(args.out, MART_ORDER).items():
             print(f"built {name} -> {path}")

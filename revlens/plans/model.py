@@ -84,6 +84,23 @@ class Warehouse:
         """Ad-hoc query over the registered views; values are bound (``:name``), not pasted."""
         return self.spark.sql(text, args=args or None)
 
+    def load_raw(self, base_path: str, names: Iterable[str] | None = None) -> dict[str, str]:
+        """Replace-on-load: write the raw tables (Parquet, overwrite) and read them back.
+
+        Staging views and marts built afterwards scan the loaded tables instead of
+        re-deriving each raw shape per consumer (the loader step of the pipeline).
+        """
+        from revlens.sources.files import write_table
+
+        loaded = {}
+        for name in names or list(self._raw):
+            path = f"{base_path.rstrip('/')}/{name}"
+            write_table(self._raw[name], path)
+            loaded[name] = path
+        self._raw = {**dict(self._raw.items()), **{n: self.spark.read.parquet(p) for n, p in loaded.items()}}
+        self._models = {}
+        return loaded
+
     def materialize(self, base_path: str, names: Iterable[str]) -> dict[str, str]:
         """Write marts (in the given dependency order) and read them back."""
         from revlens.sources.files import write_table

@@ -63,3 +63,14 @@ def test_materialized_marts_answer_like_the_lazy_chain(spark):
         assert sorted(a.columns) == sorted(b.columns)
         b = b.select(*a.columns)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_loaded_raw_tables_give_the_same_marts(spark):
+    from revlens.session import scratch_dir
+
+    direct = Warehouse.from_testdata(spark, SF)
+    loaded = Warehouse.from_testdata(spark, SF)
+    loaded.load_raw(scratch_dir(spark, "test-raw"))
+    for name in ("fct_retention", "fct_cac_ltv", "fct_support"):
+        a, b = direct.ref(name), loaded.ref(name)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
