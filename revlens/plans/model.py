@@ -88,13 +88,14 @@ class Warehouse:
         """Replace-on-load: write the raw tables (Parquet, overwrite) and read them back.
 
         Staging views and marts built afterwards scan the loaded tables instead of
-        re-deriving each raw shape per consumer (the loader step of the pipeline).
+        re-deriving each raw shape per consumer (the loader step of the pipeline). The
+        folder can be reopened later with ``Warehouse.from_files(..., fmt="parquet")``.
         """
-        from revlens.sources.files import write_table
+        from revlens.sources.files import raw_path, write_table
 
         loaded = {}
         for name in names or list(self._raw):
-            path = f"{base_path.rstrip('/')}/{name}"
+            path = raw_path(base_path, name, "parquet")
             write_table(self._raw[name], path)
             loaded[name] = path
         self._raw = {**dict(self._raw.items()), **{n: self.spark.read.parquet(p) for n, p in loaded.items()}}

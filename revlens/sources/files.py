@@ -39,16 +39,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def raw_path(directory: str, name: str, fmt: str) -> str:
+    """Location of raw table ``name`` in an export folder (``accounts.csv``, ``accounts.parquet``, ...)."""
+    return f"{directory.rstrip('/')}/{RAW_FILES[name].rsplit('.', 1)[0]}.{fmt}"
+
+
 def read_raw(spark: SparkSession, directory: str, names: Iterable[str] | None = None, fmt: str = "csv",
              schemas: Mapping[str, T.StructType] | None = None) -> dict[str, DataFrame]:
     """Read the raw tables found in ``directory``; a missing file is skipped with a warning."""
     schemas = schemas or RAW_SCHEMAS
     out: dict[str, DataFrame] = {}
     for name in names or RAW_FILES:
-        base = RAW_FILES[name].rsplit(".", 1)[0]
-        path = f"{directory.rstrip('/')}/{base}.{fmt}"
+        path = raw_path(directory, name, fmt)
         try:
-            df = read_csv(spark, path, schemas[name]) if fmt == "csv" else spark.read.schema(schemas[name]).parquet(path)
+            # Parquet is self-describing (typed columns); staging casts either layout.
+            df = read_csv(spark, path, schemas[name]) if fmt == "csv" else spark.read.parquet(path)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
                 raise

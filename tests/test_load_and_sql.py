@@ -74,3 +74,14 @@ def test_loaded_raw_tables_give_the_same_marts(spark):
     for name in ("fct_retention", "fct_cac_ltv", "fct_support"):
         a, b = direct.ref(name), loaded.ref(name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_loaded_parquet_folder_reopens(spark):
+    from revlens.session import scratch_dir
+
+    folder = scratch_dir(spark, "test-raw-reopen")
+    first = Warehouse.from_testdata(spark, SF)
+    first.load_raw(folder)
+    again = Warehouse.from_files(spark, folder, TESTDATA_HORIZON, fmt="parquet")
+    a, b = first.ref("fct_revenue_monthly"), again.ref("fct_revenue_monthly")
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
