@@ -16,7 +16,7 @@ import argparse
 import datetime as dt
 import sys
 
-from revlens.config import PRODUCT_HORIZON, TESTDATA_HORIZON, Filters, Horizon
+from revlens.config import PRODUCT_HORIZON, Filters, Horizon
 
 
 def _warehouse(spark, args):
