@@ -16,6 +16,16 @@ from pyspark.sql import SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def _default_driver_memory() -> str:
+    """60 % of physical memory, at most 8 GiB (local mode: the driver runs every task)."""
+    try:
+        with open("/proc/meminfo") as f:
+            kib = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1, min(8192, int(kib * 0.6 / 1024)))}m"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "revlens") -> SparkSession:
     """Local session for tests and the benchmark (UI off, AQE on, UTC)."""
     builder = (
@@ -28,7 +38,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY") or _default_driver_memory())
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Python call-site capture for error context costs several JVM round trips per
         # Column call while plans are built; batch jobs do not need it.
