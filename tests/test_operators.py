@@ -78,3 +78,21 @@ def test_no_nested_loops_cartesian_or_python_in_any_plan(spark):
         if hits:
             offenders.append((key, hits))
     assert offenders == []
+
+
+def test_hot_key_median_and_duplicates_match_brute_force(spark):
+    """One key holds a third of the rows (with a heavy tail); results stay exact."""
+    from revlens.operators.quality import check_unique
+
+    rnd = random.Random(7)
+    rows = [(0, rnd.expovariate(0.1)) for _ in range(4000)] + [(0, 1e7)]  # hot key, far outlier
+    rows += [(k % 400 + 1, rnd.uniform(0, 50)) for k in range(8000)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+    by_key = {}
+    for k, v in rows:
+        by_key.setdefault(k, []).append(v)
+    for k, vals in by_key.items():
+        assert got[k] == pytest.approx(float(np.median(vals)), rel=0, abs=1e-9)
+    dup = {r["value"]: r["rows"] for r in check_unique(df, "t", "k").collect()}
+    assert dup["0"] == 4001 and len(dup) == 401
