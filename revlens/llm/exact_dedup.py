@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import stored, text_or_empty
@@ -163,3 +163,17 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BU
         F.col("sha256").alias("text_sha256"),
         "bucket",
     )
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents without the copies of a document that stays; columns as they were."""
+    found = find_duplicates(spark, docs).filter(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    goes = stored(spark, found.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("__row")), "copies")
+    # rows that repeat both id and text have one key: one of them stays
+    keyed = docs.withColumn("__row", _row_key(F.col("doc_id").cast("long"), F.sha2(text_or_empty(), 256)))
+    once = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))).filter("__n = 1")
+    return once.join(goes, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _row_key(doc_id: Column, sha256: Column) -> Column:
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), sha256), 256))

@@ -4,28 +4,147 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import exact_dedup, packing
+from revlens.llm import (
+    exact_dedup, graph_search, language_id, licenses, mixing, near_dup, packing, suffix_dedup, url_filter, warc,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+#: The rules of the registered URL query (host, path, verdict).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judge(spark, _read(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark, _read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = near_dup.join(spark, _read(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_duplicates(spark, _read(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, _read(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.deduplicate(spark, _read(spark, sf_dir, "documents"), keep_bytes=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, _read(spark, sf_dir, "pages"), keep_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(spark, _read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_url_filter": op3_url_filter,
+    "op4_mixing": op4_mixing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_warc": op9_warc,
+    "op10_graph_search": op10_graph_search,
 }
 
 ORACLE_SQL = {
+    "op3_url_filter": """
+        WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+                 ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+             cut AS (SELECT row_number() OVER () AS n, page_id,
+                            CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+                     FROM pages),
+             u AS (SELECT n, page_id,
+                          translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+                   FROM cut),
+             fit AS (SELECT u.n, max({'n': length(r.host || r.path), 'rule': r.host || r.path, 'verdict': r.verdict}) AS best
+                     FROM u JOIN rules r
+                       ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+                     GROUP BY u.n)
+        SELECT u.page_id, u.host, u.path, fit.best.rule AS rule, coalesce(fit.best.verdict, 'allow') AS verdict
+        FROM u LEFT JOIN fit ON u.n = fit.n
+    """,
+    "op4_mixing": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   md5(coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(text, ''))) AS h
+            FROM documents),
+        s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight
+            FROM d GROUP BY source),
+        capped(round, shut) AS (  -- round by round, close the sources whose share is above their limit
+            SELECT 0, CAST([] AS VARCHAR[])
+            UNION ALL
+            SELECT round + 1, more FROM (
+                SELECT c.round, c.shut,
+                       (SELECT list(coalesce('=' || s.source, '-') ORDER BY 1) FROM s
+                        WHERE list_contains(c.shut, coalesce('=' || s.source, '-'))
+                           OR s.weight * ((SELECT 1.5 * sum(source_size) FROM s)::DOUBLE
+                                - coalesce((SELECT 2.0 * sum(z.source_size) FROM s z WHERE list_contains(c.shut, coalesce('=' || z.source, '-'))), 0)::DOUBLE)
+                              / (SELECT sum(z.weight) FROM s z WHERE NOT list_contains(c.shut, coalesce('=' || z.source, '-'))) > 2.0 * s.source_size) AS more
+                FROM capped c)
+            WHERE more IS NOT NULL AND len(more) > len(shut)),
+        fin AS (SELECT shut FROM capped ORDER BY round DESC LIMIT 1),
+        t AS (
+            SELECT s.source, s.source_size,
+                   CASE WHEN list_contains(fin.shut, coalesce('=' || s.source, '-')) THEN 2.0 * s.source_size
+                        ELSE ((SELECT 1.5 * sum(source_size) FROM s)::DOUBLE
+                              - coalesce((SELECT 2.0 * sum(z.source_size) FROM s z WHERE list_contains(fin.shut, coalesce('=' || z.source, '-'))), 0)::DOUBLE)
+                             / (SELECT sum(z.weight) FROM s z WHERE NOT list_contains(fin.shut, coalesce('=' || z.source, '-'))) * s.weight
+                   END::DOUBLE AS target
+            FROM s, fin),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+        e AS (
+            SELECT d.doc_id, d.size, d.source, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS fraction,
+                   CAST('0x' || substr(h, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS b
+            FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+        k AS (
+            SELECT source, seed, abs(sum(size * whole) + sum(CASE WHEN ((a + seed * b) % 4294967296) / 4294967296.0::DOUBLE < fraction THEN size ELSE 0 END)
+                                     - any_value(target)) AS off
+            FROM e, (SELECT unnest(range(32)) AS seed) GROUP BY source, seed),
+        best AS (SELECT source, arg_min(seed, (off, seed)) AS seed FROM k GROUP BY source)
+        SELECT e.doc_id, e.size, e.source_size, e.target,
+               CAST(e.size * (e.whole + CASE WHEN ((a + best.seed * b) % 4294967296) / 4294967296.0::DOUBLE < fraction THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM e JOIN best ON e.source IS NOT DISTINCT FROM best.source
+    """,
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
