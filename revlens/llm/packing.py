@@ -17,9 +17,11 @@ empty result. Only ``doc_id`` and ``text`` are read, other columns do not matter
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ from revlens.llm.common import stored, text_or_empty
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
+#: Rank files that hold the same vocabulary as a tokenizer file.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 #: Distinct words a task remembers before it starts afresh.
 REMEMBERED_WORDS = 300_000
 
@@ -41,6 +45,11 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 _LINE_FEED = "\n"
 
 
+#: Words of these characters are encoded from the vocabulary's rank file, which merges
+#: new words several times faster; all others, and special strings, from the JSON file.
+_RANKED = re.compile(r" [!-;=-~\u00a1-\u017f]+")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -48,12 +57,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Token ids of whole texts, encoding each distinct word once per task."""
+    """Token ids of whole texts, encoding each distinct word once while it is remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranked = _ranked(ranks) if ranks else None
         self.feed = self._plain([_LINE_FEED])[0]
         self.known: dict[str, bytes] = {}
 
@@ -62,21 +72,23 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words in long lines; the line feeds between them mark the borders."""
-        odd = [w for w in words if _LINE_FEED in w or w[:1] != " " or w[-1:].isspace() or len(w) < 2 or w[1:2].isspace()]
-        apart = set(odd)
-        even = [w for w in words if w not in apart]
-        for w, ids in zip(odd, self._plain(odd), strict=True):
+        quick = [w for w in words if _RANKED.fullmatch(w)] if self.ranked else []
+        if quick:
+            self._learn_lines(quick, lambda line: np.array(self.ranked.encode_ordinary(line), dtype="<u4"))
+            words = [w for w in words if w not in self.known]
+        for w, ids in zip(words, self._plain(words), strict=True):
             self.known[w] = ids.tobytes()
-        for i in range(0, len(even), 2000):
-            part = even[i : i + 2000]
-            ids = self._plain([_LINE_FEED.join(part)])[0]
+
+    def _learn_lines(self, words: list[str], encode) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = encode(_LINE_FEED.join(part))
             ends = np.flatnonzero(ids == self.feed[0])
-            if len(self.feed) != 1 or len(ends) != len(part) - 1:  # another pattern than expected
-                for w, own in zip(part, self._plain(part), strict=True):
-                    self.known[w] = own.tobytes()
-                continue
-            for w, a, b in zip(part, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+            if len(self.feed) != 1 or len(ends) != len(part) - 1:
+                continue  # a vocabulary with other borders; the caller takes the words one by one
+            raw, cuts = ids.tobytes(), (4 * ends).tolist()
+            for w, a, b in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                self.known[w] = raw[a:b]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -91,14 +103,29 @@ class WordEncoder:
                 yield b"".join(map(self.known.__getitem__, p))
 
 
-def cut_pieces(docs: DataFrame, capacity: int, path: str, keep_ids: bool) -> DataFrame:
+def _ranked(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
+def _encoder(path: str, ranks: str | None) -> WordEncoder:
+    """One for each worker process, so that the tasks it runs share what it has learned."""
+    return WordEncoder(path, ranks)
+
+
+def cut_pieces(docs: DataFrame, capacity: int, path: str, ranks: str | None, keep_ids: bool) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, [ids,] task, number: one row per piece.
 
     ``number`` counts the pieces of the same length in the same task.
     """
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = _encoder(path, ranks)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
@@ -186,10 +213,12 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(
-    spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = True
+    spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = True
 ) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``; ``keep_ids`` adds the token ids."""
-    pieces = stored(spark, cut_pieces(docs, capacity, path or tokenizer_path(), keep_ids), "pieces")
+    path, ranks = tokenizer_path(tokenizer), RANKS.get(tokenizer)
+    pieces = cut_pieces(docs, capacity, path, tokenizer_path(ranks) if ranks else None, keep_ids)
+    pieces = stored(spark, pieces, "pieces")
     per_task = stored(spark, pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = slots(plan_bins(histogram, capacity))

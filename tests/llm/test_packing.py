@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -78,3 +79,12 @@ def test_plan_covers_histogram():
         for k, n in combo.items():
             used[k] += n * times
     assert dict(used) == histogram
+
+
+def test_word_encoder_equals_tokenizer(tokenizer):
+    rng = random.Random(1)
+    letters = "abcXYZ019 .,'<>|_-\t\n\r éßñ¿«º²ıſĀžǅΩж中\u3000😀é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(5000)]
+    encoder = packing.WordEncoder(packing.tokenizer_path(), packing.tokenizer_path(packing.RANKS[packing.TOKENIZER]))
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
