@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import inspect
 import sys
 
 from revlens.config import PRODUCT_HORIZON, Filters, Horizon
@@ -40,7 +41,8 @@ def main(argv=None) -> int:
     src.add_argument("--raw-dir", help="folder with the nine raw exports")
     p.add_argument("--format", default="csv", choices=["csv", "parquet"])
     p.add_argument("--horizon", help="start,end,open_end dates (raw-dir only)")
-    p.add_argument("--out", help="warehouse folder for 'build'")
+    p.add_argument("--out", help="warehouse folder for 'build'; folder for the whole result of 'show'")
+    p.add_argument("--limit", type=int, default=100, help="rows that 'show' prints; it says how many it left out")
     p.add_argument("--fail-on", default="error")
     p.add_argument("--segment")
     p.add_argument("--region")
@@ -66,10 +68,10 @@ def main(argv=None) -> int:
         for name, path in wh.materialize(args.out, MART_ORDER).items():
             print(f"built {name} -> {path}")
     elif args.command == "test":
-        from revlens.plans.quality import QualityError, enforce, run_checks
+        from revlens.plans.quality import RULES, QualityError, enforce, run_checks
 
         summary = run_checks(wh)
-        summary.orderBy("model", "column", "rule").show(100, truncate=False)
+        summary.orderBy("model", "column", "rule").show(len(RULES), truncate=False)
         try:
             enforce(summary, fail_on=args.fail_on)
         except QualityError as e:
@@ -82,11 +84,22 @@ def main(argv=None) -> int:
         if fn is None or not args.name.startswith("dash_"):
             p.error("show needs a dashboard query name, e.g. dash_mrr_trend")
         flt = Filters(args.segment, args.region, args.channel)
-        try:
+        if "filters" in inspect.signature(fn).parameters:
             df = fn(wh, flt)
-        except TypeError:
+        elif flt.is_empty:
             df = fn(wh)
-        df.show(100, truncate=False)
+        else:
+            p.error(f"{args.name} takes no filters")
+        if args.out:
+            df.write.mode("overwrite").parquet(args.out)
+            print(f"{args.name} -> {args.out}")
+            return 0
+        rows = df.limit(args.limit + 1).collect()
+        print("\t".join(df.columns))
+        for row in rows[: args.limit]:
+            print("\t".join("" if v is None else str(v) for v in row))
+        if len(rows) > args.limit:
+            print(f"... {df.count() - args.limit} more rows (--limit {args.limit}; --out writes all)")
     return 0
 
 

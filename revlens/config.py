@@ -30,7 +30,8 @@ class Horizon:
 # Horizon of the modelled product (18 months of generated history).
 PRODUCT_HORIZON = Horizon(_dt.date(2024, 7, 1), _dt.date(2025, 12, 31), _dt.date(2025, 12, 1))
 
-# Horizon that fits the TPC-H-like test tables (orders span 1995-01 .. 2001-08).
+# Calendar of the TPC-H-like test tables at sf0.1; registered queries take theirs from the
+# tables they read (``TestdataRaw.horizon``).
 TESTDATA_HORIZON = Horizon(_dt.date(1995, 1, 1), _dt.date(2001, 12, 31), _dt.date(2001, 8, 1))
 
 

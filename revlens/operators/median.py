@@ -1,25 +1,19 @@
 """Exact (interpolated) median per key, ``percentile_cont(0.5)`` semantics.
 
-A hot key must not end up as one unbounded sort in one task, so the order statistic is
-found by narrowing value ranges instead of one running count over all values of a key:
-
-1. Histogram ``(keys, value) -> count`` with partial aggregation: duplicate values
-   (also of a hot key) collapse map-side before the shuffle.
-2. Per key: value range and count; each distinct value gets a cell among
-   ``bins ** levels`` equal-width cells of that range. The cell is a monotone function
-   of the value, so cells keep the value order; its base-``bins`` digits are the bins
-   of the successive levels (coarse to fine).
-3. Per level: running counts over the bins of a group (the key plus the coarser bins
-   chosen so far; a window of at most ``bins`` rows) locate the at most two bins that
-   hold the middle positions, and how many values precede each; only candidates in
-   those bins go on to the next level.
-4. The remaining candidates get a running count (window per key and bin path) to find
-   the middle value(s); the result interpolates them.
-
-With two levels a final cell is 1/bins² of the key's range, so a few extreme outliers
-cannot leave almost all values of a key in one cell. Nulls are ignored; a key without
-values yields no row (callers left-join -> null). Joins on the keys are null-safe, so a
-null group key keeps its median.
+The values are first counted per (key, value), so duplicates (also of a hot key) fold
+before the shuffle, and the histogram is written once to the shared scratch folder.
+
+* Keys with up to ``IN_TASK`` distinct values: running counts over the key's values, in
+  one window.
+* Other keys: a value's 64-bit pattern, read so that it orders like the value, is split
+  into four 16-bit digits. Running counts over the at most 65,536 digits that follow the
+  digits chosen so far find those of the middle positions; only their values go on to
+  the next digit. After the last one a cell holds a single value, so no distribution of
+  the values can bring more rows together.
+
+Nulls are ignored; a key without values yields no row (callers left-join -> null). A
+null key keeps its median. The histogram and the rounds are written when the function
+is called; the returned frame reads them.
 """
 
 from __future__ import annotations
@@ -30,59 +24,79 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import conjunction
+from revlens.session import scratch_dir
 
+IN_TASK = 100_000
+DIGITS = 4
+DIGIT_BITS = 16
 _UPTO_ROW = (Window.unboundedPreceding, Window.currentRow)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join with null-safe key equality; the right side's keys are dropped."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = conjunction([left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
 
 
+def _middle(lo_rank: Column, count: Column, total: Column) -> Column:
+    """Whether ranks ``lo_rank .. lo_rank + count - 1`` (from 0) hold a middle position."""
+    return (lo_rank <= F.floor(total / 2)) & (lo_rank + count > F.floor((total - 1) / 2))
+
+
+def ordered_bits(v: Column) -> Column:
+    """A long that orders like the double ``v``."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _by_digits(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """The middle values (one or two rows per key) of a histogram with ``_n`` per key."""
+    digits = [f"_d{i}" for i in range(DIGITS)]
+    mask = (1 << DIGIT_BITS) - 1
+    bits = F.col("_bits")
+    # the first digit keeps its sign, the others are unsigned
+    parts = [F.shiftright(bits, DIGIT_BITS * (DIGITS - 1 - i)) for i in range(DIGITS)]
+    parts = [parts[0], *[p.bitwiseAND(F.lit(mask).cast("long")) for p in parts[1:]]]
+    cand = hist.withColumn("_bits", ordered_bits(F.col("_v"))).select(
+        *keys, "_v", "_c", "_n", F.lit(0).cast("long").alias("_before"), *[p.cast("int").alias(d) for p, d in zip(parts, digits)]
+    )
+    for i, digit in enumerate(digits):
+        chosen = [*keys, *digits[:i]]
+        cells = cand.groupBy(*chosen, digit).agg(F.sum("_c").alias("_cc"), F.max("_before").alias("_b"), F.max("_n").alias("_t"))
+        upto = F.sum("_cc").over(Window.partitionBy(*chosen).orderBy(digit).rowsBetween(*_UPTO_ROW))
+        ranked = cells.withColumn("_rank", F.col("_b") + upto - F.col("_cc"))
+        targets = ranked.where(_middle(F.col("_rank"), F.col("_cc"), F.col("_t"))).select(*chosen, digit, "_rank")
+        cand = _join_on_keys(cand, targets, [*chosen, digit]).withColumn("_before", F.col("_rank")).drop("_rank")
+        cand = _stored(cand, "median-digits")
+    return cand.select(*keys, "_v")
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: Column | str, alias: str = "median",
-                 bins: int = 1024, levels: int = 2) -> DataFrame:
+                 in_task: int = IN_TASK) -> DataFrame:
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    hist = (
-        df.select(*keys, v.cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    rng = hist.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    # One fine cell index over bins**levels equal-width cells of the key's range; its
-    # base-`bins` digits are the bin of each level (coarse to fine), all monotone in v.
-    cells = bins ** levels
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1)))
-    digits = [f"_b{i}" for i in range(levels)]
-    cand = _join_on_keys(hist, rng, keys).select(
-        *keys, "_v", "_c", "_n", F.coalesce(cell, F.lit(0)).cast("long").alias("_cell")
-    ).select(
-        *keys, "_v", "_c", "_n",
-        *[F.pmod(F.floor(F.col("_cell") / bins ** (levels - 1 - i)), F.lit(bins)).cast("int").alias(d)
-          for i, d in enumerate(digits)],
-    ).withColumn("_before", F.lit(0).cast("long"))
-    lo_pos = F.floor((F.col("_n") - 1) / 2)  # 0-based middle positions
-    hi_pos = F.floor(F.col("_n") / 2)
-    for i, b in enumerate(digits):
-        group = [*keys, *digits[:i]]
-        per_bin = cand.groupBy(*group, b).agg(
-            F.sum("_c").alias("_bc"), F.max("_before").alias("_before"), F.max("_n").alias("_n")
-        )
-        upto = F.col("_before") + F.sum("_bc").over(Window.partitionBy(*group).orderBy(b).rowsBetween(*_UPTO_ROW))
-        targets = per_bin.withColumn("_upto", upto).where(
-            (F.col("_upto") - F.col("_bc") <= hi_pos) & (F.col("_upto") > lo_pos)
-        ).select(*group, b, (F.col("_upto") - F.col("_bc")).alias("_before"))
-        cand = _join_on_keys(cand.drop("_before"), targets, [*group, b])
-
-    upto2 = F.col("_before") + F.sum("_c").over(
-        Window.partitionBy(*keys, *digits).orderBy("_v").rowsBetween(*_UPTO_ROW)
-    )
-    cand = cand.withColumn("_upto2", upto2)
-    covers = (F.col("_upto2") - F.col("_c") <= hi_pos) & (F.col("_upto2") > lo_pos)
-    mid = cand.where(covers).groupBy(*keys).agg(F.min("_v").alias("_mlo"), F.max("_v").alias("_mhi"))
-    return mid.select(*keys, (F.col("_mlo") + (F.col("_mhi") - F.col("_mlo")) * F.lit(0.5)).alias(alias))
+    # + 0.0 makes a negative zero the same value as zero
+    values = df.select(*keys, (v.cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull())
+    hist = _stored(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "median-histogram")
+    sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum("_c").alias("_n"))
+    large = sizes.where(F.col("_values") > in_task).drop("_values")
+    any_large = not large.isEmpty()
+
+    own = Window.partitionBy(*keys)
+    rank = F.sum("_c").over(own.orderBy("_v").rowsBetween(*_UPTO_ROW)) - F.col("_c")
+    small = hist
+    if any_large:
+        small = _join_on_keys(hist, sizes.where(F.col("_values") <= in_task).select(*keys), keys)
+    ranked = small.withColumn("_n", F.sum("_c").over(own)).withColumn("_rank", rank)
+    middle = ranked.where(_middle(F.col("_rank"), F.col("_c"), F.col("_n"))).select(*keys, "_v")
+    if any_large:
+        middle = middle.union(_by_digits(_join_on_keys(hist, large, keys), keys))
+    pair = middle.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    return pair.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias(alias))

@@ -49,9 +49,11 @@ def check_accepted(df: DataFrame, model: str, column: str, values: Sequence[str]
 
 
 def check_relationship(child: DataFrame, model: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Child key values without a parent row (null children pass), with row counts."""
+    """Child key values without a parent row (null children pass), with row counts.
+
+    The child is counted per key before the join, so a hot key is one row there.
+    """
     keys = parent.select(F.col(parent_column).alias("_parent_key"))
-    kids = child.where(F.col(column).isNotNull())
+    kids = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     orphans = kids.join(keys, kids[column] == keys["_parent_key"], "left_anti")
-    per_key = orphans.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return _tag(per_key, model, column, F.col(column), F.col("_n"))
+    return _tag(orphans, model, column, F.col(column), F.col("_n"))

@@ -20,13 +20,15 @@ def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, Col
 
 
 def cohort_pivot(df: DataFrame, row: str, column: str, value: Column, max_column: int = 12) -> DataFrame:
-    """Matrix ``row x column`` of ``value`` for columns <= ``max_column``.
+    """Matrix ``row x column`` of ``value`` for columns 0..``max_column``.
 
-    The pivot values are the distinct column values present (like a frame pivot);
-    their number is bounded by ``max_column`` plus the negative offsets present.
+    The columns are fixed, so no pass over the data looks for them first. Cells at a
+    negative offset are counted in ``before`` (null where a row has none).
     """
-    kept = df.where(F.col(column) <= max_column).select(row, column, value.alias("_cell"))
-    return kept.groupBy(row).pivot(column).agg(F.first("_cell"))
+    kept = df.where(F.col(column) <= max_column)
+    cells = [F.max(F.when(F.col(column) == k, value)).alias(str(k)) for k in range(max_column + 1)]
+    before = F.count_if(F.col(column) < 0)
+    return kept.groupBy(row).agg(*cells, F.when(before > 0, before).alias("before"))
 
 
 def one_row(spark: SparkSession, *aggregates: DataFrame) -> DataFrame:

@@ -50,29 +50,15 @@ def calendar(spark: SparkSession, horizon: Horizon) -> DataFrame:
     return calendar_from_bounds(bounds)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over one task per core of the cluster.
-
-    Used before a generator that multiplies its input (one row -> one row per month):
-    the expansion then runs on every core even when the input came from few file splits.
-    The task count follows the cores (``defaultParallelism``), not the data size, since
-    an explicit repartition is not coalesced later. No key is involved, so a hot key
-    cannot concentrate the work; Spark sorts before a round-robin repartition, which
-    keeps retried tasks deterministic.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, name: str = "month",
-                spread_input: bool = True) -> DataFrame:
+def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, name: str = "month") -> DataFrame:
     """Expand each row to the first-of-month dates from ``first`` to ``last``.
 
     ``first``/``last`` are month starts; the result is also clipped to the calendar
     (its first month .. its last day). Rows whose range is empty produce nothing:
-    the ``when`` guard keeps ``sequence`` from ever seeing a reversed range.
+    the ``when`` guard keeps ``sequence`` from ever seeing a reversed range. The
+    generator is narrow: it runs in the tasks that read or joined the rows.
     """
     lo = F.greatest(first, F.lit(horizon.first_month))
     hi = F.least(last, F.lit(horizon.end))
     months = F.when(lo <= hi, F.sequence(lo, hi, _interval("MONTH")))
-    src = spread(df) if spread_input else df
-    return src.select("*", F.explode(months).alias(name))
+    return df.select("*", F.explode(months).alias(name))

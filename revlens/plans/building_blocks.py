@@ -27,7 +27,7 @@ from revlens.operators.spine import calendar_columns
 from revlens.plans import marts as M
 from revlens.plans.dashboard import filter_predicate
 from revlens.plans.model import Warehouse
-from revlens.sources.values import CLOSED_STAGES
+from revlens.sources.values import CLOSED_STAGES, DEAL_STAGES
 
 
 def op_distinct(wh: Warehouse) -> DataFrame:
@@ -122,13 +122,10 @@ def op_cross_one_row(wh: Warehouse) -> DataFrame:
 
 
 def op_function_key_join(wh: Warehouse) -> DataFrame:
-    """Accounts joined to their cohort's bucket-1 retention on a computed month key.
-
-    The retention side has at most one row per cohort month (calendar-bounded): broadcast.
-    """
+    """Accounts joined to their cohort's bucket-1 retention on a computed month key."""
     a = wh.ref("stg_accounts").select("account_id", "created_at")
     r = wh.ref("fct_retention").where(F.col("months_since_cohort") == 1).select("cohort_month", "retention_rate")
-    j = a.join(F.broadcast(r), month_start(F.col("created_at")) == r["cohort_month"])
+    j = a.join(r, month_start(F.col("created_at")) == r["cohort_month"])
     return j.select("account_id", "cohort_month", "retention_rate")
 
 
@@ -199,9 +196,10 @@ def op_value_counts(wh: Warehouse) -> DataFrame:
 
 
 def op_pivot(wh: Warehouse) -> DataFrame:
-    """Deal counts as a segment x stage matrix (one column per stage present)."""
+    """Deal counts as a segment x stage matrix; stages outside the known ones are ``other``."""
     d = wh.ref("stg_crm_deals").where(F.col("stage").isNotNull())
-    return d.groupBy("segment").pivot("stage").agg(F.count(F.lit(1)))
+    known = F.when(F.col("stage").isin(*DEAL_STAGES), F.col("stage")).otherwise("other")
+    return d.select("segment", known.alias("stage")).groupBy("segment").pivot("stage", [*DEAL_STAGES, "other"]).agg(F.count(F.lit(1)))
 
 
 def op_duplicate_keys(wh: Warehouse) -> DataFrame:

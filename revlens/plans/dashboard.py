@@ -134,23 +134,29 @@ def dash_deal_value(wh: Warehouse) -> DataFrame:
 
 
 def dash_cohort_heatmap(wh: Warehouse, max_bucket: int = 12) -> DataFrame:
-    """Cohort x bucket retention matrix in percent (buckets <= max_bucket)."""
+    """Cohort x bucket retention matrix in percent (buckets 0..max_bucket, and the number
+    of earlier buckets in ``before``)."""
     r = wh.ref("fct_retention")
     m = cohort_pivot(r, "cohort_month", "months_since_cohort", F.col("retention_rate") * 100, max_bucket)
     return m.orderBy("cohort_month")
 
 
+def dash_metric_choices(wh: Warehouse, k: int = 50) -> DataFrame:
+    """The metrics among the recent anomalies, i.e. the choices of the metric trend."""
+    return dash_recent_anomalies(wh, k).select("metric_name").distinct().orderBy("metric_name")
+
+
 def dash_activation_vs_retention(wh: Warehouse, filters: Filters = NO_FILTERS, bucket: int = 6) -> DataFrame:
     """Per segment: mean account activation rate vs mean cohort retention at a bucket.
 
     The retention side holds one row per cohort month at that bucket, so it is bounded
-    by the number of months in the calendar and is broadcast.
+    by the number of months in the calendar.
     """
     a = _with_dim(wh.ref("fct_activation"), wh, filters)
     r = wh.ref("fct_retention").where(F.col("months_since_cohort") == bucket).select(
         "cohort_month", F.col("retention_rate").alias("_retention")
     )
-    j = a.join(F.broadcast(r), F.trunc(F.to_date("da_created_at"), "MM") == r["cohort_month"])
+    j = a.join(r, F.trunc(F.to_date("da_created_at"), "MM") == r["cohort_month"])
     return j.groupBy("segment").agg(
         exact_avg(F.col("activation_rate")).alias("avg_activation"),
         exact_avg(F.col("_retention")).alias("avg_retention"),
@@ -229,5 +235,5 @@ def dash_metric_trend(wh: Warehouse, metric: str | None = None, k: int = 50) ->
         chosen = a.where(F.col("metric_name") == F.lit(metric))
     else:
         top = dash_recent_anomalies(wh, k).limit(1).select(F.col("metric_name").alias("_chosen"))
-        chosen = a.join(F.broadcast(top), a["metric_name"] == top["_chosen"])
+        chosen = a.join(top, a["metric_name"] == top["_chosen"])
     return chosen.select("metric_month", "metric_value", "pct_change").orderBy("metric_month")

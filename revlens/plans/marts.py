@@ -87,7 +87,8 @@ def monthly_revenue(wh: Warehouse) -> DataFrame:
         "account_id", "revenue_month", F.lit(1).alias("n_sub"), "end_date",
         F.lit(None).cast("decimal(18,2)").alias("amount"),
     )
-    inv_rows = paid_invoices(wh).select(
+    # a null account never equals another one, so its invoices join no subscription
+    inv_rows = paid_invoices(wh).where(F.col("account_id").isNotNull()).select(
         "account_id", month_start(F.col("invoice_date")).alias("revenue_month"), F.lit(0).alias("n_sub"),
         F.lit(None).cast("date").alias("end_date"), "amount",
     )
@@ -154,7 +155,8 @@ def fct_pipeline(wh: Warehouse) -> DataFrame:
 
     One aggregation over the deals; the win rate is derived from the (tiny) aggregate
     with a per-segment window instead of a second scan and join. Segments without a
-    closed deal get null win columns (like the outer join they replace).
+    closed deal get null win columns (like the outer join they replace), and so does a
+    null segment, which equals no segment in that join.
     """
     d = wh.ref("stg_crm_deals")
     dm = d.groupBy("segment", "stage").agg(
@@ -168,11 +170,12 @@ def fct_pipeline(wh: Warehouse) -> DataFrame:
     closed = F.sum(F.when(F.col("stage").isin(*CLOSED_STAGES), n)).over(seg)
     won = F.sum(F.when(F.col("stage") == "Closed Won", n).otherwise(0)).over(seg)
     lost = F.sum(F.when(F.col("stage") == "Closed Lost", n).otherwise(0)).over(seg)
+    known = closed.isNotNull() & F.col("segment").isNotNull()
     return dm.select(
         "segment", "stage", "deal_count", "avg_deal_value", "total_deal_value", "avg_sales_cycle_days",
-        F.when(closed.isNotNull(), safe_rate(won, closed, 3)).alias("win_rate"),
-        F.when(closed.isNotNull(), won).alias("won_deals"),
-        F.when(closed.isNotNull(), lost).alias("lost_deals"),
+        F.when(known, safe_rate(won, closed, 3)).alias("win_rate"),
+        F.when(known, won).alias("won_deals"),
+        F.when(known, lost).alias("lost_deals"),
     )
 
 
@@ -270,7 +273,8 @@ def fct_support(wh: Warehouse) -> DataFrame:
     """Per account ticket counts, SLA breach rate, mean and median resolution hours."""
     t = wh.ref("stg_support_tickets")
     sev = F.col("severity")
-    hours = F.col("resolution_hours").cast("decimal(18,1)")
+    # exact sum of the stored values (ten decimals), rounded once at the end
+    hours = F.col("resolution_hours").cast("decimal(28,10)")
     tm = t.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("total_tickets"),
         F.count_if(sev == "Critical").alias("critical_tickets"),
@@ -279,14 +283,10 @@ def fct_support(wh: Warehouse) -> DataFrame:
         F.sum(hours).alias("_hours_sum"),
         F.count(hours).alias("_hours_n"),
     )
-    # Resolution hours carry one decimal, so the histogram already bounds the distinct
-    # values of any account: one binning level suffices.
-    med = exact_median(t, ["account_id"], "resolution_hours", "_median", levels=1).withColumnRenamed(
-        "account_id", "_med_account"
-    )
+    med = exact_median(t, ["account_id"], "resolution_hours", "_median").withColumnRenamed("account_id", "_med_account")
     m = tm.join(med, tm["account_id"] == med["_med_account"], "left")
     dim = _dim_attrs(wh, "segment", "region")
-    avg_hours = F.col("_hours_sum") / F.when(F.col("_hours_n") > 0, F.col("_hours_n").cast("decimal(20,0)"))
+    avg_hours = F.col("_hours_sum") / F.when(F.col("_hours_n") > 0, F.col("_hours_n").cast("decimal(18,0)"))
     return m.join(dim, m["account_id"] == dim["_dim_account"]).select(
         "account_id", "segment", "region", "total_tickets", "critical_tickets", "high_tickets",
         "sla_breached_tickets",
@@ -321,11 +321,10 @@ def channel_attribution(wh: Warehouse) -> DataFrame:
 
 
 def channel_spend_attribution(wh: Warehouse) -> DataFrame:
-    """Channel spend left-joined with attribution; the attribution side has one row per
-    acquisition channel (a fixed category domain), so it is broadcast."""
+    """Channel spend left-joined with attribution, both one row per channel."""
     spend = channel_spend(wh)
     attribution = channel_attribution(wh)
-    j = spend.join(F.broadcast(attribution), spend["channel"] == attribution["acquisition_channel"], "left")
+    j = spend.join(attribution, spend["channel"] == attribution["acquisition_channel"], "left")
     return j.select("channel", "total_spend", "total_leads", "accounts_acquired", "total_revenue")
 
 

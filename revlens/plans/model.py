@@ -3,8 +3,8 @@
 ``Warehouse.ref(name)`` plays the role of a model reference: it builds (once) the
 DataFrame of a staging relation or mart from its dependencies. Everything stays
 lazy, so one action compiles the whole chain into one Catalyst plan; ``materialize``
-writes chosen marts (overwrite) and swaps their references to the written tables,
-which also cuts the lineage for downstream consumers.
+writes chosen marts into new version folders and swaps their references to the written
+tables, which also cuts the lineage for downstream consumers.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.config import TESTDATA_HORIZON, Horizon
+from revlens.config import Horizon
 from revlens.plans.staging import STAGING, stage
 
+RawSource = Mapping[str, DataFrame] | Callable[[], Mapping[str, DataFrame]]
 MartFn = Callable[["Warehouse"], DataFrame]
 MARTS: dict[str, MartFn] = {}
 
 # Physical layout of materialized marts (month partitioning lets latest-month queries prune).
 MART_PARTITIONING: dict[str, list[str]] = {"fct_revenue_monthly": ["revenue_month"]}
-MART_CLUSTERING: dict[str, list[str]] = {"fct_revenue_monthly": ["account_id"]}
 
 
 def mart(name: str) -> Callable[[MartFn], MartFn]:
@@ -33,23 +33,34 @@ def mart(name: str) -> Callable[[MartFn], MartFn]:
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, raw: Mapping[str, DataFrame], horizon: Horizon):
+    """``raw`` is a mapping of raw tables, or a function that opens them anew at each load."""
+
+    def __init__(self, spark: SparkSession, raw: RawSource, horizon: Horizon | Callable[[], Horizon]):
         self.spark = spark
-        self._raw = raw
-        self.horizon = horizon
-        self._models: dict[str, DataFrame] = {}
+        self._source = raw
+        self._raw = raw() if callable(raw) else raw
+        self._horizon = horizon
+        self._models: dict[str, DataFrame] = {}  # built lazily in this session
+        self._written: dict[str, DataFrame] = {}  # materialized
 
     @classmethod
-    def from_testdata(cls, spark: SparkSession, sf_dir: str, horizon: Horizon = TESTDATA_HORIZON) -> "Warehouse":
+    def from_testdata(cls, spark: SparkSession, sf_dir: str, horizon: Horizon | None = None) -> "Warehouse":
         from revlens.sources.testdata import TestdataRaw
 
-        return cls(spark, TestdataRaw(spark, sf_dir, horizon).all(), horizon)
+        tables = TestdataRaw(spark, sf_dir, horizon)
+        return cls(spark, lambda: TestdataRaw(spark, sf_dir, horizon).all(), lambda: tables.horizon)
 
     @classmethod
     def from_files(cls, spark: SparkSession, directory: str, horizon: Horizon, fmt: str = "csv") -> "Warehouse":
         from revlens.sources.files import read_raw
 
-        return cls(spark, read_raw(spark, directory, fmt=fmt), horizon)
+        return cls(spark, lambda: read_raw(spark, directory, fmt=fmt), horizon)
+
+    @property
+    def horizon(self) -> Horizon:
+        if callable(self._horizon):
+            self._horizon = self._horizon()
+        return self._horizon
 
     def raw(self, name: str) -> DataFrame:
         return self._raw[name]
@@ -59,6 +70,8 @@ class Warehouse:
         return self._raw
 
     def ref(self, name: str) -> DataFrame:
+        if name in self._written:
+            return self._written[name]
         if name not in self._models:
             if name in STAGING:
                 self._models[name] = stage(name, self._raw[STAGING[name][0]])
@@ -85,33 +98,40 @@ class Warehouse:
         return self.spark.sql(text, args=args or None)
 
     def load_raw(self, base_path: str, names: Iterable[str] | None = None) -> dict[str, str]:
-        """Replace-on-load: write the raw tables (Parquet, overwrite) and read them back.
+        """Replace-on-load: write the raw tables (Parquet) and read them back.
 
-        Staging views and marts built afterwards scan the loaded tables instead of
-        re-deriving each raw shape per consumer (the loader step of the pipeline). The
-        folder can be reopened later with ``Warehouse.from_files(..., fmt="parquet")``.
+        The source is opened anew, so a second load sees rows that came since. Each table
+        gets a new version folder and becomes current when it is complete; what was
+        current stays readable meanwhile. Staging views and marts built afterwards scan
+        the loaded tables instead of re-deriving each raw shape per consumer. The folder
+        can be reopened later with ``Warehouse.from_files(..., fmt="parquet")``.
         """
-        from revlens.sources.files import raw_path, write_table
-
-        loaded = {}
-        for name in names or list(self._raw):
-            path = raw_path(base_path, name, "parquet")
-            write_table(self._raw[name], path)
-            loaded[name] = path
-        self._raw = {**dict(self._raw.items()), **{n: self.spark.read.parquet(p) for n, p in loaded.items()}}
-        self._models = {}
+        from revlens.sources.files import raw_path, write_version
+
+        source = self._source() if callable(self._source) else self._source
+        loaded = {n: write_version(source[n], raw_path(base_path, n, "parquet")) for n in names or list(source)}
+        self._raw = {**dict(source.items()), **{n: self.spark.read.parquet(p) for n, p in loaded.items()}}
+        self._models, self._written = {}, {}
         return loaded
 
     def materialize(self, base_path: str, names: Iterable[str]) -> dict[str, str]:
-        """Write marts (in the given dependency order) and read them back."""
-        from revlens.sources.files import write_table
+        """Rebuild marts (in the given dependency order) and read them back.
 
+        Each is computed from its model again, from the raw tables and from marts that
+        are written already, into a new version folder that then becomes current. A
+        rebuild of the same folder never reads what it replaces.
+        """
+        from revlens.sources.files import write_version
+
+        names = list(names)
+        for name in names:
+            self._written.pop(name, None)
+        self._models = {}
         written = {}
         for name in names:
-            path = f"{base_path.rstrip('/')}/{name}"
-            write_table(self.ref(name), path, partition_by=MART_PARTITIONING.get(name),
-                        cluster_by=MART_CLUSTERING.get(name))
-            self._models[name] = self.spark.read.parquet(path)
+            path = write_version(self.ref(name), f"{base_path.rstrip('/')}/{name}", MART_PARTITIONING.get(name))
+            self._written[name] = self.spark.read.parquet(path)
+            self._models.pop(name, None)
             written[name] = path
         return written
 

@@ -6,16 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.config import Filters
-from revlens.operators.reshape import one_row
-from revlens.operators.spine import calendar_from_bounds
+from revlens.operators.quality import check_relationship, check_unique
 from revlens.plans import dashboard as B
 from revlens.plans import quality as Q
 from revlens.plans.building_blocks import OPERATOR_QUERIES
 from revlens.plans.catalog import query, raw_query
-from revlens.plans.model import MART_ORDER
+from revlens.plans.model import MART_ORDER, Warehouse
 from revlens.plans.staging import STAGING, stage
 from revlens.session import scratch_dir
-from revlens.sources.files import load_report, read_csv, text_dates, write_table
+from revlens.sources.files import drop_versions, load_report, raw_path, read_csv, text_dates, write_table
 from revlens.sources.testdata import TestdataRaw
 
 
@@ -30,22 +29,6 @@ for _name in MART_ORDER:
     _model_query(_name)
 
 
-def activity_bounds(t: TestdataRaw):
-    """One row: first day of the first order year .. last day of the last ship year."""
-    first = t.table("orders").agg(F.min("o_orderdate").alias("_lo"))
-    last = t.table("lineitem").agg(F.max("l_shipdate").alias("_hi"))
-    return one_row(t.spark, first, last).select(
-        F.trunc(F.to_date("_lo"), "YEAR").alias("start"),
-        F.make_date(F.year("_hi"), F.lit(12), F.lit(31)).alias("end"),
-    )
-
-
-@raw_query("dim_date")
-def dim_date_query(spark, sf_dir):
-    """The day calendar (dim_date) spanning the activity years of the tables."""
-    return calendar_from_bounds(activity_bounds(TestdataRaw(spark, sf_dir)))
-
-
 # -- dashboards ---------------------------------------------------------------------------
 query("dash_filter_options")(B.dash_filter_options)
 query("dash_kpis")(lambda wh: B.dash_kpis(wh))
@@ -64,6 +47,8 @@ query("dash_recent_anomalies")(lambda wh: B.dash_recent_anomalies(wh))
 query("dash_anomaly_type_counts")(lambda wh: B.dash_anomaly_type_counts(wh))
 query("dash_anomaly_severity_counts")(lambda wh: B.dash_anomaly_severity_counts(wh))
 query("dash_metric_trend")(lambda wh: B.dash_metric_trend(wh))
+query("dash_metric_choices")(lambda wh: B.dash_metric_choices(wh))
+query("dash_chosen_metric_trend")(lambda wh: B.dash_metric_trend(wh, metric="New MRR"))
 
 # Filtered variants (sample selections of the sidebar filters).
 FILTERED = {
@@ -71,6 +56,9 @@ FILTERED = {
     "dash_filtered_kpis": (B.dash_kpis, Filters(segment="Mid-Market", channel="Referral")),
     "dash_filtered_tickets_by_segment": (B.dash_tickets_by_segment, Filters(region="ASIA")),
     "dash_filtered_sla_by_region": (B.dash_sla_by_region, Filters(segment="SMB", channel="LinkedIn")),
+    "dash_filtered_segment_revenue": (B.dash_segment_revenue, Filters(region="AMERICA")),
+    "dash_filtered_activation_vs_retention": (B.dash_activation_vs_retention, Filters(channel="Events")),
+    "dash_filtered_support_summary": (B.dash_support_summary, Filters(segment="Enterprise", region="AFRICA")),
 }
 for _key, (_fn, _filters) in FILTERED.items():
     query(_key)(lambda wh, _fn=_fn, _filters=_filters: _fn(wh, _filters))
@@ -84,15 +72,92 @@ query("dq_relationships")(lambda wh: Q.violations(wh, "relationships"))
 query("dq_non_negative_amounts")(Q.non_negative_amounts)
 query("dq_valid_subscription_dates")(Q.valid_subscription_dates)
 
+# The same operators over rules and tables in which they find something.
+query("dq_broken_summary")(lambda wh: Q.run_checks(wh, Q.BROKEN_RULES))
+for _kind in ("unique", "not_null", "accepted_values", "relationships"):
+    query(f"dq_broken_{_kind}")(lambda wh, _kind=_kind: Q.violations(wh, _kind, Q.BROKEN_RULES))
+
+
+@raw_query("dq_repeated_lines")
+def repeated_lines(spark, sf_dir):
+    """Line items whose (order, line number) occurs more than once."""
+    return check_unique(TestdataRaw(spark, sf_dir).table("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"])
+
+
+@raw_query("dq_unlabelled_documents")
+def unlabelled_documents(spark, sf_dir):
+    """Documents without a row in labels (the referential check across tables)."""
+    t = TestdataRaw(spark, sf_dir)
+    return check_relationship(t.table("documents"), "documents", "doc_id", t.table("labels"), "doc_id")
+
+
+@raw_query("dq_negative_balances")
+def negative_balances(spark, sf_dir):
+    return Q.negative_balances(TestdataRaw(spark, sf_dir).table("customer"))
+
+
+@raw_query("dq_shipped_before_order")
+def shipped_before_order(spark, sf_dir):
+    t = TestdataRaw(spark, sf_dir)
+    return Q.shipped_before_order(t.table("lineitem"), t.table("orders"))
+
+
+@query("dq_enforced")
+def enforced(wh):
+    """Rules that stop a run at severity ``error``, as reported by ``enforce``."""
+    try:
+        Q.enforce(Q.run_checks(wh, Q.BROKEN_RULES, severity="error"))
+    except Q.QualityError as e:
+        rows = e.blocking
+    else:
+        rows = []
+    return wh.spark.createDataFrame(
+        [(r["model"], r["column"], r["rule"], r["failures"]) for r in rows], "model string, column string, rule string, failures long"
+    )
+
+
+@query("op_anti_join_found")
+def anti_join_found(wh):
+    """Accounts without a support ticket."""
+    a = wh.ref("stg_accounts").select("account_id", "segment")
+    t = wh.ref("stg_support_tickets").select(F.col("account_id").alias("_tid"))
+    return a.join(t, a["account_id"] == t["_tid"], "left_anti")
+
+
+@query("sql_segment_mrr")
+def sql_segment_mrr(wh):
+    """Ad-hoc SQL over registered views, with a bound value."""
+    wh.register_views(["fct_revenue_monthly", "dim_account"], prefix="v_")
+    return wh.sql(
+        """SELECT r.revenue_month, sum(r.mrr) AS total_mrr, count(DISTINCT r.account_id) AS accounts
+           FROM v_fct_revenue_monthly r JOIN v_dim_account a ON r.account_id = a.account_id
+           WHERE a.segment = :segment GROUP BY r.revenue_month""",
+        segment="Mid-Market",
+    )
+
 
 # -- sources and sinks ----------------------------------------------------------------------
+@raw_query("src_second_load")
+def second_load(spark, sf_dir):
+    """Rows per raw table after two loads into one folder, read back from the second."""
+    wh = Warehouse.from_testdata(spark, sf_dir)
+    folder = scratch_dir(spark, "second-load")
+    names = ["raw_accounts", "raw_subscriptions", "raw_marketing_spend"]
+    for _ in range(2):
+        wh.load_raw(folder, names)
+        drop_versions(spark, raw_path(folder, names[0], "parquet"))
+    again = Warehouse.from_files(spark, folder, wh.horizon, fmt="parquet")
+    return load_report({name: again.raw(name) for name in names})
+
+
 @raw_query("src_csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     """Support tickets exported as headered CSV, read back with an explicit schema, staged.
 
     Exercises the CSV sink (overwrite), the typed CSV source and the staging casts of
-    booleans, doubles and microsecond timestamps. The export lands in a fresh folder
-    below the shared checkpoint directory.
+    booleans, doubles and microsecond timestamps. The export is written when the query is
+    built, into a fresh folder below the shared checkpoint directory, as the returned
+    frame reads it.
     """
     raw = TestdataRaw(spark, sf_dir).raw_support_tickets()
     path = scratch_dir(spark, "csv-roundtrip")

@@ -8,6 +8,7 @@ names), never below a machine-local temporary folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -59,10 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, setting a local one only when unset.
 
     A cluster configures ``spark.checkpoint.dir`` to a shared folder; that value is
-    always respected. Only a bare local/test session gets a private temporary folder.
+    always respected. Only a ``local[...]`` session, whose tasks share the driver's disk,
+    gets a private temporary folder; on any other master an unset folder is an error.
     """
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="revlens-ckpt-")
         try:
             spark.conf.set(_CHECKPOINT_KEY, current)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import time
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -53,7 +55,8 @@ def read_raw(spark: SparkSession, directory: str, names: Iterable[str] | None =
         path = raw_path(directory, name, fmt)
         try:
             # Parquet is self-describing (typed columns); staging casts either layout.
-            df = read_csv(spark, path, schemas[name]) if fmt == "csv" else spark.read.parquet(path)
+            found = path if fmt == "csv" else current_version(spark, path) or path
+            df = read_csv(spark, path, schemas[name]) if fmt == "csv" else spark.read.parquet(found)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
                 raise
@@ -63,23 +66,15 @@ def read_raw(spark: SparkSession, directory: str, names: Iterable[str] | None =
     return out
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet",
-                cluster_by: list[str] | None = None) -> None:
-    """Replace-on-load sink: overwrite ``path`` with ``df`` (optionally partitioned).
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
+    """Overwrite ``path`` with ``df`` (optionally partitioned).
 
-    With ``partition_by``, rows are first hash-partitioned on the partition columns plus
-    a salt of ``cluster_by`` (``pmod(hash(cluster_by), k)`` with ``k = shuffle partitions
-    / 64``): each task then holds few directory values, so it writes few files instead of
-    one per directory, and a large directory value is still split over ``k`` tasks.
-    Unlike a range partitioning this needs no sampling pass over the input plan.
+    With ``partition_by``, the rows are rebalanced on the partition columns: a task holds
+    few directory values, so it writes few files, and adaptive execution splits a value
+    that is larger than the advisory partition size, whatever the session's settings.
     """
     if partition_by:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keys = [F.col(c) for c in partition_by]
-        k = max(1, n // 64)
-        if cluster_by and k > 1:
-            keys.append(F.pmod(F.hash(*[F.col(c) for c in cluster_by]), F.lit(k)))
-        df = df.repartition(n, *keys)
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -89,6 +84,44 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.format(fmt).save(path)
 
 
+VERSION = "version="
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The newest complete version folder of a table, if the table has versions."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return None
+    found = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith(VERSION)]
+    whole = [p.getName() for p in found if store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return f"{path}/{max(whole)}" if whole else None
+
+
+def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as a new version of the table at ``path``; returns the version's folder.
+
+    A version counts once its ``_SUCCESS`` file exists, so a failed write changes nothing.
+    Names sort by time; older versions stay until ``drop_versions``.
+    """
+    folder = f"{path}/{VERSION}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    write_table(df, folder, partition_by)
+    return folder
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Remove all but the newest ``keep`` versions of a table; returns how many went."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith(VERSION)), key=lambda p: p.getName())
+    old = found[: len(found) - keep]
+    for p in old:
+        store.delete(p, True)
+    return len(old)
+
+
 def load_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table plus a ``total`` row, computed in one job (rollup over a union)."""
     counts = [df.groupBy().count().select(F.lit(name).alias("table"), F.col("count").alias("rows"))

@@ -21,6 +21,7 @@ estimate broadcasts them, no hint needed. Invoices come from a ``Generate`` over
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from revlens.config import TESTDATA_HORIZON, Horizon
 from revlens.functions.columns import pick
-from revlens.operators.spine import spread
 from revlens.sources.schemas import RAW_TABLES
 from revlens.sources.values import (
     MARKETING_CHANNELS,
@@ -74,12 +74,24 @@ def _div(c: Column, n: int) -> Column:
 class TestdataRaw:
     """Lazy builder of the raw shapes from ``<sf_dir>/<table>.parquet``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, horizon: Horizon = TESTDATA_HORIZON):
+    def __init__(self, spark: SparkSession, sf_dir: str, horizon: Horizon | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.horizon = horizon
+        if horizon is not None:
+            self.horizon = horizon
         self._tables: dict[str, DataFrame] = {}
 
+    @cached_property
+    def horizon(self) -> Horizon:
+        """Calendar of the data: first order year to last ship year; open subscriptions
+        run to the month of the last order. One row is brought to the driver."""
+        o = self.table("orders").agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi")).first()
+        ship = self.table("lineitem").agg(F.max("l_shipdate").alias("hi")).first()["hi"]
+        if o["lo"] is None:  # no orders: nothing to date, any calendar will do
+            return TESTDATA_HORIZON
+        end = max(o["hi"], ship or o["hi"])
+        return Horizon(dt.date(o["lo"].year, 1, 1), dt.date(end.year, 12, 31), dt.date(o["hi"].year, o["hi"].month, 1))
+
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             reader = self.spark.read
@@ -159,7 +171,7 @@ class TestdataRaw:
         first = F.when(F.dayofmonth(start) == 1, start).otherwise(F.add_months(F.trunc(start, "MM"), 1))
         last = F.trunc(F.coalesce(F.col("end_date"), F.lit(self.horizon.open_end)), "MM")
         months = F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
-        m = spread(s).select("account_id", F.explode(months).alias("invoice_date"))
+        m = s.select("account_id", F.explode(months).alias("invoice_date"))
         acc, mon, yr = F.col("account_id"), F.month("invoice_date"), F.year("invoice_date")
         price = pick(PLAN_PRICES, F.pmod(acc, F.lit(4))).cast("decimal(10,2)")
         surge = F.pmod(acc * 31 + mon * 17 + yr * 13, F.lit(20)) == 0

@@ -18,3 +18,18 @@ def test_build_test_show(spark, capsys):
     assert main(["show", "dash_tickets_by_segment", "--testdata", SF, "--region", "ASIA"]) == 0
     printed = capsys.readouterr().out
     assert "built fct_anomalies" in printed and "tickets" in printed and "unique" in printed
+
+
+def test_show_filters_and_rows_left_out(spark, capsys):
+    import pytest
+
+    from revlens.session import scratch_dir
+
+    assert main(["show", "dash_mrr_trend", "--testdata", SF, "--limit", "2"]) == 0
+    assert "more rows" in capsys.readouterr().out
+    assert main(["show", "dash_churn_by_cohort", "--testdata", SF]) == 0
+    with pytest.raises(SystemExit):  # this query has no filters
+        main(["show", "dash_churn_by_cohort", "--testdata", SF, "--region", "ASIA"])
+    out = scratch_dir(spark, "test-show")
+    assert main(["show", "dash_mrr_trend", "--testdata", SF, "--out", out]) == 0
+    assert spark.read.parquet(out).count() > 2

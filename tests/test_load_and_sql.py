@@ -85,3 +85,40 @@ def test_loaded_parquet_folder_reopens(spark):
     again = Warehouse.from_files(spark, folder, TESTDATA_HORIZON, fmt="parquet")
     a, b = first.ref("fct_revenue_monthly"), again.ref("fct_revenue_monthly")
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_rebuilds_see_changed_input_and_survive(spark):
+    from helpers import account, raw_frames, subscription
+    from revlens.config import PRODUCT_HORIZON
+    from revlens.session import scratch_dir
+    from revlens.sources.files import current_version, drop_versions, raw_path
+
+    folder = scratch_dir(spark, "test-rebuild")
+    tables = {"raw_accounts": [account("A1")], "raw_subscriptions": [subscription("S1", "A1", "2025-01-01")]}
+    wh = Warehouse(spark, lambda: raw_frames(spark, **tables), PRODUCT_HORIZON)
+    for n in (1, 2, 3):
+        wh.load_raw(f"{folder}/raw")
+        assert wh.raw("raw_accounts").count() == n
+        wh.materialize(folder, ["dim_account", "dim_date"])
+        wh.materialize(folder, ["dim_account"])  # again, in the same session and folder
+        assert wh.ref("dim_account").count() == n
+        again = Warehouse.from_files(spark, f"{folder}/raw", PRODUCT_HORIZON, fmt="parquet")
+        assert again.ref("stg_accounts").count() == n
+        tables["raw_accounts"].append(account(f"A{n + 1}"))
+    path = raw_path(f"{folder}/raw", "raw_accounts", "parquet")
+    newest = current_version(spark, path)
+    assert drop_versions(spark, path) == 2 and current_version(spark, path) == newest
+    assert spark.read.parquet(newest).count() == 3
+
+
+def test_failed_write_leaves_the_table_as_it_was(spark):
+    import pytest
+
+    from revlens.session import scratch_dir
+    from revlens.sources.files import current_version, write_version
+
+    path = scratch_dir(spark, "test-failed")
+    first = write_version(spark.range(3), path)
+    with pytest.raises(Exception):
+        write_version(spark.range(5).select(F.raise_error(F.lit("stop")).alias("x")), path)
+    assert current_version(spark, path) == first and spark.read.parquet(first).count() == 3

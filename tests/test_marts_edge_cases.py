@@ -209,4 +209,44 @@ def test_invoice_before_cohort_month_gives_negative_bucket(spark):
     buckets = sorted(r["months_since_cohort"] for r in wh.ref("fct_retention").collect())
     assert buckets == [-2, 0]  # floor(-59 / 30) = -2: kept, like the modelled query
     heat = B.dash_cohort_heatmap(wh)
-    assert set(heat.columns) == {"cohort_month", "-2", "0"}
+    assert heat.columns == ["cohort_month", *map(str, range(13)), "before"]
+    row = heat.first()
+    assert row["before"] == 1 and row["0"] == 100 and row["1"] is None
+
+
+def test_support_average_is_rounded_once(spark):
+    ticket = lambda k, hours: (f"T{k}", "A1", "Billing", "Low", "2025-01-01 00:00:00", None, 48, hours, False)
+    wh = warehouse(
+        spark,
+        raw_accounts=[account("A1")],
+        raw_support_tickets=[ticket(1, 10.04), ticket(2, 10.04), ticket(3, 10.09), ticket(4, None)],
+    )
+    row = wh.ref("fct_support").first()
+    assert row["avg_resolution_hours"] == Decimal("10.1") and row["median_resolution_hours"] == Decimal("10.0")
+
+
+def test_null_segment_has_no_win_rate(spark):
+    deal = lambda k, stage, segment: (f"D{k}", None, 100, stage, "2025-01-01", "2025-02-01", 31, segment)
+    wh = warehouse(
+        spark,
+        raw_crm_deals=[deal(1, "Closed Won", None), deal(2, "Closed Lost", None), deal(3, "Closed Won", "SMB"), deal(4, "Lead", "Enterprise")],
+    )
+    got = {(r["segment"], r["stage"]): (r["win_rate"], r["won_deals"], r["lost_deals"]) for r in wh.ref("fct_pipeline").collect()}
+    assert got[None, "Closed Won"] == got[None, "Closed Lost"] == (None, None, None)
+    assert got["SMB", "Closed Won"] == (Decimal("1.000"), 1, 0)
+    assert got["Enterprise", "Lead"] == (None, None, None)
+
+
+def test_null_account_joins_no_invoice(spark):
+    wh = warehouse(
+        spark,
+        raw_accounts=[account("A1")],
+        raw_subscriptions=[subscription("S1", None, "2025-01-01", "2025-02-28", "Cancelled"), subscription("S2", "A1", "2025-01-01", "2025-01-31")],
+        raw_invoices=[invoice("I1", "S1", None, "2025-01-01", 99), invoice("I2", "S2", "A1", "2025-01-01", 50)],
+    )
+    from revlens.plans.marts import monthly_revenue
+
+    got = {(r["account_id"], r["revenue_month"]): r["mrr"] for r in monthly_revenue(wh).collect()}
+    assert got == {(None, d("2025-01-01")): 0, (None, d("2025-02-01")): 0, ("A1", d("2025-01-01")): Decimal("50.00")}
+    kept = wh.ref("fct_revenue_monthly").where("account_id is null").collect()
+    assert [(r["revenue_month"], r["revenue_type"]) for r in kept] == [(d("2025-02-01"), "churned")]

@@ -13,8 +13,8 @@ from revlens.operators.median import exact_median
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("seed,bins,levels", [(1, 1024, 2), (2, 4, 1), (3, 2, 3), (4, 1, 2), (5, 3, 2)])
-def test_exact_median_matches_numpy(spark, seed, bins, levels):
+@pytest.mark.parametrize("seed,in_task", [(1, 100_000), (2, 0), (3, 5), (4, 20)])
+def test_exact_median_matches_numpy(spark, seed, in_task):
     rnd = random.Random(seed)
     data = []
     for k in range(6):
@@ -25,7 +25,7 @@ def test_exact_median_matches_numpy(spark, seed, bins, levels):
             vals += [1e6] * 3 + [-1e9]  # far outliers: most values share one first-level bin
         data += [(k if k != 4 else None, v) for v in vals]
     df = spark.createDataFrame(data, "k int, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", bins=bins, levels=levels).collect()}
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", in_task=in_task).collect()}
     for k in range(6):
         if k == 4:
             k = None
@@ -64,12 +64,10 @@ def test_no_nested_loops_cartesian_or_python_in_any_plan(spark):
     import contextlib
     import io
 
-    import __spark_entry__ as E
+    from revlens.plans.catalog import all_queries
 
     offenders = []
-    for key, fn in sorted(E.queries().items()):
-        if key == "src_csv_roundtrip":  # writes files while planning; covered elsewhere
-            continue
+    for key, fn in sorted(all_queries().items()):
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             fn(spark, SF).explain("formatted")
@@ -88,11 +86,69 @@ def test_hot_key_median_and_duplicates_match_brute_force(spark):
     rows = [(0, rnd.expovariate(0.1)) for _ in range(4000)] + [(0, 1e7)]  # hot key, far outlier
     rows += [(k % 400 + 1, rnd.uniform(0, 50)) for k in range(8000)]
     df = spark.createDataFrame(rows, "k int, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v").collect()}
     by_key = {}
     for k, v in rows:
         by_key.setdefault(k, []).append(v)
-    for k, vals in by_key.items():
-        assert got[k] == pytest.approx(float(np.median(vals)), rel=0, abs=1e-9)
+    for in_task in (100_000, 1000):
+        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", in_task=in_task).collect()}
+        for k, vals in by_key.items():
+            assert got[k] == pytest.approx(float(np.median(vals)), rel=0, abs=1e-9)
     dup = {r["value"]: r["rows"] for r in check_unique(df, "t", "k").collect()}
     assert dup["0"] == 4001 and len(dup) == 401
+
+
+def test_outlier_cannot_crowd_the_digits_of_a_median(spark, monkeypatch):
+    """100,001 distinct values beside one at 1e12: no running count sees more than 65,536 digits."""
+    from revlens.operators import median
+
+    df = spark.range(100_001).select(F.lit(1).alias("k"), F.rand(3).alias("v")).union(spark.sql("SELECT 1, 1e12D"))
+    kept = []
+    monkeypatch.setattr(median, "_stored", lambda d, name, f=median._stored: kept.append((name, f(d, name))) or kept[-1][1])
+    got = exact_median(df, ["k"], "v", in_task=1000).collect()
+    vals = sorted(r["v"] for r in df.collect())
+    assert got[0]["median"] == vals[50_000] + (vals[50_001] - vals[50_000]) * 0.5
+    digits = [f"_d{i}" for i in range(median.DIGITS)]
+    rounds = [d for name, d in kept if name == "median-digits"]
+    for i, left in enumerate(rounds[:-1]):  # rows that the next running count reads per group
+        cells = left.groupBy("k", *digits[: i + 1]).agg(F.countDistinct(digits[i + 1]).alias("n")).agg(F.max("n")).first()[0]
+        assert cells <= 1 << median.DIGIT_BITS
+    assert rounds[-1].groupBy("k", *digits).count().agg(F.max("count")).first()[0] == 1
+
+
+def test_ordered_bits_order_like_the_values(spark):
+    from revlens.operators.median import ordered_bits
+
+    vals = [-1e308, -5.5, -1e-320, 0.0, 1e-320, 2.0, 2.0000000000000004, 1e300, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "v double").withColumn("b", ordered_bits(F.col("v")))
+    assert [r["v"] for r in df.orderBy("b").collect()] == sorted(vals)
+
+
+def test_scale_plans(spark):
+    """No fixed-count repartition; the child is counted before the anti join; one scan per median."""
+    from revlens.operators.quality import check_relationship
+    from revlens.plans.model import Warehouse
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wh = Warehouse.from_testdata(spark, SF)
+        for name in ("fct_revenue_monthly", "stg_invoices", "fct_cac_ltv"):
+            plan = wh.ref(name)._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" not in plan and "RoundRobin" not in plan
+        child, parent = wh.ref("stg_users"), wh.ref("stg_accounts")
+        plan = check_relationship(child, "u", "account_id", parent, "account_id")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftAnti") < plan.index("Aggregate [account_id")
+        plan = wh.ref("fct_support")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("median-histogram") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from revlens.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
