@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                         done.append((name, records, size))
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(f"{base}/{name}")
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                 number = lambda x: None if pd.isna(x) else int(x)
                 member = record(number(page_id), url, html.encode(), number(refers_to), bool(is_response))
                 out.write(member)
@@ -183,7 +183,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, keep_pa
         for pdf in batches:
             for file, expected in zip(pdf["file"], pdf["records"], strict=True):
                 found, rows, size = 0, [], 0
-                with store.open_input_stream(f"{base}/{file}") as stream:
+                with store.open_input_stream(f"{base}/{file}", compression=None) as stream:
                     for member in read_members(stream):
                         row = parse(member)
                         found, size = found + 1, size + len(row["payload"]) * keep_payload
