@@ -141,8 +141,7 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BU
     owner_of = deal_owners(loads, owners).astype(np.int32)
 
     pages = fold_pages(rows, directory.astype(np.int32), owner_of)
-    # owner numbers are spread by their hash; an owner's buckets stay together
-    owned = pages.repartition(owners, "owner").sortWithinPartitions("owner", "key")
+    owned = pages.repartitionById(owners, F.col("owner")).sortWithinPartitions("key")
     leaves = stored(
         spark,
         owned.mapInPandas(chain, "bucket int, key long, sha256 string, ids array<long>, page long, chain int"),
