@@ -77,7 +77,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     verbose = bool(os.environ.get("BENCH_VERBOSE"))
-    from revlens.session import build_session
+    from revlens.session import build_session, remove_scratch
 
     spark = build_session(cores=cpus, shuffle_partitions=max(2, int(cpus)), app="revlens-bench")
     one_pass(spark, sf_dir, {})  # warm-up: class loading, JIT, code generation
@@ -98,6 +98,7 @@ def main() -> None:
         "cpus": int(cpus),
         "runs": runs,
     }))
+    remove_scratch(spark)
     spark.stop()
 
 

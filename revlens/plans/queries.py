@@ -14,7 +14,16 @@ from revlens.plans.catalog import query, raw_query
 from revlens.plans.model import MART_ORDER, Warehouse
 from revlens.plans.staging import STAGING, stage
 from revlens.session import scratch_dir
-from revlens.sources.files import drop_versions, load_report, raw_path, read_csv, text_dates, write_table
+from revlens.sources.files import (
+    current_version,
+    drop_versions,
+    load_report,
+    raw_path,
+    read_csv,
+    read_raw,
+    text_dates,
+    write_table,
+)
 from revlens.sources.testdata import TestdataRaw
 
 
@@ -150,6 +159,26 @@ def second_load(spark, sf_dir):
     return load_report({name: again.raw(name) for name in names})
 
 
+@raw_query("src_rebuilt_mart")
+def rebuilt_mart(spark, sf_dir):
+    """The account dimension after it was built twice into one folder."""
+    wh = Warehouse.from_testdata(spark, sf_dir)
+    folder = scratch_dir(spark, "rebuilt-mart")
+    for _ in range(2):
+        wh.materialize(folder, ["dim_account"])
+    return spark.read.parquet(current_version(spark, f"{folder}/dim_account"))
+
+
+@raw_query("src_partial_export")
+def partial_export(spark, sf_dir):
+    """Rows per table of a CSV folder that holds two of the nine files; the others are skipped."""
+    raw = TestdataRaw(spark, sf_dir)
+    folder = scratch_dir(spark, "partial-export")
+    for name in ("raw_users", "raw_marketing_spend"):
+        write_table(getattr(raw, name)(), raw_path(folder, name, "csv"), fmt="csv")
+    return load_report(read_raw(spark, folder))
+
+
 @raw_query("src_csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     """Support tickets exported as headered CSV, read back with an explicit schema, staged.

@@ -1,12 +1,13 @@
 """Staging relations: fixed projections with explicit casts, one per raw table.
 
+Input contract: amounts have at most two decimals (``to_money`` fails on finer ones).
 A staging relation is a pure ``DataFrame -> DataFrame`` function (a view: Catalyst
 inlines it, and a cast that is already satisfied by the input type disappears).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TS, DATE, MONEY = "timestamp_ntz", "date", "decimal(18,2)"
@@ -52,7 +53,20 @@ STAGING: dict[str, tuple[str, list[tuple[str, str | None]]]] = {
 }
 
 
+def to_money(c: Column) -> Column:
+    """Two-decimal money; a finer amount breaks the input contract and fails the query."""
+    money = c.cast(MONEY)
+    fits = c.isNull() | (money.cast("double") == c.cast("double"))
+    return F.when(fits, money).otherwise(F.raise_error(F.concat(F.lit("amount finer than a cent: "), c.cast("string"))))
+
+
 def stage(name: str, raw: DataFrame) -> DataFrame:
     """Apply the staging projection ``name`` to its raw table."""
     _, cols = STAGING[name]
-    return raw.select(*[(F.col(c).cast(t) if t else F.col(c)).alias(c) for c, t in cols])
+
+    def staged(c: str, kind: str | None) -> Column:
+        if kind == MONEY:
+            return to_money(F.col(c))
+        return F.col(c).cast(kind) if kind else F.col(c)
+
+    return raw.select(*[staged(c, t).alias(c) for c, t in cols])

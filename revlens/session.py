@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_made: list[str] = []  # scratch folders handed out, for remove_scratch
 
 
 def _default_driver_memory() -> str:
@@ -80,4 +81,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/revlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/revlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this process has made; frames that read them end with it."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _made:
+        folder = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+    return n

@@ -76,6 +76,24 @@ def test_typed_csv_read_and_missing_file(spark):
     assert rep == {"raw_support_tickets": 2, "total": 2}
 
 
+def test_amounts_finer_than_a_cent_fail(spark):
+    import pytest
+
+    wh = warehouse(spark, raw_invoices=[invoice("I1", "S1", "A1", "2025-01-01", 10.005)])
+    with pytest.raises(Exception, match="finer than a cent"):
+        wh.ref("stg_invoices").collect()
+
+
+def test_scratch_folders_can_be_removed(spark):
+    from revlens import session
+
+    path = session.scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    keep, session._made[:] = session._made[:-1], session._made[-1:]
+    assert session.remove_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file://"))
+    session._made[:] = keep
+
+
 def test_severity_warn_reports_and_error_blocks(spark):
     import pytest
 

@@ -750,6 +750,8 @@ ORACLE_SQL: dict[str, str] = {
     **{name: q(sql) for name, sql in DASH_SQL.items()},
     **DQ_SQL,
     "src_csv_roundtrip": q("FROM stg_support_tickets"),
+    "src_rebuilt_mart": q("FROM dim_account"),
+    "src_partial_export": row_counts(["raw_users", "raw_marketing_spend"]),
     "src_second_load": row_counts(["raw_accounts", "raw_subscriptions", "raw_marketing_spend"]),
     "load_row_counts": row_counts([n for n in RAW_CTES if n.startswith("raw_")]),
     **{name: q(sql) for name, sql in OP_SQL.items()},
