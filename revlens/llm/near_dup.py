@@ -18,7 +18,7 @@
 A text of fewer than five words is one shingle of all its words. Null, empty and blank
 texts have no shingles, link to nothing and are their own class. Rows without a
 ``doc_id`` take part, and never name a class unless no member has an id. Repeated rows
-are copies. An empty table gives an empty result; further columns are ignored.
+are copies; ``keep_one`` treats rows that repeat both id and text as one document. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -243,7 +243,8 @@ def pack(
             offset[rows] = hit[:, 3] + inside % hit[:, 2] * size
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = pieces.join(base, ["task", "length"]).withColumn("at", place("length", F.col("base") + F.col("number")))
+    # one row per task and length: it grows with the input, so it is never sent to every task
+    placed = pieces.join(base.hint("merge"), ["task", "length"]).withColumn("at", place("length", F.col("base") + F.col("number")))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *["ids"] * keep_ids
     )

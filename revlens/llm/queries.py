@@ -44,7 +44,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = near_dup.join(spark, _read(spark, sf_dir, "documents"))
-    return joined.select("doc_id", "class_id", "copy_id", "n_links")
+    return joined.select("doc_id", "class_id", "n_links")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
