@@ -57,6 +57,7 @@ def test_empty_unlabelled_and_single_language(spark, make_docs):
     assert language_id.identify(spark, make_docs([])).collect() == []
     out = language_id.identify(spark, make_docs([(k, "some text", None, "s") for k in range(8)])).collect()
     assert {(r["lang_pred"], r["score"]) for r in out} == {("und", 0.0)}
+    assert language_id.keep_identified(spark, make_docs([(k, "some text", None, "s") for k in range(8)])).count() == 8
     out = language_id.identify(spark, make_docs([(k, "some text", "en", "s") for k in range(8)])).collect()
     assert {r["lang_pred"] for r in out} == {"en"}
 
