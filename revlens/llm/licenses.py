@@ -42,14 +42,20 @@ RECALL = 0.9999
 ROWS = 1
 MAX_TEMPLATE_WORDS = 200_000
 #: Window blocks handled at once in a long text.
-STEP = 4096
+STEP = 512
 
-#: Short public license notices.
+#: Public license notices.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "mit": "Released under the MIT License.",
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 _WORD = re.compile(r"[^\W_]+")
@@ -73,6 +79,7 @@ class Group:
     sets: list[np.ndarray]
     bands: int
     buckets: dict[int, list[int]]  # band hash -> templates
+    known: np.ndarray  # the band hashes, sorted
 
 
 def prepare(templates: dict[str, str]) -> list[Group]:
@@ -96,7 +103,8 @@ def prepare(templates: dict[str, str]) -> list[Group]:
         for k, s in enumerate(sets):
             for h in S.band_hashes(S.min_hashes(s, bands * ROWS), ROWS):
                 buckets.setdefault(int(h), []).append(k)
-        groups.append(Group(longest, [n for n, _ in members], sets, bands, buckets))
+        known = np.array(sorted(buckets), dtype=np.int64)
+        groups.append(Group(longest, [n for n, _ in members], sets, bands, buckets, known))
     return groups
 
 
@@ -108,22 +116,19 @@ def window_bands(shingles: np.ndarray, group: Group) -> tuple[np.ndarray, int]:
     out = np.empty((n, group.bands), dtype=np.int64)
     top = np.iinfo(np.uint64).max
     ends = span - step  # shingles of the second block that are still in the window
+    number = np.arange(1, group.bands + 1, dtype=np.uint64) * S._ODD
     for at in range(0, n, STEP):
         rows = min(STEP, n - at)
         held = shingles[at * step : (at + rows) * step + ends]
-        total = np.arange(1, group.bands + 1, dtype=np.uint64) * S._ODD
-        total = np.repeat(total[None, :], rows, axis=0)
+        h = np.full((len(a), (rows + 1) * step), top, dtype=np.uint64)
+        np.multiply(held, a[:, None], out=h[:, : len(held)])
+        h[:, : len(held)] += b[:, None]
+        blocks = h.reshape(len(a), rows + 1, step)
+        minima = np.minimum(blocks[:, :-1].min(axis=2), blocks[:, 1:, :ends].min(axis=2))
+        total = np.repeat(number[:, None], rows, axis=1)
         for k in range(ROWS):
-            minima = np.empty((rows, group.bands), dtype=np.uint64)
-            for band in range(group.bands):
-                h = np.full((rows + 1) * step, top, dtype=np.uint64)
-                np.add(held * a[band * ROWS + k], b[band * ROWS + k], out=h[: len(held)])
-                table = h.reshape(rows + 1, step)
-                minima[:, band] = table[:-1].min(axis=1)
-                if ends:
-                    np.minimum(minima[:, band], table[1:, :ends].min(axis=1), out=minima[:, band])
-            total = S.mix(total * S._ODD + minima)
-        out[at : at + rows] = total.view(np.int64)
+            total = S.mix(total * S._ODD + minima[k::ROWS])
+        out[at : at + rows] = total.view(np.int64).T
     return out, span
 
 
@@ -135,9 +140,11 @@ def scan_text(text: str, groups: list[Group]) -> list[tuple[str, int, int, int,
     shingles = S.shingle_hashes(words, WIDTH)
     found = []
     for group in groups:
-        known = np.array(list(group.buckets), dtype=np.int64)
         bands, span = window_bands(shingles, group)
-        hits = np.isin(bands, known)
+        near = group.known[np.minimum(np.searchsorted(group.known, bands), len(group.known) - 1)]
+        hits = near == bands
+        if not hits.any():
+            continue
         best: dict[int, tuple[int, int]] = {}
         for window in np.flatnonzero(hits.any(axis=1)):
             at = window * group.words

@@ -45,7 +45,7 @@ def test_odd_rows_and_planted_notices(spark, make_docs, odd_rows):
         got.setdefault((r["doc_id"]), {})[r["license"]] = r["shared"]
     want = {d: brute(t, templates) for d, t in rows}
     assert got == {d: f for d, f in want.items() if f}
-    assert got[400] == {"permission": len(LONG.split()) - licenses.WIDTH + 1}
+    assert got[400]["permission"] == len(LONG.split()) - licenses.WIDTH + 1
 
 
 def test_empty(spark, make_docs):
