@@ -81,10 +81,14 @@ def test_plan_covers_histogram():
     assert dict(used) == histogram
 
 
-def test_word_encoder_equals_tokenizer(tokenizer):
+def test_rank_file_gives_the_same_ids(tokenizer):
     rng = random.Random(1)
-    letters = "abcXYZ019 .,'<>|_-\t\n\r éßñ¿«º²ıſĀžǅΩж中\u3000😀é"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(5000)]
-    encoder = packing.WordEncoder(packing.tokenizer_path(), packing.tokenizer_path(packing.RANKS[packing.TOKENIZER]))
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    plain = "".join(c for c in map(chr, range(9, 0x20AD)) if packing._PLAIN.fullmatch(c))
+    common = "abcXYZ019 .,'<>|_-\t\n\r éßñ¿«º²ı€’…"
+    other = "ſǅΩж中\u3000😀\u00a0"
+    encoder = packing.Encoder(packing.tokenizer_path(), packing.tokenizer_path(packing.RANKS[packing.TOKENIZER]))
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "don't we'll", "a" * 5000, " " * 3000 + "x", ""]
+    for letters in (common, plain + " " * 60, common + other):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
