@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import stored, text_or_empty
+from revlens.llm.common import map_slices, stored, text_or_empty
 
 MAX_DEPTH = 16
 BUCKET_BYTES = 32 << 20
@@ -83,25 +83,24 @@ def fold_pages(rows: DataFrame, directory: np.ndarray, owner_of: np.ndarray) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number = TaskContext.get().partitionId(), 0
         for pdf in batches:
-            for at in range(0, len(pdf), PAGE_ROWS):
-                part = pdf.iloc[at : at + PAGE_ROWS]
-                entries: dict[str, list] = {}
-                keys = {}
-                for doc_id, text, key in zip(part["doc_id"], part["text"], part["key"], strict=True):
-                    entries.setdefault(text, []).append(None if pd.isna(doc_id) else int(doc_id))
-                    keys[text] = key
-                key = np.array(list(keys.values()), dtype=np.int64)
-                bucket = directory[(key.view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)]
-                # largest id first, nulls last: the head of the list is the entry's best row
-                ids = [sorted(v, key=lambda x: (x is None, -(x or 0))) for v in entries.values()]
-                yield pd.DataFrame({
-                    "owner": owner_of[bucket], "bucket": bucket, "key": key,
-                    "sha256": [hashlib.sha256(t.encode()).hexdigest() for t in entries],
-                    "ids": ids, "page": (task << 40) + number + np.arange(len(ids)), "text": list(entries),
-                })
-                number += len(ids)
-
-    return rows.mapInPandas(run, "owner int, bucket int, key long, sha256 string, ids array<long>, page long, text string")
+            entries: dict[str, list] = {}
+            keys = {}
+            for doc_id, text, key in zip(pdf["doc_id"], pdf["text"], pdf["key"], strict=True):
+                entries.setdefault(text, []).append(None if pd.isna(doc_id) else int(doc_id))
+                keys[text] = key
+            key = np.array(list(keys.values()), dtype=np.int64)
+            bucket = directory[(key.view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)]
+            # largest id first, nulls last: the head of the list is the entry's best row
+            ids = [sorted(v, key=lambda x: (x is None, -(x or 0))) for v in entries.values()]
+            yield pd.DataFrame({
+                "owner": owner_of[bucket], "bucket": bucket, "key": key,
+                "sha256": [hashlib.sha256(t.encode()).hexdigest() for t in entries],
+                "ids": ids, "page": (task << 40) + number + np.arange(len(ids)), "text": list(entries),
+            })
+            number += len(ids)
+
+    schema = "owner int, bucket int, key long, sha256 string, ids array<long>, page long, text string"
+    return map_slices(rows, run, schema, PAGE_ROWS)
 
 
 def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +143,7 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BU
     owned = pages.repartitionById(owners, F.col("owner")).sortWithinPartitions("key")
     leaves = stored(
         spark,
-        owned.mapInPandas(chain, "bucket int, key long, sha256 string, ids array<long>, page long, chain int"),
+        map_slices(owned, chain, "bucket int, key long, sha256 string, ids array<long>, page long, chain int"),
         "hash-index",
     )
     totals = leaves.groupBy("key", "chain").agg(

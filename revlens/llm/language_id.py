@@ -26,10 +26,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import stored
+from revlens.llm.common import map_slices, stored
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -158,7 +159,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"bucket": np.append(at, BUCKETS), "n": np.append(seen[at], n)})
 
-    found = texts.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = map_slices(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(BUCKETS + 1, dtype=np.int64)
     for r in found.collect():  # one row per bucket
         total[r["bucket"]] = r["n"]
@@ -184,13 +185,12 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_L
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                made = [features(t, idf) for t in part["text"]]
-                out = [(d, number[lang], *f) for d, lang, f in zip(part["draw"], part["lang"], made, strict=True) if f is not None]
-                yield pd.DataFrame(out, columns=["draw", "label", "at", "value"])
+            made = [features(t, idf) for t in pdf["text"]]
+            out = [(d, number[lang], *f) for d, lang, f in zip(pdf["draw"], pdf["lang"], made, strict=True) if f is not None]
+            yield pd.DataFrame(out, columns=["draw", "label", "at", "value"])
 
-    sample = drawn.select("draw", "lang", "text").mapInPandas(featured, "draw long, label int, at array<int>, value array<double>")
+    schema = "draw long, label int, at array<int>, value array<double>"
+    sample = map_slices(drawn.select("draw", "lang", "text"), featured, schema, 256)
     sample = sample.orderBy("draw").limit(per_language * len(languages))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,9 +218,12 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_L
 def predictor(model: Model):
     """A column function of the text: struct of ``lang_pred`` and ``score``."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [model.predict(t.as_py()) for t in texts]  # one text at a time becomes a string
+        return pa.StructArray.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"]
+        )
 
     return predict
 

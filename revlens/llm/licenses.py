@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import shingles as S
-from revlens.llm.common import text_or_empty
+from revlens.llm.common import map_slices, text_or_empty
 
 WIDTH = 3
 CONTAINMENT = 0.8
@@ -173,6 +173,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "license", "first_word", "words", "shared", "containment"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(
-        run, "doc_id long, license string, first_word long, words long, shared long, containment double"
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return map_slices(texts, run, "doc_id long, license string, first_word long, words long, shared long, containment double")

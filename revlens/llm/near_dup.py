@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import shingles as S
-from revlens.llm.common import stored, text_or_empty
+from revlens.llm.common import map_slices, stored, text_or_empty
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -55,15 +55,13 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                made = [_describe(t, bands, rows, width) for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").array, "text_key": part["text_key"].array,
-                    "node": [m[1] for m in made], "shingles": [len(m[0]) for m in made], "bands": [m[2] for m in made],
-                })
+            made = [_describe(t, bands, rows, width) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"].astype("Int64").array, "text_key": pdf["text_key"].array,
+                "node": [m[1] for m in made], "shingles": [len(m[0]) for m in made], "bands": [m[2] for m in made],
+            })
 
-    return _rows(docs).mapInPandas(run, "doc_id long, text_key long, node binary, shingles long, bands array<long>")
+    return map_slices(_rows(docs), run, "doc_id long, text_key long, node binary, shingles long, bands array<long>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -223,16 +221,13 @@ def join(
             own = [np.unique(S.shingle_hashes(S.word_hashes(t), width)).tobytes() for t in pdf["text"]]
             yield pdf.drop(columns="text").assign(own=own)
 
-    full = fetched.select("node", "copies", "bands", "text").mapInPandas(
-        sets, "node binary, copies long, bands array<long>, own binary"
+    full = map_slices(
+        fetched.select("node", "copies", "bands", "text"), sets, "node binary, copies long, bands array<long>, own binary"
     )
     dealt = units.join(full, "node").select("unit", "node", "side", "cross", "mask", "copies", "bands", "own")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    judged = (
-        dealt.repartition(tasks, "unit")
-        .sortWithinPartitions("unit")
-        .mapInPandas(lambda batches: _by_unit(batches, similarity), "node binary, first binary, links long")
-    )
+    by_unit = dealt.repartition(tasks, "unit").sortWithinPartitions("unit")
+    judged = map_slices(by_unit, lambda p: _by_unit(p, similarity), "node binary, first binary, links long", 1024)
     judged = stored(spark, judged, "judged")
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(spark, judged.select("node", "first"))

@@ -21,7 +21,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,25 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import stored, text_or_empty
+from revlens.llm.common import map_slices, stored, text_or_empty
 
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Rank files that hold the same vocabulary as a tokenizer file.
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
-#: Distinct words a task remembers before it starts afresh.
-REMEMBERED_WORDS = 300_000
-
-#: A blank after a non-blank always starts a new token of the byte-level pattern, so
-#: texts can be cut there and each part encoded (and remembered) on its own.
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-_LINE_FEED = "\n"
-
-
-#: Words of these characters are encoded from the vocabulary's rank file, which merges
-#: new words several times faster; all others, and special strings, from the JSON file.
-_RANKED = re.compile(r" [!-;=-~\u00a1-\u017f]+")
+#: Texts of these characters are encoded from the vocabulary's rank file, which is several
+#: times faster; all others, and texts with the strings of special tokens, from the JSON file.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u017f\u2013\u2014\u2018-\u201d\u2026\u20ac]*")
+_SPECIAL = "<|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -56,51 +48,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of whole texts, encoding each distinct word once while it is remembered."""
+class Encoder:
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str, ranks: str | None = None):
+        self.path = path
+        self.ranked = _ranked(ranks) if ranks else None
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ranked = _ranked(ranks) if ranks else None
-        self.feed = self._plain([_LINE_FEED])[0]
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words in long lines; the line feeds between them mark the borders."""
-        quick = [w for w in words if _RANKED.fullmatch(w)] if self.ranked else []
-        if quick:
-            self._learn_lines(quick, lambda line: np.array(self.ranked.encode_ordinary(line), dtype="<u4"))
-            words = [w for w in words if w not in self.known]
-        for w, ids in zip(words, self._plain(words), strict=True):
-            self.known[w] = ids.tobytes()
-
-    def _learn_lines(self, words: list[str], encode) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = encode(_LINE_FEED.join(part))
-            ends = np.flatnonzero(ids == self.feed[0])
-            if len(self.feed) != 1 or len(ends) != len(part) - 1:
-                continue  # a vocabulary with other borders; the caller takes the words one by one
-            raw, cuts = ids.tobytes(), (4 * ends).tolist()
-            for w, a, b in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
-                self.known[w] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for i in range(0, len(texts), 256):
-            parts = [_SAFE_CUT.split(t) if t else [] for t in texts[i : i + 256]]
-            if len(self.known) > REMEMBERED_WORDS:
-                self.known.clear()
-            new = {w for p in parts for w in p if w not in self.known}
-            if new:
-                self._learn(sorted(new))
-            for p in parts:
-                yield b"".join(map(self.known.__getitem__, p))
+        return Tokenizer.from_file(self.path)
+
+    def encode(self, text: str) -> bytes:
+        if self.ranked and _SPECIAL not in text and _PLAIN.fullmatch(text):
+            ids = self.ranked.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def _ranked(path: str):
@@ -113,9 +79,9 @@ def _ranked(path: str):
 
 
 @cache
-def _encoder(path: str, ranks: str | None) -> WordEncoder:
-    """One for each worker process, so that the tasks it runs share what it has learned."""
-    return WordEncoder(path, ranks)
+def _encoder(path: str, ranks: str | None) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path, ranks)
 
 
 def cut_pieces(docs: DataFrame, capacity: int, path: str, ranks: str | None, keep_ids: bool) -> DataFrame:
@@ -130,29 +96,25 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str, ranks: str | None, kee
         seen = np.zeros(capacity + 1, dtype=np.int64)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         for pdf in batches:
-            # slices keep the piece rows of a batch of very long texts small
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                out = []
-                for doc_id, raw in zip(part["doc_id"], encoder.encode(part["text"].tolist()), strict=True):
-                    raw += closing
-                    n = len(raw) // 4
-                    first = n % capacity or min(n, capacity)
-                    starts = [0, *range(first, n, capacity)]
-                    for k, a in enumerate(starts):
-                        b = first if k == 0 else a + capacity
-                        ids = raw[4 * a : 4 * b]
-                        row = (None if pd.isna(doc_id) else int(doc_id), k, a, b - a, zlib.crc32(ids), task, int(seen[b - a]))
-                        out.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if keep_ids else row)
-                        seen[b - a] += 1
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number", *["ids"] * keep_ids]
-                frame = pd.DataFrame(out, columns=names)
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            out = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                raw = encoder.encode(text) + closing
+                n = len(raw) // 4
+                first = n % capacity or min(n, capacity)
+                starts = [0, *range(first, n, capacity)]
+                for k, a in enumerate(starts):
+                    b = first if k == 0 else a + capacity
+                    ids = raw[4 * a : 4 * b]
+                    row = (None if pd.isna(doc_id) else int(doc_id), k, a, b - a, zlib.crc32(ids), task, int(seen[b - a]))
+                    out.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if keep_ids else row)
+                    seen[b - a] += 1
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number", *["ids"] * keep_ids]
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(
-        run, schema + (", ids array<int>" if keep_ids else "")
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return map_slices(texts, run, schema + (", ids array<int>" if keep_ids else ""))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 
 #: Bytes hashed at once; a longer text is cut at blanks.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 

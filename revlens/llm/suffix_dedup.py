@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import shingles as S
-from revlens.llm.common import stored, text_or_empty
+from revlens.llm.common import map_slices, stored, text_or_empty
 from revlens.llm.suffix_samples import sample
 
 LENGTH = 100
@@ -67,13 +67,12 @@ def hot_grams(rows: DataFrame, hot_rows: int) -> list[int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), SLICE):
-                grams = [sample(_bytes(t), LENGTH, GRAM)[1] for t in pdf["text"].iloc[at : at + SLICE]]
-                gram, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pd.DataFrame({"gram": gram.view(np.int64), "n": n})
+            grams = [sample(_bytes(t), LENGTH, GRAM)[1] for t in pdf["text"]]
+            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+            yield pd.DataFrame({"gram": gram.view(np.int64), "n": n})
 
     looked = rows.filter(F.pmod(F.xxhash64("text_key", "doc"), F.lit(LOOK)) == 0).select("text")
-    found = looked.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = map_slices(looked, run, "gram long, n long", SLICE).groupBy("gram").agg(F.sum("n").alias("n"))
     return [r["gram"] for r in found.filter(F.col("n") >= share).collect()]  # a share of the rows each, so few
 
 
@@ -86,30 +85,28 @@ def sampled(rows: DataFrame, hot: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for begin in range(0, len(pdf), SLICE):
-                part = pdf.iloc[begin : begin + SLICE].sort_values(["doc", "text_key"])
-                texts = [_bytes(t) for t in part["text"]]
-                made = [sample(t, LENGTH, GRAM) for t in texts]
-                counts = [len(m[0]) for m in made]
-                place, gram, around = (np.concatenate([m[k] for m in made]) for k in range(3))
-                size = np.repeat([len(t) for t in texts], counts)
-                out = pd.DataFrame({
-                    "gram": gram.view(np.int64), "around": around.view(np.int64),
-                    "doc": np.repeat(part["doc"].to_numpy(), counts), "text_key": np.repeat(part["text_key"].to_numpy(), counts),
-                    "at": place, "left": np.minimum(place, LENGTH - GRAM).astype(np.int16),
-                    "right": np.minimum(size - place, LENGTH).astype(np.int16),
-                })
-                same = out.duplicated(["gram", "around"])  # the first row in document order stays
-                twin = out.duplicated(["gram", "around", "doc", "text_key", "at"])
-                out = out[~twin]
-                same = same[~twin].to_numpy()
-                kind = np.where(same, 2, np.isin(out["gram"], often)).astype(np.int8)
-                spread = S.mix(out["around"].to_numpy().view(np.uint64) + out["at"].to_numpy().view(np.uint64) * same).view(np.int64)
-                yield out.assign(kind=kind, deal=np.where(kind == 0, out["gram"], spread))
-
-    return rows.select("doc", "text_key", "text").mapInPandas(
-        run, "gram long, around long, doc long, text_key long, at long, left short, right short, kind byte, deal long"
-    )
+            part = pdf.sort_values(["doc", "text_key"])
+            texts = [_bytes(t) for t in part["text"]]
+            made = [sample(t, LENGTH, GRAM) for t in texts]
+            counts = [len(m[0]) for m in made]
+            place, gram, around = (np.concatenate([m[k] for m in made]) for k in range(3))
+            size = np.repeat([len(t) for t in texts], counts)
+            out = pd.DataFrame({
+                "gram": gram.view(np.int64), "around": around.view(np.int64),
+                "doc": np.repeat(part["doc"].to_numpy(), counts), "text_key": np.repeat(part["text_key"].to_numpy(), counts),
+                "at": place, "left": np.minimum(place, LENGTH - GRAM).astype(np.int16),
+                "right": np.minimum(size - place, LENGTH).astype(np.int16),
+            })
+            same = out.duplicated(["gram", "around"])  # the first row in document order stays
+            twin = out.duplicated(["gram", "around", "doc", "text_key", "at"])
+            out = out[~twin]
+            same = same[~twin].to_numpy()
+            kind = np.where(same, 2, np.isin(out["gram"], often)).astype(np.int8)
+            spread = S.mix(out["around"].to_numpy().view(np.uint64) + out["at"].to_numpy().view(np.uint64) * same).view(np.int64)
+            yield out.assign(kind=kind, deal=np.where(kind == 0, out["gram"], spread))
+
+    schema = "gram long, around long, doc long, text_key long, at long, left short, right short, kind byte, deal long"
+    return map_slices(rows.select("doc", "text_key", "text"), run, schema, SLICE)
 
 
 def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,19 +163,17 @@ def surroundings(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for begin in range(0, len(pdf), SLICE):
-                out = []
-                for doc, key, text, places in pdf.iloc[begin : begin + SLICE].itertuples(index=False, name=None):
-                    raw = text.encode()
-                    for p in places:
-                        at = p["a"]
-                        out.append((p["gram"], p["kind"], doc, key, at, raw[max(at - LENGTH + GRAM, 0) : at], raw[at : at + LENGTH]))
-                yield pd.DataFrame(out, columns=["gram", "kind", "doc", "text_key", "at", "left", "right"])
+            out = []
+            for doc, key, text, places in pdf.itertuples(index=False, name=None):
+                raw = text.encode()
+                for p in places:
+                    at = p["a"]
+                    out.append((p["gram"], p["kind"], doc, key, at, raw[max(at - LENGTH + GRAM, 0) : at], raw[at : at + LENGTH]))
+            yield pd.DataFrame(out, columns=["gram", "kind", "doc", "text_key", "at", "left", "right"])
 
     texts = rows.select("doc", "text_key", "text").join(wanted, ["doc", "text_key"])
-    return texts.select("doc", "text_key", "text", "places").mapInPandas(
-        run, "gram long, kind byte, doc long, text_key long, at long, left binary, right binary"
-    )
+    schema = "gram long, kind byte, doc long, text_key long, at long, left binary, right binary"
+    return map_slices(texts.select("doc", "text_key", "text", "places"), run, schema)
 
 
 def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -275,21 +270,19 @@ def resolve_hot(spark: SparkSession, tuples: DataFrame) -> DataFrame:
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for begin in range(0, len(pdf), SLICE):
-                out = []
-                for gram, doc, key, at, left, right in pdf.iloc[begin : begin + SLICE].itertuples(index=False, name=None):
-                    data = np.frombuffer(left + right, dtype=np.uint8)
-                    starts = np.arange(max(len(data) - LENGTH + 1, 0))
-                    starts = starts[starts <= len(left)]
-                    out.append(pd.DataFrame({
-                        "gram": gram, "step": len(left) - starts, "run": S.range_hashes(data, starts, starts + LENGTH).view(np.int64),
-                        "doc": doc, "text_key": key, "a": at - len(left) + starts,
-                    }))
-                yield pd.concat(out)
-
-    every = tuples.select("gram", "doc", "text_key", "at", "left", "right").mapInPandas(
-        runs, "gram long, step long, run long, doc long, text_key long, a long"
-    )
+            out = []
+            for gram, doc, key, at, left, right in pdf.itertuples(index=False, name=None):
+                data = np.frombuffer(left + right, dtype=np.uint8)
+                starts = np.arange(max(len(data) - LENGTH + 1, 0))
+                starts = starts[starts <= len(left)]
+                out.append(pd.DataFrame({
+                    "gram": gram, "step": len(left) - starts, "run": S.range_hashes(data, starts, starts + LENGTH).view(np.int64),
+                    "doc": doc, "text_key": key, "a": at - len(left) + starts,
+                }))
+            yield pd.concat(out)
+
+    places = tuples.select("gram", "doc", "text_key", "at", "left", "right")
+    every = map_slices(places, runs, "gram long, step long, run long, doc long, text_key long, a long", SLICE)
     every = stored(spark, every, "hot-runs")
     place = F.struct("doc", "text_key", "a")
     first = every.groupBy("gram", "step", "run").agg(F.min(place).alias("first"))
@@ -330,22 +323,21 @@ def deduplicate(spark: SparkSession, docs: DataFrame, hot_rows: int = HOT_ROWS,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for begin in range(0, len(pdf), SLICE):
-                out = []
-                for doc_id, text, found in pdf.iloc[begin : begin + SLICE].itertuples(index=False, name=None):
-                    raw = text.encode()
-                    gone = [] if found is None else merge_spans([(s["a"], s["b"]) for s in found])
-                    ends = [0, *(x for s in gone for x in s), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                    row = (
-                        None if pd.isna(doc_id) else int(doc_id), len(raw), len(raw) - len(kept), len(gone),
-                        hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in gone],
-                    )
-                    out.append((*row, kept) if keep_bytes else row)
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * keep_bytes]
-                frame = pd.DataFrame(out, columns=names)
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            out = []
+            for doc_id, text, found in pdf.itertuples(index=False, name=None):
+                raw = text.encode()
+                gone = [] if found is None else merge_spans([(s["a"], s["b"]) for s in found])
+                ends = [0, *(x for s in gone for x in s), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                row = (
+                    None if pd.isna(doc_id) else int(doc_id), len(raw), len(raw) - len(kept), len(gone),
+                    hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in gone],
+                )
+                out.append((*row, kept) if keep_bytes else row)
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * keep_bytes]
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     joined = rows.join(per_doc, ["doc", "text_key"], "left").select("doc_id", "text", "found")
-    return joined.mapInPandas(cut, schema + ", kept binary" * keep_bytes)
+    return map_slices(joined, cut, schema + ", kept binary" * keep_bytes)
