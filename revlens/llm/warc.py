@@ -85,16 +85,18 @@ def _store(folder: str):
 
 def classified(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers_to, is_response. The html is shuffled once, by payload and id."""
+    page_id = F.col("page_id").cast("long")
     rows = pages.select(
-        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html")
-    ).withColumn("sha", F.unhex(F.sha2("html", 256)))
-    ids = rows.select("sha", "page_id").distinct()
+        page_id.alias("page_id"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"),
+        F.coalesce(page_id.cast("string"), F.lit("-")).alias("id"),  # a key without nulls, so that one shuffle does
+    ).withColumn("sha", F.unhex(F.sha2("html", 256)))
+    ids = rows.select("sha", "id", "page_id").distinct()
     best = ids.groupBy("sha").agg(F.max("page_id").alias("best"))
-    known = ids.join(best, "sha").select(F.col("sha").alias("s"), F.col("page_id").alias("p"), "best")
-    one = Window.partitionBy("sha", "page_id").orderBy(F.col("url").asc_nulls_last())
+    known = ids.select("sha", "id").join(best, "sha")
+    one = Window.partitionBy("sha", "id").orderBy(F.col("url").asc_nulls_last())
     return (
         rows.withColumn("n", F.row_number().over(one))
-        .join(known, (F.col("sha") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")))
+        .join(known.hint("merge"), ["sha", "id"])
         .withColumn("is_response", F.col("page_id").eqNullSafe(F.col("best")) & (F.col("n") == 1))
         .select("page_id", "url", "html", F.col("best").alias("refers_to"), "is_response")
     )
