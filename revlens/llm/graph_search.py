@@ -30,7 +30,8 @@ from revlens.llm.common import stored
 SHARD_ROWS = 4096
 QUERY_BLOCK = 8192
 DEGREE = 32
-BEAM = 64
+BUILD_BEAM = 64
+BEAM = 128
 ALPHA = 1.2
 #: Points inserted, or queries searched, at once.
 BATCH = 512
@@ -129,7 +130,7 @@ def _add_reverse(x: np.ndarray, edges: np.ndarray, p: np.ndarray, degree: int) -
                 edges[own[~fits]] = robust_prune(x, own[~fits], both[~fits], degree)
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(edges, entry points) over the rows of ``x``, which are all different."""
     n = len(x)
     edges = np.full((n, degree), -1, dtype=np.int32)
