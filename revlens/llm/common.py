@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,6 +26,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver notice which shuffle files no plan needs any more, and have them removed.
+
+    Spark removes them when the driver's garbage collector finds their plan gone, which may
+    be long after a large step has been written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_slices(
     df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512
 ) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import shingles as S
-from revlens.llm.common import map_slices, stored, text_or_empty
+from revlens.llm.common import free_shuffles, map_slices, stored, text_or_empty
 from revlens.llm.suffix_samples import sample
 
 LENGTH = 100
@@ -312,7 +312,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, hot_rows: int = HOT_ROWS,
     sifted = stored(
         spark, ordered.mapInPandas(sift, "doc long, text_key long, a long, b long, gram long, kind byte"), "repeats"
     )
+    free_shuffles(spark)
     tuples = stored(spark, surroundings(rows, sifted.filter("kind != 2")), "suffix-tuples")
+    free_shuffles(spark)
     span = "doc long, text_key long, a long, b long"
     sorted_ = tuples.filter("kind = 0").repartition(tasks, "gram").sortWithinPartitions("right")
     found = sorted_.select("doc", "text_key", "at", "left", "right").mapInPandas(resolve, span)
