@@ -40,6 +40,10 @@ RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 #: times faster; all others, and texts with the strings of special tokens, from the JSON file.
 _PLAIN = re.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u017f\u2013\u2014\u2018-\u201d\u2026\u20ac]*")
 _SPECIAL = "<|"
+#: The rank file's library fails on about a million blanks in a row; texts with longer runs
+#: than this are encoded from the JSON file as well.
+LONGEST_BLANK = 100_000
+_BLANKS = re.compile("[\t\n\r ]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,13 +66,19 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
-        if self.ranked and _SPECIAL not in text and _PLAIN.fullmatch(text):
+        if self.ranked and _SPECIAL not in text and _PLAIN.fullmatch(text) and not _long_blanks(text):
             ids = self.ranked.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
 
+def _long_blanks(text: str) -> bool:
+    if len(text) <= LONGEST_BLANK:
+        return False
+    return any(m.end() - m.start() > LONGEST_BLANK for m in _BLANKS.finditer(text))
+
+
 def _ranked(path: str):
     import public_tokenizers
     import tiktoken

@@ -92,3 +92,16 @@ def test_rank_file_gives_the_same_ids(tokenizer):
         texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_of_blanks(tokenizer):
+    encoder = packing.Encoder(packing.tokenizer_path(), packing.tokenizer_path(packing.RANKS[packing.TOKENIZER]))
+    n = packing.LONGEST_BLANK
+    texts = ["x" + c * 1_500_000 + "y" for c in (" ", "\n", "\t", " \r\n")] + ["x" + " " * k + "y" for k in (n, n + 1)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_of_blanks_are_packed(spark, make_docs, tokenizer):
+    docs = [(1, "x" + " " * 1_500_000 + "y"), (2, "\n" * 1_500_000), (3, "a b")]
+    check(packing.pack(spark, make_docs(docs)).collect(), docs, packing.CAPACITY, tokenizer)
