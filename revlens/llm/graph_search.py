@@ -7,6 +7,10 @@
   propose neighbours, robust pruning with a relaxed distance (``ALPHA``) keeps diverse
   ones, and the edges are added in reverse, pruned again where a node has too many.
   Nodes that cannot be reached from the centre become further entry points.
+* Graphs are built and walked in single precision. A shard whose vectors differ in size by
+  more than ``SPREAD`` has no graph, as beside the largest the others would all look alike;
+  its queries are compared with every node, as are queries ``FAR`` larger than the vectors
+  of a shard. That takes about the distances that a walk of ``BEAM`` times ``DEGREE`` may.
 * The index is a table with one row per shard (vectors, ids, edges).
 * Queries go to every shard in blocks of ``QUERY_BLOCK``; a beam search finds nearby
   nodes, whose distances are then computed in double precision from the original
@@ -33,6 +37,9 @@ DEGREE = 32
 BUILD_BEAM = 64
 BEAM = 128
 ALPHA = 1.2
+#: The largest components of a shard's vectors may differ by this factor in a graph.
+SPREAD = 1e10
+FAR = 1e3
 #: Points inserted, or queries searched, at once.
 BATCH = 512
 
@@ -182,7 +189,10 @@ def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
         order = np.argsort(node.ravel(), kind="stable")
         node, ids = node.ravel()[order], pdf["vec_id"].to_numpy()[order]
         place = np.arange(len(node)) - np.searchsorted(node, node)
-        edges, entries = build_graph(_small(x))
+        if _wide(x):
+            edges, entries = np.full((len(x), DEGREE), -1, np.int32), np.zeros(1, np.int32)
+        else:
+            edges, entries = build_graph((x / _scale(x)).astype(np.float32))
         return pd.DataFrame({
             "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "vectors": [x.tobytes()],
             "ids": [ids[place <= k].tobytes()], "owner": [node[place <= k].astype(np.int64).tobytes()],
@@ -194,9 +204,15 @@ def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
     )
 
 
-def _small(x: np.ndarray, scale: float | None = None) -> np.ndarray:
-    """Single precision for the walk through the graph, scaled so that squares stay finite."""
-    return (x / (scale or max(np.abs(x).max(initial=0.0), 1e-300))).astype(np.float32)
+def _scale(x: np.ndarray) -> float:
+    """What single precision is divided by, so that squares stay finite."""
+    return max(np.abs(x).max(initial=0.0), 1e-300)
+
+
+def _wide(x: np.ndarray) -> bool:
+    peak = np.abs(x).max(axis=1)
+    with np.errstate(over="ignore"):
+        return bool(peak.max() / peak.min() > SPREAD)
 
 
 def search_shard(index: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
@@ -208,17 +224,21 @@ def search_shard(index: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int)
     ids, owner = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owner"], np.int64)
     edges = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1)
     entries = np.frombuffer(row["entries"], np.int32)
-    scale = max(np.abs(x).max(initial=0.0), 1e-300)
-    small = _small(x, scale)
+    scale, wide = _scale(x), _wide(x)
+    small = (x / scale).astype(np.float32)
     begin, end = np.searchsorted(owner, np.arange(len(x))), np.searchsorted(owner, np.arange(len(x)), side="right")
     out = []
     for at in range(0, len(queries), BATCH):
         part = queries.iloc[at : at + BATCH]
         q = np.array(part["vector"].tolist(), dtype=np.float64)
-        with np.errstate(over="ignore", invalid="ignore"):
-            found, _ = beam_search(small, edges, entries, np.clip(_small(q, scale), -1e18, 1e18), beam)
-        for own, v, near in zip(part["vec_id"], q, found, strict=True):
-            near = near[near >= 0]
+        with np.errstate(over="ignore"):
+            scaled = q / scale
+        far = wide | (np.abs(scaled).max(axis=1) > FAR)
+        found = np.empty((len(q), beam), dtype=np.int32)
+        if not far.all():
+            found[~far], _ = beam_search(small, edges, entries, scaled[~far].astype(np.float32), beam)
+        for own, v, near, every in zip(part["vec_id"], q, found, far, strict=True):
+            near = np.arange(len(x)) if every else near[near >= 0]
             away = x[near] - v
             score = np.sqrt((away * away).sum(axis=1))
             n = end[near] - begin[near]

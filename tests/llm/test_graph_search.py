@@ -76,3 +76,27 @@ def test_every_node_can_be_reached():
     while front:
         front = [int(t) for f in front for t in edges[f] if t >= 0 and int(t) not in seen and not seen.add(int(t))]
     assert len(seen) == len(x)
+
+
+def test_full_shard_with_vectors_of_very_different_size(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[:400] *= np.float32(1e-25)
+    for big in (3e38, 1e20):
+        rows = [(k, v.tolist()) for k, v in enumerate(x)]
+        rows[1000] = (1000, [big] + [1.0] * 15)
+        rows[1001] = (1001, [1.0, -big] + [1.0] * 14)
+        got, want = searched(spark, rows), brute(rows, 100, 10)
+        assert got.keys() == want.keys()
+        assert [i for _, i in got[1000]] == [i for _, i in want[1000]]
+        for q in want:  # equal up to the last bits of a sum
+            assert np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], rtol=1e-12, atol=0)
+            assert len({i for _, i in got[q]} & {i for _, i in want[q]}) >= 9
+
+
+def test_one_large_query_sees_every_shard(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(3000, 16)).astype(np.float32))]
+    rows[100] = (100, [1e12] * 16)
+    got, want = searched(spark, rows, shard_rows=1500), brute(rows, 100, 10)
+    assert got[100] == want[100]
