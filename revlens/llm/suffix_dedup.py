@@ -19,7 +19,9 @@ suffixes are sorted at sample positions, which equal runs pick alike (see
    start one byte earlier, and range minima give their common prefixes, again and again
    to the left. Neighbours with a common prefix of ``LENGTH`` are equal runs.
 4. Grams met by more than ``HOT_ROWS`` positions are spread by their surroundings, and
-   their runs are compared by hash with partial aggregation instead of in one task.
+   their runs are compared by hash with partial aggregation instead of in one task. A
+   sample of the documents foresees most, so that step 2 spreads them too; the positions
+   that step 2 leaves of every other gram are counted, and step 3 gets none with more.
 5. The spans of each document are merged and its text is cut.
 
 Null texts are empty. Null ids come after all others. Rows that share an id are ordered
@@ -46,7 +48,7 @@ GRAM = 32
 #: Positions of one gram that a single task may be given to sort.
 HOT_ROWS = 200_000
 #: One in so many documents is looked at to foresee such grams; this only decides where
-#: positions are sent, not what is found.
+#: step 2 reads positions, in a stream. What step 3 holds in memory is counted in full.
 LOOK = 32
 SLICE = 2048
 _NEVER = (1 << 63) - 1
@@ -157,6 +159,12 @@ def _place(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": p["doc"], "text_key": p["text_key"], "a": p["at"], "b": p["at"], "gram": p["gram"], "kind": p["kind"].astype(np.int8)})
 
 
+def crowded(edges: DataFrame, hot_rows: int) -> list[int]:
+    """Grams not foreseen of which more than ``hot_rows`` positions are to be compared."""
+    found = edges.filter("kind = 0").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    return [r["gram"] for r in found.collect()]  # more than ``hot_rows`` positions each, so few
+
+
 def surroundings(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """gram, kind, doc, text_key, at, left, right: the bytes before and from each position."""
     wanted = edges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("a", "gram", "kind")).alias("places"))
@@ -313,7 +321,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, hot_rows: int = HOT_ROWS,
         spark, ordered.mapInPandas(sift, "doc long, text_key long, a long, b long, gram long, kind byte"), "repeats"
     )
     free_shuffles(spark)
-    tuples = stored(spark, surroundings(rows, sifted.filter("kind != 2")), "suffix-tuples")
+    edges = sifted.filter("kind != 2")
+    if unforeseen := crowded(edges, hot_rows):
+        edges = edges.withColumn("kind", F.when(F.col("gram").isin(unforeseen), F.lit(1)).otherwise(F.col("kind")).cast("byte"))
+    tuples = stored(spark, surroundings(rows, edges), "suffix-tuples")
     free_shuffles(spark)
     span = "doc long, text_key long, a long, b long"
     sorted_ = tuples.filter("kind = 0").repartition(tasks, "gram").sortWithinPartitions("right")

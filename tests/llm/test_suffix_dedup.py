@@ -104,3 +104,19 @@ def test_samples_agree_across_blocks(monkeypatch):
     for k in range(0, len(data) - 99, 97):  # every run picks its leftmost smallest gram
         window = grams[k : k + 69] & ~np.uint64((1 << 21) - 1)
         assert k + int(window.argmin()) in whole[0]
+
+
+def test_grams_that_the_sample_misses_are_counted(spark, make_docs, monkeypatch):
+    rng = random.Random(10)
+    passage = words(rng, 16)
+    rows = [(k, " ".join(f"{words(rng, rng.randrange(3, 9))} {passage}" for _ in range(40))) for k in range(4)]
+    spread, real = [], suffix_dedup.resolve_hot
+
+    def resolve_hot(spark, tuples):
+        spread.append(min(r["count"] for r in tuples.groupBy("gram").count().collect()))
+        return real(spark, tuples)
+
+    monkeypatch.setattr(suffix_dedup, "hot_grams", lambda rows, hot_rows: [])
+    monkeypatch.setattr(suffix_dedup, "resolve_hot", resolve_hot)
+    assert result(spark, make_docs(rows).repartition(2), hot_rows=50) == brute(rows)
+    assert spread and spread[0] > 50
