@@ -235,18 +235,15 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, over_chance: float = 1.2) -> DataFrame:
+def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows whose language can be told, columns as they were.
 
-    Texts without letters go, and those whose best language is less than ``over_chance``
-    times as likely as one drawn blindly; a short text of one clear word stays. Without any
-    labelled row nothing is learned, and all rows stay.
+    Only null texts and texts without letters go, however many languages there are. Without
+    any labelled row nothing is learned, and all rows stay.
     """
     model = train(spark, docs)
     if not model.languages:
         return docs
-    predict, least = predictor(model), over_chance / max(len(model.languages), 1)
-    least = min(least, 1.0)
+    predict = predictor(model)
     found = docs.withColumn("__language", predict(F.col("text").cast("string")))
-    told = (F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)
-    return found.filter(told).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(F.col("__language.lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -85,3 +85,11 @@ def test_penalty_gives_sparse_weights_and_temperature_calibrates():
     labels = (np.arange(100) >= 75).astype(int)  # right in three of four cases
     heat = language_id.calibrate(scores, labels)
     assert abs(language_id.softmax(scores / heat)[0, 0] - 0.75) < 0.01
+
+
+def test_one_word_texts_stay_with_two_languages(spark, make_docs):
+    rows = [r for r in rows_of(300) if r[2] != "es"]
+    odd = [(1000 + k, t, None, None) for k, t in enumerate(["in", "zzz", "жук", "qq", "und", "o", "12", None])]
+    kept = {r["doc_id"] for r in language_id.keep_identified(spark, make_docs(rows + odd)).collect()}
+    assert {k for k in kept if k >= 1000} == set(range(1000, 1006))
+    assert {r[0] for r in rows} <= kept
