@@ -4,9 +4,9 @@
 2. exact dedup: of equal texts the one with the largest ``doc_id`` stays;
 3. n-gram Jaccard join: of each group of near duplicates one document stays;
 4. mixing sources to target weights: each document comes as often as the mix takes it;
-5. best-fit packing: token sequences, a row per piece.
+5. best-fit packing: token sequences, a row per piece with its token ids.
 
-Stages 1 to 4 return the columns of their input, the last the pieces with their places.
+Stages 1 to 4 return the columns of their input, the last the pieces with their places and ids.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, docs, keep_ids=False)
+    return packing.pack(spark, docs)
 
 
 STAGES = [

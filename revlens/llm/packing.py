@@ -25,8 +25,9 @@ from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import map_slices, stored, text_or_empty
@@ -127,6 +128,17 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str, ranks: str | None, kee
     return map_slices(texts, run, schema + (", ids array<int>" if keep_ids else ""))
 
 
+def ids_crc32(ids: str) -> Column:
+    """CRC of a column's token ids as little-endian unsigned 32-bit numbers."""
+
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        return pa.array([zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+
+    return crc(ids)
+
+
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset of lengths with the largest sum up to ``room`` (longer lengths first)."""
     mask = (1 << (room + 1)) - 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens.llm import (
     exact_dedup, graph_search, language_id, licenses, mixing, near_dup, packing, suffix_dedup, url_filter, warc,
@@ -18,7 +19,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, _read(spark, sf_dir, "documents"), keep_ids=False)
+    packed = packing.pack(spark, _read(spark, sf_dir, "documents"))
+    return packed.withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
 
 
 #: The rules of the registered URL query (host, path, verdict).
@@ -57,8 +59,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.deduplicate(spark, _read(spark, sf_dir, "documents"), keep_bytes=False)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = suffix_dedup.deduplicate(spark, _read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

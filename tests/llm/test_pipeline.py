@@ -28,3 +28,25 @@ def test_empty_and_odd(spark, make_docs, odd_rows, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == make_docs([]).columns
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+
+
+def test_full_outputs_are_made(spark, monkeypatch):
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from revlens.llm import packing, queries, suffix_dedup
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(50)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert all(zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in pieces)
+
+    pack, deduplicate = packing.pack, suffix_dedup.deduplicate
+    plain = [{tuple(r) for r in q(spark, DATA).collect()} for q in (queries.op2_best_fit_packing, queries.op8_suffix_dedup)]
+    assert {r[:5] for r in plain[0]} == {tuple(r)[:5] for r in pack(spark, spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    # digests are of the ids and bytes returned
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: pack(*a, **k).withColumn("ids", F.array(F.lit(1))))
+    monkeypatch.setattr(suffix_dedup, "deduplicate", lambda *a, **k: deduplicate(*a, **k).withColumn("kept", F.lit(b"x")))
+    assert {r["ids_crc32"] for r in queries.op2_best_fit_packing(spark, DATA).collect()} == {zlib.crc32(b"\1\0\0\0")}
+    assert len({r["kept_sha256"] for r in queries.op8_suffix_dedup(spark, DATA).collect()}) == 1
