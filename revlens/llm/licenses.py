@@ -13,6 +13,8 @@ least ``CONTAINMENT`` of its shingles.
   window shares a band with the template with probability ``RECALL``. Short notices are
   dissimilar to any window, so a band is a single minimum: with more rows the same
   probability would take several times the hash functions.
+* A text with fewer shingles of a length group than any of its templates needs (counted by
+  a table of hash prefixes, so never too few) is not looked at for that group.
 * A shared band only retrieves: the window's shingles are then intersected with the
   template's, exactly, and the best window of each document and template is returned.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -44,20 +47,35 @@ MAX_TEMPLATE_WORDS = 200_000
 #: Window blocks handled at once in a long text.
 STEP = 512
 
+#: Bits of a shingle's hash that the table of template shingles is addressed by.
+TABLE_BITS = 18
+
 #: Public license notices.
-TEMPLATES = {
+_NOTICES = {
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2.0-only-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Whole license texts, one per file.
+_TEXTS = [p for p in files("revlens.llm").joinpath("license_texts").iterdir() if p.name.endswith(".txt")]
+TEMPLATES = _NOTICES | {p.name.removesuffix(".txt") + "-text": p.read_text(encoding="utf-8") for p in _TEXTS}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -108,6 +126,19 @@ def prepare(templates: dict[str, str]) -> list[Group]:
     return groups
 
 
+def shingle_table(groups: list[Group]) -> np.ndarray:
+    """Per hash prefix, a bit for every group with such a shingle."""
+    table = np.zeros(1 << TABLE_BITS, dtype=np.uint32)
+    for k, group in enumerate(groups):
+        for own in group.sets:
+            table[_prefix(own)] |= np.uint32(1 << k)
+    return table
+
+
+def _prefix(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
 def window_bands(shingles: np.ndarray, group: Group) -> tuple[np.ndarray, int]:
     """Band hashes per window (row k: shingles from ``k * words``), and the window's length."""
     step, span = group.words, 2 * group.words - WIDTH + 1
@@ -132,14 +163,18 @@ def window_bands(shingles: np.ndarray, group: Group) -> tuple[np.ndarray, int]:
     return out, span
 
 
-def scan_text(text: str, groups: list[Group]) -> list[tuple[str, int, int, int, float]]:
+def scan_text(text: str, groups: list[Group], table: np.ndarray) -> list[tuple[str, int, int, int, float]]:
     """(template, first word of the window, words, shared shingles, containment), best window each."""
     words = tokens(text)
     if len(words) < WIDTH:
         return []
     shingles = S.shingle_hashes(words, WIDTH)
     found = []
-    for group in groups:
+    known = table[_prefix(shingles)]
+    known = known[known != 0]
+    for k, group in enumerate(groups):
+        if np.count_nonzero(known & np.uint32(1 << k)) < CONTAINMENT * min(map(len, group.sets)):
+            continue
         bands, span = window_bands(shingles, group)
         near = group.known[np.minimum(np.searchsorted(group.known, bands), len(group.known) - 1)]
         hits = near == bands
@@ -164,11 +199,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     groups = prepare(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shingle_table(groups)
         for pdf in batches:
             rows = [
                 (None if pd.isna(d) else int(d), *hit)
                 for d, text in zip(pdf["doc_id"], pdf["text"], strict=True)
-                for hit in scan_text(text, groups)
+                for hit in scan_text(text, groups, table)
             ]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "first_word", "words", "shared", "containment"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))

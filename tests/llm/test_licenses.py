@@ -80,3 +80,13 @@ def test_window_bands_match_direct_hashing(monkeypatch):
                 if len(part):
                     assert (row == S.band_hashes(S.min_hashes(part, group.bands * licenses.ROWS), licenses.ROWS)).all()
             assert (len(bands) - 1) * group.words + span >= n
+
+
+def test_customary_notices_and_whole_texts_are_found(spark, make_docs):
+    rng = random.Random(9)
+    wanted = {"agpl-header", "cc-by-sa-4.0", "gpl-2.0-header", "gpl-3.0-header", "isc", "lgpl-header", "gpl-3-text", "mpl-2.0-text"}
+    docs = [(k, f"{words(rng, 300)}\n{licenses.TEMPLATES[name]}\n{words(rng, 300)}") for k, name in enumerate(sorted(wanted))]
+    docs.append((99, words(rng, 20_000)))
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(make_docs(docs)).collect()}
+    assert {(k, name) for k, name in enumerate(sorted(wanted))} <= found
+    assert all(d != 99 for d, _ in found)
