@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import (
-    exact_dedup, graph_search, language_id, licenses, mixing, near_dup, packing, suffix_dedup, url_filter, warc,
+    exact_dedup, graph_search, hard_negatives, language_id, licenses, lm_scoring, mixing, near_dup, packing, prefix_trie, suffix_dedup,
+    url_filter, warc,
 )
 
 
@@ -72,6 +73,19 @@ def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(spark, _read(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(spark, _read(spark, sf_dir, "embeddings"), relabel=shifted)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(spark, _read(spark, sf_dir, "conversations"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,6 +97,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_graph_search": op10_graph_search,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL = {
@@ -153,4 +170,58 @@ ORACLE_SQL = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
         FROM t JOIN g ON t.body = g.body
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+    """,
+    "op12_prefix_trie": """
+        WITH told AS (
+            SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        head AS (
+            SELECT c, turns,
+                   list_reduce(list_prepend(4294967295, list_transform(range(1, 1 + strlen(CAST(c AS VARCHAR))),
+                       lambda k: CAST(ascii(substr(CAST(c AS VARCHAR), CAST(k AS INT), 1)) AS BIGINT))),
+                     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [CAST(k AS BIGINT) FOR k IN range(8)]),
+                       lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+            FROM told),
+        built AS (
+            SELECT h.c, list_concat(coalesce(b.turns, [])[1 : xor(h.crc, 4294967295) % 9], h.turns[xor(h.crc, 4294967295) % 9 + 1 :]) AS turns
+            FROM head h LEFT JOIN told b ON b.c = h.c - h.c % 5),
+        steps AS (
+            SELECT c, turns, unnest(range(len(turns) + 1)) AS depth FROM built),
+        nodes AS (
+            SELECT turns[1 : depth] AS prefix, depth, min(c) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE depth = len(turns)), '') AS ends
+            FROM steps GROUP BY ALL),
+        links AS (
+            SELECT p.*, a.conv_id AS parent_conv_id FROM nodes p LEFT JOIN nodes a ON p.depth > 0 AND a.prefix = p.prefix[1 : p.depth - 1]),
+        kids AS (SELECT prefix[1 : depth - 1] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        own AS (
+            SELECT l.*, coalesce(k.n, 0) AS n_children,
+                   CASE WHEN l.depth = 0 THEN 0 ELSE (l.n_convs - 1) * strlen(l.prefix[l.depth].t) END AS saved
+            FROM links l LEFT JOIN kids k ON l.prefix = k.prefix),
+        up AS (SELECT prefix, n_children, saved, unnest(range(depth + 1)) AS d FROM own),
+        below AS (
+            SELECT prefix[1 : d] AS prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+            FROM up GROUP BY ALL)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+               sha256(ends) AS ends_sha256
+        FROM own JOIN below ON own.prefix = below.prefix
+    """,
 }

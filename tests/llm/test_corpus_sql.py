@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     con.execute(f"create view wanted as {ORACLE_SQL[name]}")
     got = QUERIES[name](spark, DATA)
