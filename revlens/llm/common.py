@@ -15,15 +15,48 @@ from pyspark.sql.types import StructType
 from revlens.session import scratch_dir
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage with a table all executors share, and fixes per-task values (task
     numbers, running ranks) so that a repeated task cannot change them later.
     """
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the tables of ``stored`` frames that nothing reads any more, and their shuffle files."""
+    for df in frames:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    free_shuffles(spark)
+
+
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """The whole row as the struct ``row``, beside columns made from it; ``row.*`` gives it back.
+    So no name that is used meanwhile can clash with a column of the row."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def past_shards(
+    index: DataFrame, blocks: DataFrame, shards: int, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
+) -> DataFrame:
+    """Every block past every shard: a task gets one shard, whose rows of ``index`` come first (not
+    ``asked``), by dimension, then the rows of ``blocks`` one after another, in small frames."""
+    every = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asked", F.lit(True))
+    both = index.withColumn("asked", F.lit(False)).unionByName(every, allowMissingColumns=True)
+    dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "asked")
+    return map_slices(dealt, fn, schema, 64)
+
+
+def block_rows(spark: SparkSession, row_bytes: int, batch_bytes: int = 32 << 20) -> int:
+    """Rows per block, so that an Arrow batch of blocks stays within ``batch_bytes``."""
+    batch = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return max(1, batch_bytes // (max(batch, 1) * row_bytes))
 
 
 def free_shuffles(spark: SparkSession) -> None:

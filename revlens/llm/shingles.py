@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import cache
 
 import numpy as np
 
-#: Bytes hashed at once; a longer text is cut at blanks.
+#: Characters or bytes hashed at once; a longer text is cut at blanks.
 BLOCK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -33,35 +35,46 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range of ``data`` (at most ``BLOCK`` bytes)."""
+    """Hash of each byte range of ``data`` (at most ``BLOCK`` bytes), for ranges of a few hundred bytes.
+
+    A polynomial modulo 2**64: ranges of 1,024 bytes and more can be made up that share a hash.
+    """
     byte, up, down = _tables()
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+class _WordHashes(dict):
+    """64 bits of BLAKE2b per word, kept for words that come again."""
+
+    MOST = 1 << 19
+    LONGEST = 64
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_words = _WordHashes()
+_BLANK = re.compile(r"\s")
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """One hash per white-space separated word."""
-    flat = " ".join(text.split()).encode()
+    """One hash per white-space separated word. No words are known that share one, and none can be
+    made up as for a polynomial."""
     found, at = [], 0
-    while at < len(flat):
-        end = len(flat)
-        if end - at > BLOCK:
-            end = flat.rfind(b" ", at, at + BLOCK)
-            if end < 0:  # a word longer than a block: its blocks are hashed and folded
-                end = flat.find(b" ", at)
-                end = len(flat) if end < 0 else end
-                h = _U(end - at)
-                for k in range(at, end, BLOCK):
-                    part = np.frombuffer(flat[k : min(end, k + BLOCK)], dtype=np.uint8)
-                    h = mix(np.array([h]) * _ODD + range_hashes(part, np.array([0]), np.array([len(part)])))[0]
-                found.append(np.array([h], dtype=np.uint64))
-                at = end + 1
-                continue
-        data = np.frombuffer(flat[at:end], dtype=np.uint8)
-        blanks = np.flatnonzero(data == 32)
-        found.append(range_hashes(data, np.append(0, blanks + 1), np.append(blanks, len(data))))
-        at = end + 1
+    while at < len(text):
+        end = len(text)
+        if end - at > BLOCK and (blank := _BLANK.search(text, at + BLOCK)):
+            end = blank.start()
+        words = text[at:end].split()
+        found.append(np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words)))
+        at = end
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 

@@ -13,7 +13,9 @@ the longest fitting rule decides. A url therefore fits only rules among its look
 
 A url that is null or has no ``://`` has an empty host and path and fits no rule; urls
 without a rule are allowed. Repeated pages are judged one by one, null page ids are
-kept, an empty table gives an empty result, an empty list allows everything.
+kept, an empty table gives an empty result, an empty list allows everything. A url of any
+length is read whole; it has a lookup for every label of its host and every listed length.
+Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,7 +59,17 @@ def _block_and_masks(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndar
 
 
 def build_filter(rules: DataFrame, n: int) -> np.ndarray:
-    """The filter as an array of (blocks, 8) words, at most ``MAX_FILTER_BYTES``."""
+    return filter_of(rules.select(_key(F.col("host"), F.col("path")).alias("key")), n)
+
+
+def in_filter(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys the filter passes: all that were put in, and few others."""
+    block, masks = _block_and_masks(keys, len(table))
+    return ((table[block] & masks) == masks).all(axis=1)
+
+
+def filter_of(keys: DataFrame, n: int) -> np.ndarray:
+    """The filter of n (or so) ``key`` longs as an array of (blocks, 8) words, at most ``MAX_FILTER_BYTES``."""
     blocks = int(min(max(1, -(-n * BITS_PER_KEY // 256)), MAX_FILTER_BYTES // (4 * _WORDS)))
 
     def spread(batches):
@@ -67,8 +79,7 @@ def build_filter(rules: DataFrame, n: int) -> np.ndarray:
 
     words = [f"w{k}" for k in range(_WORDS)]
     made = (
-        rules.select(_key(F.col("host"), F.col("path")).alias("key"))
-        .mapInPandas(spread, "block long, " + ", ".join(f"{w} long" for w in words))
+        keys.select("key").mapInPandas(spread, "block long, " + ", ".join(f"{w} long" for w in words))
         .groupBy("block")
         .agg(*[F.bit_or(w).alias(w) for w in words])
         .toPandas()  # one row per block
@@ -94,9 +105,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame) -> DataFrame:
     def perhaps_listed(keys: pd.Series) -> pd.Series:
         counts = keys.map(len).to_numpy()
         flat = np.concatenate([np.asarray(k, dtype=np.int64) for k in keys]) if counts.sum() else np.zeros(0, np.int64)
-        block, masks = _block_and_masks(flat, len(table))
-        passed = ((table[block] & masks) == masks).all(axis=1)
-        return pd.Series(np.split(passed, np.cumsum(counts)[:-1]))
+        return pd.Series(np.split(in_filter(flat, table), np.cumsum(counts)[:-1]))
 
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 #: Columns that clash with names the operators use inside.
+CLASHES = ["__row", "__n", "__id", "__key", "__text_key", "__language", "row", "n", "id", "no_id", "found", "digest"]
 EXTRA = "key string, kept boolean, node string, score double, lang string, source string, copies int, row int, text_key string"
 SCHEMA = "doc_id long, text string, " + EXTRA
 

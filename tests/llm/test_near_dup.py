@@ -66,7 +66,6 @@ def test_odd_rows(spark, make_docs, odd_rows):
 
 
 def test_groups_of_many_sizes(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 8)
     monkeypatch.setattr(near_dup, "BLOCK_NODES", 6)
     rng = random.Random(11)
     rows = []
@@ -105,7 +104,78 @@ def test_word_hashes(monkeypatch):
     assert (S.word_hashes("word3\n\tword4  ") == whole[3:5]).all()
     assert len(S.word_hashes(" \n ")) == 0
     monkeypatch.setattr(S, "BLOCK", 256)
-    S._tables.cache_clear()
-    blocks = S.word_hashes(text)
-    S._tables.cache_clear()
-    assert (blocks[:500] == whole[:500]).all() and len(blocks) == 502
+    monkeypatch.setattr(S._WordHashes, "MOST", 10)
+    assert (S.word_hashes(text) == whole).all()
+
+
+def test_words_that_collide_in_a_polynomial_differ(spark, make_docs):
+    """The pattern abba baab ... of 1,024 letters and its complement share every polynomial hash modulo 2**64."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert S.word_hashes(one) != S.word_hashes(two)
+    found = near_dup.join(spark, make_docs([(1, one), (2, two)])).collect()
+    assert [r["n_links"] for r in found] == [0, 0]
+
+
+def test_many_bands(spark, make_docs):
+    """At a similarity of 0.45 there are 495 bands; every planted pair is found."""
+    assert S.bands_for(near_dup.RECALL, 0.45, near_dup.ROWS) > 400
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        base = words(rng, 60, 10**6)
+        rows += [(2 * k, base), (2 * k + 1, edited(rng, base, 4))]
+    got = result(near_dup.join(spark, make_docs(rows), similarity=0.45))
+    assert got == brute(rows, 0.45)
+    assert sum(r[3] for r in got) >= 80
+
+
+def test_repeated_rows_without_an_id(spark, make_docs):
+    rng = random.Random(5)
+    base = words(rng, 80, 10**6)
+    rows = [(None, base)] * 200 + [(7, base)] * 50 + [(k, edited(rng, base, 1)) for k in range(20, 40)] + [(None, words(rng, 30, 10**6))] * 3
+    assert result(near_dup.join(spark, make_docs(rows).repartition(6))) == brute(rows)
+    # rows that repeat the kept id and text stay, as one document
+    assert near_dup.keep_one(spark, make_docs(rows)).count() == 50 + 3
+
+
+def test_pairs_in_several_groups_are_counted_once():
+    import pandas as pd
+
+    own = np.arange(50, dtype=np.uint64).tobytes()
+    unit = pd.DataFrame({
+        "group": 5, "low": 0, "high": 0, "side": 0, "node": [1, 2, 3], "groups": [[3, 5], [3, 5], [5, 9]], "copies": [1, 10, 100], "own": own,
+    })
+    found = near_dup.judge_unit(unit, 0.8)
+    assert dict(zip(found["node"], found["links"], strict=True)) == {1: 100, 2: 100, 3: 11}
+    parts = [unit.assign(group=g) for g in (1, 2, 2, 2)]
+    frames = [parts[0], pd.concat([parts[1].iloc[:1]]), parts[1].iloc[1:], parts[2].assign(low=1, high=1)]
+    assert [len(f) for f in near_dup._by_unit(iter(frames), 0.8)] == [9]
+
+
+def test_a_cluster_is_mostly_one_group(spark, make_docs):
+    rng = random.Random(2)
+    base = words(rng, 200, 10**6)
+    rows = [(k, edited(rng, base, 2)) for k in range(150)] + [(1000 + k, words(rng, 100, 10**6)) for k in range(50)]
+    bands = S.bands_for(near_dup.RECALL, near_dup.SIMILARITY, near_dup.ROWS)
+    from pyspark.sql import functions as F
+
+    nodes = near_dup.signatures(make_docs(rows), bands, near_dup.ROWS, near_dup.WIDTH).withColumn("node", F.col("doc_id"))
+    groups = near_dup.groups_of(spark, nodes.filter("doc_id < 1000"))
+    mean = groups.select(F.avg(F.size("groups"))).first()[0]
+    assert mean < 4
+
+
+def test_clashing_columns_stay_as_they_were(spark):
+    from tests.llm.conftest import CLASHES
+
+    docs = spark.createDataFrame(
+        [(k, t, *(f"{c}{k}" for c in CLASHES)) for k, t in [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words here"), (3, "other words here")]],
+        "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHES),
+    )
+    kept = near_dup.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    rows = {tuple(r) for r in kept.collect()}
+    assert rows <= {tuple(r) for r in docs.collect()} and {r[0] for r in rows} == {1, 3}
