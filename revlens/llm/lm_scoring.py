@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import free_shuffles, map_slices, stored, text_or_empty
+from revlens.llm.common import discard, free_shuffles, map_slices, stored, text_or_empty
 
 ORDER = 4
 SHARD_BYTES = 64 << 20
@@ -247,16 +247,17 @@ def probabilities(spark: SparkSession, windows: DataFrame, order: int = ORDER) -
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = total.withColumn("pair", F.shiftright("key", shift)).repartition(tasks, "pair").sortWithinPartitions("key")
-    return stored(spark, map_slices(dealt.select("key", "n"), run, "key long, logp double", 1 << 16), "lm-probabilities")
+    found = stored(spark, map_slices(dealt.select("key", "n"), run, "key long, logp double", 1 << 16), "lm-probabilities")
+    discard(spark, total)
+    return found
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
-    shards = stored(spark, cut(docs), "lm-shards")
-    held = stored(spark, seen(shards), "lm-seen")
+    shards = stored(spark, cut(docs), "lm-shards", "zstd")
+    held = stored(spark, seen(shards), "lm-seen", "zstd")
     windows = held.filter("key IS NOT NULL").select("shard", "key", "n")
     logp = probabilities(spark, windows)
-    free_shuffles(spark)
 
     # a word's rows, one per shard; those that hold the whole count need nothing more
     words = held.filter("word IS NOT NULL").select("shard", "word", "n")
