@@ -74,3 +74,40 @@ def test_reader_across_blocks_and_damage(monkeypatch):
     for damaged in (whole.replace(b"AAAA", b"AAAB", 1), whole[:-1], whole + b"x", b"HTTP" + whole):
         with pytest.raises(warc.WarcError):
             warc.parse(damaged)
+
+
+def test_revisits_refer_to_records_of_the_archives(spark, tmp_path):
+    read = warc.round_trip(spark, frame(spark, PAGES).repartition(3), str(tmp_path)).collect()
+    ids = [r["record_id"] for r in read]
+    assert len(ids) == len(set(ids)) == len(PAGES)
+    responses = {r["record_id"]: r["payload_digest"] for r in read if r["record_type"] == "response"}
+    revisits = [r for r in read if r["record_type"] == "revisit"]
+    assert revisits and all(responses[r["refers_to_record"]] == r["payload_digest"] for r in revisits)
+
+
+def member(fields, block):
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_foreign_records(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\xff\r\n\r\nbody"
+    sha1 = b32encode(hashlib.sha1(b"body").digest()).decode()
+    records = [
+        member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>")], b"software: x\r\n"),
+        member([("WARC-Type", "request")], b"GET / HTTP/1.1\r\n\r\n"),
+        member([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Target-URI", "http://x")], http),
+        member([("warc-type", "response"), ("WARC-Payload-Digest", f"SHA1:{sha1.lower()}"), ("WARC-Block-Digest", "md5:abc")], http),
+        member([("WARC-Type", "revisit"), ("WARC-Refers-To", "<urn:uuid:2>")], b""),
+    ]
+    (tmp_path / "foreign.warc.gz").write_bytes(b"".join(records))
+    manifest = spark.createDataFrame([("foreign.warc.gz", None, None)], "file string, records long, bytes long")
+    rows = warc.read_archives(spark, manifest, str(tmp_path)).collect()
+    assert [(r["record_type"], r["payload_bytes"], r["page_id"], r["refers_to_record"]) for r in rows] == [
+        ("response", 4, None, None), ("response", 4, None, None), ("revisit", None, None, "<urn:uuid:2>"),
+    ]
+    assert rows[0]["payload_digest"] == sha1 and bytes(rows[1]["payload"]) == b"body"
+    damaged = gzip.decompress(records[3]).replace(b"body", b"bodx")
+    for bad in (damaged, gzip.decompress(records[2]).replace(b"Content-Length", b"Content-Size")):
+        with pytest.raises(warc.WarcError):
+            warc.parse(bad)
