@@ -1,7 +1,8 @@
 """Nearest neighbours by sharded, robust-pruned graphs.
 
-* Vectors are dealt to shards of about ``SHARD_ROWS`` rows by a hash of their id, so a
-  vector that very many rows share is spread too. Inside a shard equal vectors are one
+* Vectors are dealt to shards by a hash of their id, so a vector that very many rows share is
+  spread too. Shards grow with the data, from ``SHARD_ROWS`` rows to what fits
+  ``SHARD_BYTES``, as every query is put to every shard: two shards a core, if they fit. Inside a shard equal vectors are one
   node, which keeps the ids that can ever be among the nearest (the k + 1 smallest).
 * A shard's graph grows in batches: greedy beam searches through the graph so far
   propose neighbours, robust pruning with a relaxed distance (``ALPHA``) keeps diverse
@@ -11,8 +12,8 @@
   more than ``SPREAD`` has no graph, as beside the largest the others would all look alike;
   its queries are compared with every node, as are queries ``FAR`` larger than the vectors
   of a shard. That takes about the distances that a walk of ``BEAM`` times ``DEGREE`` may.
-* The index is a table with one row per shard (vectors, ids, edges).
-* Queries go to every shard in blocks of ``QUERY_BLOCK``; a beam search finds nearby
+* The index is a table with one row per shard (vectors, ids, edges), dealt one shard a task.
+* Queries go past every shard in blocks, a row per block; a beam search finds nearby
   nodes, whose distances are then computed in double precision from the original
   vectors. The k best of each shard are merged by (distance, id).
 
@@ -24,15 +25,17 @@ An empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import stored
+from revlens.llm.common import block_rows, past_shards, stored
 
 SHARD_ROWS = 4096
-QUERY_BLOCK = 8192
+SHARD_BYTES = 32 << 20
 DEGREE = 32
 BUILD_BEAM = 64
 BEAM = 128
@@ -199,7 +202,8 @@ def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
             "edges": [edges.tobytes()], "entries": [entries.tobytes()],
         })
 
-    return _shard(rows, shards).groupBy("dim", "shard").applyInPandas(
+    # one shard a task: a graph takes far longer than its bytes tell
+    return _shard(rows, shards).repartitionById(shards, F.col("shard")).groupBy("shard", "dim").applyInPandas(
         build, "dim int, shard int, vectors binary, ids binary, owner binary, edges binary, entries binary"
     )
 
@@ -215,59 +219,91 @@ def _wide(x: np.ndarray) -> bool:
         return bool(peak.max() / peak.min() > SPREAD)
 
 
-def search_shard(index: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    """query_id, vec_id, score: the k nearest of one shard for each query of a block."""
-    if not len(index) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-    row = index.iloc[0]
-    x = np.frombuffer(row["vectors"]).reshape(-1, int(row["dim"]))
-    ids, owner = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owner"], np.int64)
-    edges = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1)
-    entries = np.frombuffer(row["entries"], np.int32)
-    scale, wide = _scale(x), _wide(x)
-    small = (x / scale).astype(np.float32)
-    begin, end = np.searchsorted(owner, np.arange(len(x))), np.searchsorted(owner, np.arange(len(x)), side="right")
-    out = []
-    for at in range(0, len(queries), BATCH):
-        part = queries.iloc[at : at + BATCH]
-        q = np.array(part["vector"].tolist(), dtype=np.float64)
-        with np.errstate(over="ignore"):
-            scaled = q / scale
-        far = wide | (np.abs(scaled).max(axis=1) > FAR)
-        found = np.empty((len(q), beam), dtype=np.int32)
-        if not far.all():
-            found[~far], _ = beam_search(small, edges, entries, scaled[~far].astype(np.float32), beam)
-        for own, v, near, every in zip(part["vec_id"], q, found, far, strict=True):
-            near = np.arange(len(x)) if every else near[near >= 0]
-            away = x[near] - v
-            score = np.sqrt((away * away).sum(axis=1))
-            n = end[near] - begin[near]
-            hit = np.concatenate([ids[begin[i] : end[i]] for i in near])
-            score = np.repeat(score, n)[hit != own]
-            hit = hit[hit != own]
-            best = np.lexsort((hit, score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": hit[best], "score": score[best]}))
-    return pd.concat(out, ignore_index=True)
+class Shard:
+    """A shard of the index, ready to be searched."""
+
+    def __init__(self, row: dict):
+        self.at = (row["shard"], row["dim"])
+        self.x = np.frombuffer(row["vectors"]).reshape(-1, int(row["dim"]))
+        self.ids, owner = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owner"], np.int64)
+        self.edges = np.frombuffer(row["edges"], np.int32).reshape(len(self.x), -1)
+        self.entries = np.frombuffer(row["entries"], np.int32)
+        self.scale, self.wide = _scale(self.x), _wide(self.x)
+        self.small = (self.x / self.scale).astype(np.float32)
+        every = np.arange(len(self.x))
+        self.begin, self.end = np.searchsorted(owner, every), np.searchsorted(owner, every, side="right")
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> Iterator[pd.DataFrame]:
+        """query_id, vec_id, score: the k nearest of the shard for each query."""
+        for at in range(0, len(q), BATCH):
+            part = q[at : at + BATCH]
+            with np.errstate(over="ignore"):
+                scaled = part / self.scale
+            far = self.wide | (np.abs(scaled).max(axis=1) > FAR)
+            found = np.empty((len(part), beam), dtype=np.int32)
+            if not far.all():
+                found[~far], _ = beam_search(self.small, self.edges, self.entries, scaled[~far].astype(np.float32), beam)
+            for own, v, near, every in zip(query_ids[at : at + BATCH], part, found, far, strict=True):
+                near = np.arange(len(self.x)) if every else near[near >= 0]
+                away = self.x[near] - v
+                score = np.sqrt((away * away).sum(axis=1))
+                n = self.end[near] - self.begin[near]
+                hit = np.concatenate([self.ids[self.begin[i] : self.end[i]] for i in near])
+                score = np.repeat(score, n)[hit != own]
+                hit = hit[hit != own]
+                best = np.lexsort((hit, score))[:k]
+                yield pd.DataFrame({"query_id": own, "vec_id": hit[best], "score": score[best]})
+
+
+def query_blocks(asked: DataFrame, per_block: int, blocks: int) -> DataFrame:
+    """dim, ids, vectors: blocks of queries as bytes."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        parts = [pdf.iloc[at : at + per_block] for at in range(0, len(pdf), per_block)]
+        return pd.DataFrame({
+            "dim": [p["dim"].iloc[0] for p in parts], "ids": [p["vec_id"].to_numpy(np.int64).tobytes() for p in parts],
+            "vectors": [np.array(p["vector"].tolist(), dtype=np.float64).tobytes() for p in parts],
+        })
+
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, ids binary, vectors binary")
+
+
+def shards_for(rows: int, cores: int, row_bytes: int, least: int = SHARD_ROWS) -> int:
+    """Two shards a core, of ``least`` rows at least and ``SHARD_BYTES`` at most."""
+    own = max(least, -(-rows // (2 * cores)))
+    return max(1, -(-rows // max(1, min(own, SHARD_BYTES // row_bytes))))
 
 
 def nearest(
-    spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, beam: int = BEAM
+    spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int | None = None, beam: int = BEAM
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of the rows whose id is divisible by ``every``."""
     rows = stored(spark, clean(vectors), "vectors")
-    shards = max(1, -(-rows.count() // shard_rows))
+    facts = rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).first()
+    row_bytes = 8 * max(facts["dim"] or 0, 1)
+    cores = spark.sparkContext.defaultParallelism
+    shards = shards_for(facts["n"], cores, row_bytes) if shard_rows is None else max(1, -(-facts["n"] // shard_rows))
     index = stored(spark, build_index(rows, shards, k), "graph-index")
+    per_block = block_rows(spark, row_bytes + 8)
     asked = rows.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    found = (
-        dealt.groupBy(*keys)
-        .cogroup(asked.groupBy(*keys))
-        .applyInPandas(lambda i, q: search_shard(i, q, k, beam), "query_id long, vec_id long, score double")
-    )
+    blocks = stored(spark, query_blocks(asked, per_block, max(1, -(-facts["asked"] // (64 * per_block)))), "query-blocks")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = None
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                if not row["asked"]:
+                    shard = Shard(row)
+                elif shard is not None and shard.at == (row["shard"], row["dim"]):  # else no rows of that dimension here
+                    q = np.frombuffer(row["vectors"]).reshape(-1, int(row["dim"]))
+                    out += shard.search(np.frombuffer(row["ids"], np.int64), q, k, beam)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    found = past_shards(index, blocks, shards, search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

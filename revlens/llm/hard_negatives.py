@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import map_slices, stored
+from revlens.llm.common import block_rows, past_shards, stored
 
 SCALE = 256
 SHARD_BYTES = 32 << 20
@@ -45,8 +45,6 @@ FIT_ROWS = 4096
 CODEWORDS = 24
 ROUNDS = 6
 WINDOW = 1024
-#: Bytes of anchors that a task holds at once.
-BATCH_BYTES = 32 << 20
 #: Whole numbers up to this are exact in double precision.
 EXACT = 1 << 53
 LONG = (1 << 63) - 1
@@ -241,14 +239,14 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, ids binary, labels binary, vectors binary")
 
 
-def blocks_of(anchors: DataFrame, block_rows: int, blocks: int) -> DataFrame:
+def blocks_of(anchors: DataFrame, per_block: int, blocks: int) -> DataFrame:
     """dim, ids, labels, vectors, tops: blocks of anchors as bytes; ``tops`` are K scores of each, -1 where there are fewer."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         pdf = pdf.sort_values("vec_id")
-        for at in range(0, len(pdf), block_rows):
-            part = pdf.iloc[at : at + block_rows]
+        for at in range(0, len(pdf), per_block):
+            part = pdf.iloc[at : at + per_block]
             tops = np.full((len(part), K), -1, dtype=np.int64)
             for k, own in enumerate(part["tops"]):
                 tops[k, : len(own)] = own
@@ -266,7 +264,7 @@ def _matrix(row, dim: int) -> np.ndarray:
     return np.frombuffer(row["vectors"]).reshape(-1, dim)
 
 
-def past_shards(index: DataFrame, blocks: DataFrame, shards: int, answer: Callable) -> DataFrame:
+def ask_shards(index: DataFrame, blocks: DataFrame, shards: int, answer: Callable) -> DataFrame:
     """Rows (anchor_id, top, vec_id, score) of ``answer(shard, q, own, label, tops, bounds)`` for
     every shard and anchor. A shard comes first in its task, then the blocks one after another."""
 
@@ -292,10 +290,7 @@ def past_shards(index: DataFrame, blocks: DataFrame, shards: int, answer: Callab
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    every = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asked", F.lit(True))
-    both = index.withColumns({"tops": F.lit(None).cast("binary"), "asked": F.lit(False)}).unionByName(every)
-    dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "asked")
-    return map_slices(dealt, run, "anchor_id long, top long, vec_id long, score long", 64)
+    return past_shards(index, blocks, shards, run, "anchor_id long, top long, vec_id long, score long")
 
 
 def mine(
@@ -315,10 +310,8 @@ def mine(
         cores = spark.sparkContext.defaultParallelism
         shard_rows = max(1, min(SHARD_BYTES // row_bytes, max(LEAST_ROWS, -(-facts["n"] // (2 * cores)))))
     shards = max(1, -(-facts["n"] // shard_rows))
-    # an Arrow batch of blocks stays within BATCH_BYTES
-    batch = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    block_rows = max(1, BATCH_BYTES // (max(batch, 1) * (row_bytes + 8 * (K + 2))))
-    blocks = max(1, -(-facts["anchors"] // (64 * block_rows)))
+    per_block = block_rows(spark, row_bytes + 8 * (K + 2))
+    blocks = max(1, -(-facts["anchors"] // (64 * per_block)))
     index = stored(spark, build_index(rows, shards), "negatives-index")
     anchors = rows.filter(F.col("vec_id") % every == 0)
 
@@ -329,16 +322,16 @@ def mine(
         for top, found in zip(tops, find_negatives(shard, q, label, tops, bounds, k, low, high), strict=True):
             yield top, *found
 
-    first = blocks_of(anchors.withColumn("tops", F.array().cast("array<long>")), block_rows, blocks)
-    near = past_shards(index, stored(spark, first, "anchors"), shards, same_label)
+    first = blocks_of(anchors.withColumn("tops", F.array().cast("array<long>")), per_block, blocks)
+    near = ask_shards(index, stored(spark, first, "anchors"), shards, same_label)
     by_score = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     positives = near.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k)
     # a window below a negative score is empty
     positives = stored(spark, positives.filter("score >= 0").select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     tops = positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_set("positive_score").alias("tops"))  # at most k
-    second = blocks_of(anchors.join(tops, "vec_id"), block_rows, blocks)
-    hard = past_shards(index, stored(spark, second, "anchors"), shards, other_labels)
+    second = blocks_of(anchors.join(tops, "vec_id"), per_block, blocks)
+    hard = ask_shards(index, stored(spark, second, "anchors"), shards, other_labels)
     by_window = Window.partitionBy("anchor_id", "top").orderBy(F.desc("score"), "vec_id")
     hard = hard.withColumn("rank", F.row_number().over(by_window)).filter(F.col("rank") <= k)
     hard = hard.select("anchor_id", F.col("top").alias("positive_score"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))

@@ -100,3 +100,21 @@ def test_one_large_query_sees_every_shard(spark):
     rows[100] = (100, [1e12] * 16)
     got, want = searched(spark, rows, shard_rows=1500), brute(rows, 100, 10)
     assert got[100] == want[100]
+
+
+def test_shards_grow_with_the_data():
+    mb = 1 << 20
+    assert graph_search.shards_for(500, 8, 512) == 1
+    assert graph_search.shards_for(51_282, 6, 512) == 12  # two a core
+    assert graph_search.shards_for(10**6, 1000, 512) == 245  # not below the least rows
+    assert graph_search.shards_for(10**9, 1000, 512) == -(-(10**9) // (graph_search.SHARD_BYTES // 512))
+    assert graph_search.SHARD_BYTES == 32 * mb and graph_search.shards_for(0, 8, 8) == 1
+
+
+def test_blocks_not_rows_travel(spark):
+    rows = [(k, [float(k % 7), 1.0]) for k in range(3000)]
+    df = spark.createDataFrame([(i, v, 0, 1, "d") for i, v in rows], SCHEMA)
+    clean = graph_search.clean(df)
+    blocks = graph_search.query_blocks(clean.filter("vec_id % 10 = 0"), 50, 3).collect()
+    assert sum(len(b["ids"]) // 8 for b in blocks) == 300 and len(blocks) <= 3 + 300 // 50
+    assert all(len(b["ids"]) <= 50 * 8 for b in blocks)
