@@ -4,20 +4,24 @@ Keys are 64-bit hashes of the whole text; a bucket holds all keys with a common
 
 * Directory: the bytes per key prefix are counted in one pass. Starting from a single
   bucket, the directory doubles while a bucket is overfull and could still be split; a
-  split gives the two halves a local depth of one more. It never has more than
-  ``2 ** MAX_DEPTH`` entries, so planning it and sending it to tasks is bounded.
+  split gives the two halves a local depth of one more. Prefixes have ``DEPTH`` bits, and
+  more where the data is so large that its buckets would come near to single prefixes (they
+  are counted once more then), but never more than ``MAX_DEPTH``. So planning the directory
+  and sending it to tasks is bounded.
 * Pages: each task folds equal texts of its own rows into one entry with the list of
   their ids, comparing the texts, before anything is shuffled. A text that makes up a
   third of all rows reaches its owner as one entry for each batch of rows.
-* Owners: whole buckets (key ranges) are dealt to owner tasks by bytes. A task reads its
+* Owners: whole buckets (key ranges) are dealt to owner tasks by bytes, at most one task a
+  bucket. A task reads its
   entries in key order, chains entries whose keys collide, and compares their bytes, so
   two texts with one key get different chain numbers. The leaves are written to shared
   files without the texts.
 * Totals per (key, chain) come from a partial aggregation over the leaves.
 
 Of equal texts, the row with the largest ``doc_id`` stays. Null text counts as empty.
-Null ids come before all others; of rows that repeat the kept id, one stays. An empty
-table gives an empty result; further columns are ignored.
+Null ids come before all others; of rows that repeat the kept id, one stays. A text may be
+of any length, and is one value. An empty table gives an empty result. Further columns are
+ignored by ``find_duplicates`` and returned as they were by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import map_slices, stored, text_or_empty
+from revlens.llm.common import boxed, map_slices, stored, text_or_empty
 
-MAX_DEPTH = 16
+DEPTH, MAX_DEPTH = 16, 22
 BUCKET_BYTES = 32 << 20
 #: Bytes that an entry counts besides its text.
 ENTRY_BYTES = 64
@@ -73,12 +77,32 @@ def deal_owners(loads: np.ndarray, owners: int) -> np.ndarray:
     return np.minimum((middle * owners / max(ends[-1], 1)).astype(np.int64), owners - 1)
 
 
-def _prefix(key, depth: int = MAX_DEPTH):
+def depth_for(total: float, bucket_bytes: int) -> int:
+    """Bits of the prefixes that are counted: about four of them to a bucket."""
+    return int(min(max(DEPTH, np.ceil(np.log2(max(total, 1) / bucket_bytes)) + 2), MAX_DEPTH))
+
+
+def owners_for(total: float, bucket_bytes: int, buckets: int, partitions: int) -> int:
+    """Number of owner tasks: by bytes, at least the session's partitions, at most the buckets."""
+    return max(1, min(buckets, max(int(np.ceil(total / bucket_bytes)), partitions)))
+
+
+def _prefix(key, depth: int):
     return F.shiftrightunsigned(key, 64 - depth)
 
 
+def prefix_bytes(rows: DataFrame, depth: int) -> np.ndarray:
+    """Bytes per key prefix."""
+    counted = rows.groupBy(_prefix(F.col("key"), depth).alias("prefix")).agg(F.sum(F.octet_length("text") + ENTRY_BYTES).alias("bytes"))
+    weights = np.zeros(1 << depth)
+    found = counted.toPandas()  # at most 2 ** MAX_DEPTH rows of two numbers
+    weights[found["prefix"].to_numpy(np.int64)] = found["bytes"].to_numpy(np.float64)
+    return weights
+
+
 def fold_pages(rows: DataFrame, directory: np.ndarray, owner_of: np.ndarray) -> DataFrame:
     """One entry per distinct text of each batch: owner, bucket, key, sha256, ids, page, text."""
+    shift = np.uint64(64 - (len(directory).bit_length() - 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number = TaskContext.get().partitionId(), 0
@@ -89,7 +113,7 @@ def fold_pages(rows: DataFrame, directory: np.ndarray, owner_of: np.ndarray) ->
                 entries.setdefault(text, []).append(None if pd.isna(doc_id) else int(doc_id))
                 keys[text] = key
             key = np.array(list(keys.values()), dtype=np.int64)
-            bucket = directory[(key.view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)]
+            bucket = directory[(key.view(np.uint64) >> shift).astype(np.int64)]
             # largest id first, nulls last: the head of the list is the entry's best row
             ids = [sorted(v, key=lambda x: (x is None, -(x or 0))) for v in entries.values()]
             yield pd.DataFrame({
@@ -127,16 +151,11 @@ def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find_duplicates(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, bucket: one row per input row."""
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("text"))
-    counted = (
-        rows.groupBy(_prefix(F.col("key")).alias("prefix"))
-        .agg(F.sum(F.octet_length("text") + ENTRY_BYTES).alias("bytes"))
-        .collect()  # at most 2 ** MAX_DEPTH rows
-    )
-    weights = np.zeros(1 << MAX_DEPTH)
-    for r in counted:
-        weights[r["prefix"]] = r["bytes"]
+    weights = prefix_bytes(rows, DEPTH)
+    if (depth := depth_for(weights.sum(), bucket_bytes)) > DEPTH:
+        weights = prefix_bytes(rows, depth)
     directory, loads = grow_directory(weights, bucket_bytes)
-    owners = max(int(np.ceil(loads.sum() / bucket_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = owners_for(loads.sum(), bucket_bytes, len(loads), int(spark.conf.get("spark.sql.shuffle.partitions")))
     owner_of = deal_owners(loads, owners).astype(np.int32)
 
     pages = fold_pages(rows, directory.astype(np.int32), owner_of)
@@ -166,11 +185,11 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BU
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without the copies of a document that stays; columns as they were."""
     found = find_duplicates(spark, docs).filter(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    goes = stored(spark, found.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("__row")), "copies")
+    goes = stored(spark, found.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("key")), "copies")
     # rows that repeat both id and text have one key: one of them stays
-    keyed = docs.withColumn("__row", _row_key(F.col("doc_id").cast("long"), F.sha2(text_or_empty(), 256)))
-    once = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))).filter("__n = 1")
-    return once.join(goes, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = boxed(docs, key=_row_key(F.col("doc_id").cast("long"), F.sha2(text_or_empty(), 256)))
+    once = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).filter("n = 1")
+    return once.join(goes, "key", "left_anti").select("row.*")
 
 
 def _row_key(doc_id: Column, sha256: Column) -> Column:

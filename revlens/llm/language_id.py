@@ -13,9 +13,11 @@
 
 Only ``text`` and ``lang`` of training rows are learned from; a row is held out when
 crc32 of its ``doc_id`` as text leaves 0 modulo ``FOLDS`` (a null id counts as empty
-text, and so is held out). Null texts and texts without letters are ``und`` with score
+text, and so is held out). At most ``MAX_LANGUAGES`` values of ``lang`` are learned, the most
+frequent ones (ties: the first by code point), which bounds the model. Null texts and texts without letters are ``und`` with score
 0, as is everything when no labelled row exists; ties go to the first language by code
-point. Long texts are read in blocks. An empty table gives an empty result.
+point. Long texts are read in blocks. An empty table gives an empty result. Further columns
+are ignored by ``identify`` and returned as they were by ``keep_identified``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import map_slices, stored
+from revlens.llm.common import boxed, map_slices, stored
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FOLDS = 5
 SAMPLE_PER_LANGUAGE = 1500
+MAX_LANGUAGES = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 UNKNOWN = "und"
@@ -170,10 +173,13 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_L
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    sizes = {r["lang"]: r["n"] for r in most[:MAX_LANGUAGES]}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
+    if len(most) > MAX_LANGUAGES:
+        rows = rows.filter(F.col("lang").isin(languages))
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)) + 1
 
@@ -245,5 +251,4 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if not model.languages:
         return docs
     predict = predictor(model)
-    found = docs.withColumn("__language", predict(F.col("text").cast("string")))
-    return found.filter(F.col("__language.lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return boxed(docs, found=predict(F.col("text").cast("string"))).filter(F.col("found.lang_pred") != UNKNOWN).select("row.*")

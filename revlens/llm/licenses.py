@@ -21,7 +21,8 @@ least ``CONTAINMENT`` of its shingles.
 The templates are a parameter, at most ``MAX_TEMPLATE_WORDS`` words in all, and are sent
 to every task; documents are scanned whole, in place, without a shuffle. Null and empty
 texts, and texts shorter than a shingle, hold no license. A null ``doc_id`` stays null,
-repeated rows are scanned each, and an empty table gives an empty result.
+repeated rows are scanned each, and an empty table gives an empty result. Further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ comes nearest (ties: the smallest).
 
 Null texts have no words. Null sources form one source of their own. Rows that repeat a
 ``doc_id`` share its draw, as do rows without one (told apart by their text). An empty
-table gives an empty result; sources without words get target 0 and nothing is taken.
+table gives an empty result; sources without words get target 0 and nothing is taken. Texts of
+any length are counted whole, in one expression. Further columns are ignored by ``mix`` and
+returned as they were by ``repeat``, whatever their names.
 """
 
 from __future__ import annotations

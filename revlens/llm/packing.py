@@ -12,7 +12,8 @@
 
 Null and empty texts are one piece holding only the closing id. Repeated rows are
 packed as often as they occur; a null ``doc_id`` stays null. An empty table gives an
-empty result. Only ``doc_id`` and ``text`` are read, other columns do not matter.
+empty result. A text of any length is encoded whole, one at a time. Only ``doc_id`` and
+``text`` are read, other columns do not matter.
 """
 
 from __future__ import annotations

@@ -26,7 +26,9 @@ suffixes are sorted at sample positions, which equal runs pick alike (see
 
 Null texts are empty. Null ids come after all others. Rows that share an id are ordered
 by a hash of their text; rows that repeat both are one document and get the same result.
-An empty table gives an empty result; further columns are ignored.
+Texts of any length are read in blocks; the kept bytes of one text are one value. Above
+``HOT_ROWS`` positions of one gram, runs are equal by a 64-bit hash of their bytes, not by the
+bytes. An empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

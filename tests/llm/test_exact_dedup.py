@@ -61,3 +61,35 @@ def test_directory_splits_only_overfull_buckets():
     assert len(loads) < 16
     one, _ = exact_dedup.grow_directory(weights, 1000)
     assert set(one) == {0}
+
+
+def test_clashing_columns_stay_as_they_were(spark):
+    from tests.llm.conftest import CLASHES
+
+    docs = spark.createDataFrame(
+        [(k, t, *(f"{c}{k}" for c in CLASHES)) for k, t in [(1, "same"), (2, "same"), (3, "other"), (3, "other"), (None, None)]],
+        "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHES),
+    )
+    kept = exact_dedup.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    rows = [tuple(r) for r in kept.collect()]
+    assert set(rows) <= {tuple(r) for r in docs.collect()} and Counter(r[0] for r in rows) == {2: 1, 3: 1, None: 1}
+
+
+def test_owners_and_depth_for_sizes_that_are_not_here():
+    mb, tb = 1 << 20, 1 << 40
+    assert exact_dedup.depth_for(500 * mb, 32 * mb) == exact_dedup.DEPTH
+    assert exact_dedup.depth_for(100 * tb, 32 * mb) == exact_dedup.MAX_DEPTH
+    assert exact_dedup.depth_for(2 * tb, 32 * mb) == 18
+    assert exact_dedup.owners_for(100 * tb, 32 * mb, 1 << 22, 2000) == 100 * tb // (32 * mb)
+    assert exact_dedup.owners_for(100 * tb, 32 * mb, 65_536, 2000) == 65_536  # never more than the buckets
+    assert exact_dedup.owners_for(10 * mb, 32 * mb, 1, 200) == 1
+    assert exact_dedup.owners_for(0, 32 * mb, 1, 200) == 1
+
+
+def test_deeper_prefixes_give_the_same(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "DEPTH", 3)
+    rows = [(k, f"text {k % 40} " * 30) for k in range(200)]
+    found = exact_dedup.find_duplicates(spark, make_docs(rows).repartition(3), bucket_bytes=1000)
+    assert as_counter(found) == brute(rows)
+    assert found.select("bucket").distinct().count() > 8

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -30,6 +32,25 @@ def test_empty_and_odd(spark, make_docs, odd_rows, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
 
 
+def test_clashing_columns_pass_every_stage(spark, tmp_path):
+    from tests.llm.conftest import CLASHES, words
+
+    rng = random.Random(3)
+    rows = [(k, words(rng, 40), "en", f"s{k % 2}") for k in range(12)]
+    rows += [(20, rows[0][1], "en", "s0"), (21, rows[1][1] + " end", "en", "s1")]
+    docs = spark.createDataFrame(
+        [(*r, *(f"{c}{r[0]}" for c in CLASHES)) for r in rows],
+        "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES),
+    )
+    before = {tuple(r) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        docs = kept
+        assert {tuple(r) for r in docs.collect()} <= before
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 10
+
+
 def test_full_outputs_are_made(spark, monkeypatch):
     import zlib
 
