@@ -5,7 +5,7 @@
     python -m revlens test  --testdata /root/testdata/sf0.1 [--fail-on error]
     python -m revlens show  --testdata /root/testdata/sf0.1 dash_mrr_trend --segment SMB
 
-``build`` writes every mart (overwrite) in dependency order and prints the load report;
+``build`` writes every mart (a new version, older ones go) in dependency order and prints the load report;
 ``test`` prints the quality summary (one row per rule); ``show`` prints a dashboard query.
 Without ``--master`` the session comes from the environment (spark-submit).
 """
@@ -43,6 +43,9 @@ def main(argv=None) -> int:
     p.add_argument("--horizon", help="start,end,open_end dates (raw-dir only)")
     p.add_argument("--out", help="warehouse folder for 'build'; folder for the whole result of 'show'")
     p.add_argument("--limit", type=int, default=100, help="rows that 'show' prints; it says how many it left out")
+    p.add_argument("--database", help="for 'build': also register the tables, and the staging views, in this database")
+    p.add_argument("--buckets", type=int, default=0, help="for 'build' with --database: buckets by account of the marts joined on it")
+    p.add_argument("--keep", type=int, default=1, help="versions of a table that 'build' leaves, the new one included")
     p.add_argument("--fail-on", default="error")
     p.add_argument("--segment")
     p.add_argument("--region")
@@ -59,13 +62,17 @@ def main(argv=None) -> int:
 
     if args.command == "build":
         from revlens.plans.model import MART_ORDER
-        from revlens.sources.files import load_report
+        from revlens.sources.files import observed_report
+        from revlens.sources.tables import TableCatalog
 
         if not args.out:
             p.error("build needs --out")
-        wh.load_raw(f"{args.out.rstrip('/')}/raw")
-        load_report(wh.raw_tables).show(20, truncate=False)
-        for name, path in wh.materialize(args.out, MART_ORDER).items():
+        folder, counts = f"{args.out.rstrip('/')}/raw", {}
+        wh.load_raw(folder, database=args.database, counts=counts, keep=args.keep)
+        observed_report(spark, counts).show(20, truncate=False)
+        if args.database:
+            wh.publish_views(TableCatalog(spark, args.database, folder))
+        for name, path in wh.materialize(args.out, MART_ORDER, args.database, args.buckets, args.keep).items():
             print(f"built {name} -> {path}")
     elif args.command == "test":
         from revlens.plans.quality import RULES, QualityError, enforce, run_checks

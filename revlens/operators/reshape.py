@@ -23,12 +23,21 @@ def cohort_pivot(df: DataFrame, row: str, column: str, value: Column, max_column
     """Matrix ``row x column`` of ``value`` for columns 0..``max_column``.
 
     The columns are fixed, so no pass over the data looks for them first. Cells at a
-    negative offset are counted in ``before`` (null where a row has none).
+    negative offset, of which there may be any number, are the map ``before`` from offset
+    to value, in order of the offset (null where a row has none). Of repeated cells the
+    largest value counts.
     """
-    kept = df.where(F.col(column) <= max_column)
-    cells = [F.max(F.when(F.col(column) == k, value)).alias(str(k)) for k in range(max_column + 1)]
-    before = F.count_if(F.col(column) < 0)
-    return kept.groupBy(row).agg(*cells, F.when(before > 0, before).alias("before"))
+    kept = df.where(F.col(column) <= max_column).groupBy(row, column).agg(F.max(value).alias("_cell"))
+    cells = [F.max(F.when(F.col(column) == k, F.col("_cell"))).alias(str(k)) for k in range(max_column + 1)]
+    early = F.sort_array(F.collect_list(F.when(F.col(column) < 0, F.struct(F.col(column), F.col("_cell")))))
+    before = F.when(F.size(early) > 0, F.map_from_entries(early))
+    return kept.groupBy(row).agg(*cells, before.alias("before"))
+
+
+def map_text(pairs: Column, scale: int = 1) -> Column:
+    """A map of numbers as text ``key:value,key:value`` with ``scale`` decimals, for consumers without maps."""
+    entry = lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast(f"decimal(38,{scale})").cast("string"))
+    return F.array_join(F.transform(F.map_entries(pairs), entry), ",")
 
 
 def one_row(spark: SparkSession, *aggregates: DataFrame) -> DataFrame:

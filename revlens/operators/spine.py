@@ -50,6 +50,20 @@ def calendar(spark: SparkSession, horizon: Horizon) -> DataFrame:
     return calendar_from_bounds(bounds)
 
 
+def register_series(spark: SparkSession) -> None:
+    """SQL table functions ``month_series(lo, hi)`` and ``day_series(lo, hi)`` of the session.
+
+    ``FROM t, LATERAL month_series(t.lo, t.hi) m`` gives a row per first-of-month (or day) from
+    ``lo`` to ``hi``, both included, and plans as a generator: no calendar, no join. A
+    reversed or null bound gives no rows.
+    """
+    for name, column, unit in (("month_series", "month", "MONTH"), ("day_series", "day", "DAY")):
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(lo DATE, hi DATE) RETURNS TABLE ({column} DATE) "
+            f"RETURN SELECT explode(CASE WHEN lo <= hi THEN sequence(lo, hi, INTERVAL 1 {unit}) END)"
+        )
+
+
 def month_spine(df: DataFrame, first: Column, last: Column, horizon: Horizon, name: str = "month") -> DataFrame:
     """Expand each row to the first-of-month dates from ``first`` to ``last``.
 

@@ -49,8 +49,8 @@ def _with_dim(fact: DataFrame, wh: Warehouse, filters: Filters) -> DataFrame:
 
 
 def _latest_month(wh: Warehouse) -> Column:
-    """Scalar subquery: the latest revenue month (unfiltered)."""
-    return wh.ref("fct_revenue_monthly").agg(F.max("revenue_month")).scalar()
+    """The latest revenue month (unfiltered); from the partition folders where the fact is written."""
+    return wh.latest("fct_revenue_monthly", "revenue_month")
 
 
 def dash_filter_options(wh: Warehouse) -> DataFrame:
@@ -134,8 +134,8 @@ def dash_deal_value(wh: Warehouse) -> DataFrame:
 
 
 def dash_cohort_heatmap(wh: Warehouse, max_bucket: int = 12) -> DataFrame:
-    """Cohort x bucket retention matrix in percent (buckets 0..max_bucket, and the number
-    of earlier buckets in ``before``)."""
+    """Cohort x bucket retention matrix in percent: a column for each bucket 0..max_bucket, and
+    the earlier buckets in the map ``before``."""
     r = wh.ref("fct_retention")
     m = cohort_pivot(r, "cohort_month", "months_since_cohort", F.col("retention_rate") * 100, max_bucket)
     return m.orderBy("cohort_month")

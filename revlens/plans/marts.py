@@ -61,9 +61,13 @@ def paid_invoices(wh: Warehouse) -> DataFrame:
 
 
 def subscription_months(wh: Warehouse) -> DataFrame:
-    """One row per subscription and month it was active (start month .. end or horizon)."""
+    """One row per subscription and month it was active (start month .. end or horizon).
+
+    The subscriptions are dealt out by account before they expand: they are few bytes, which
+    one task may hold, but many months.
+    """
     h = wh.horizon
-    subs = wh.ref("stg_subscriptions").select("account_id", "subscription_id", "start_date", "end_date")
+    subs = wh.ref("stg_subscriptions").select("account_id", "subscription_id", "start_date", "end_date").repartition("account_id")
     months = month_spine(
         subs,
         month_start(F.col("start_date")),
@@ -80,17 +84,23 @@ def monthly_revenue(wh: Warehouse) -> DataFrame:
     Instead of ``left join invoices on (account, month, status)`` followed by a group by,
     both inputs are unioned and aggregated once (a co-group): ``n_sub`` subscription
     rows and ``paid`` invoice total give ``mrr = n_sub * paid``, exactly the join's
-    fan-out sum; ``max(end_date)`` ignores nulls as before. Partial aggregation runs
-    before the only exchange.
+    fan-out sum; ``max(end_date)`` ignores nulls as before. Invoices are summed per
+    account-month first, so a hot account is one row a month; then both inputs are dealt
+    out by account, subscriptions before they expand. The aggregation and the window
+    behind it find their rows in place.
     """
     sub_rows = subscription_months(wh).select(
         "account_id", "revenue_month", F.lit(1).alias("n_sub"), "end_date",
         F.lit(None).cast("decimal(18,2)").alias("amount"),
     )
     # a null account never equals another one, so its invoices join no subscription
-    inv_rows = paid_invoices(wh).where(F.col("account_id").isNotNull()).select(
-        "account_id", month_start(F.col("invoice_date")).alias("revenue_month"), F.lit(0).alias("n_sub"),
-        F.lit(None).cast("date").alias("end_date"), "amount",
+    inv_rows = (
+        paid_invoices(wh)
+        .where(F.col("account_id").isNotNull())
+        .groupBy("account_id", month_start(F.col("invoice_date")).alias("revenue_month"))
+        .agg(money_sum("amount").cast("decimal(18,2)").alias("amount"))
+        .repartition("account_id")
+        .select("account_id", "revenue_month", F.lit(0).alias("n_sub"), F.lit(None).cast("date").alias("end_date"), "amount")
     )
     return (
         sub_rows.unionByName(inv_rows)
@@ -112,8 +122,8 @@ def monthly_revenue(wh: Warehouse) -> DataFrame:
 def revenue_with_lag(wh: Warehouse) -> DataFrame:
     """Previous and next month's mrr per account (zero months included).
 
-    The window re-partitions the aggregated account-months by account; each window
-    partition holds at most the calendar's months, whatever the skew of the raw rows.
+    The account-months lie by account already; each window partition holds at most the
+    calendar's months, whatever the skew of the raw rows.
     """
     return lag_lead(monthly_revenue(wh), "mrr", ["account_id"], "revenue_month", prev="prev_mrr", nxt="next_mrr")
 
@@ -213,7 +223,7 @@ def fct_activation(wh: Warehouse) -> DataFrame:
         F.count(F.lit(1)).alias("total_users"),
         F.count("activation_timestamp").alias("activated_users"),
     )
-    med = exact_median(ua, ["account_id"], "_days", "_median").withColumnRenamed("account_id", "_med_account")
+    med = exact_median(ua, ["account_id"], "_days", "_median", written=wh.step).withColumnRenamed("account_id", "_med_account")
     m = metrics.join(med, metrics["account_id"] == med["_med_account"], "left")
     dim = _dim_attrs(wh, "segment", "acquisition_channel")
     return m.join(dim, m["account_id"] == dim["_dim_account"]).select(
@@ -283,7 +293,7 @@ def fct_support(wh: Warehouse) -> DataFrame:
         F.sum(hours).alias("_hours_sum"),
         F.count(hours).alias("_hours_n"),
     )
-    med = exact_median(t, ["account_id"], "resolution_hours", "_median").withColumnRenamed("account_id", "_med_account")
+    med = exact_median(t, ["account_id"], "resolution_hours", "_median", written=wh.step).withColumnRenamed("account_id", "_med_account")
     m = tm.join(med, tm["account_id"] == med["_med_account"], "left")
     dim = _dim_attrs(wh, "segment", "region")
     avg_hours = F.col("_hours_sum") / F.when(F.col("_hours_n") > 0, F.col("_hours_n").cast("decimal(18,0)"))

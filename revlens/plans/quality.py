@@ -1,7 +1,8 @@
 """The data-quality suite: 39 declarative column rules and 2 singular assertions.
 
-``run_checks`` evaluates all rules together: one pass over each model and one
-aggregation by (rule, key). ``violations`` lists the violating values of one kind.
+All rules are evaluated together (``_counted``): one pass over each model and one aggregation
+by typed key. ``run_checks`` sums the failures of each rule, ``violations`` lists the
+violating values of one kind.
 Failures follow the usual test-runner counting: rows returned by the failing query
 (duplicated values, null rows, distinct unaccepted values, orphan child rows).
 Every rule has severity ``warn``: failures are reported, the run is not stopped.
@@ -14,8 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from revlens.operators.quality import check_accepted, check_not_null, check_relationship, check_unique
 from revlens.plans.model import Warehouse
 from revlens.sources.values import (
     ACCOUNT_STATUSES,
@@ -74,57 +75,109 @@ RULES: list[tuple[str, str, str, object]] = [
 SUMMARY_COLUMNS = ["model", "column", "rule", "failures", "status"]
 
 
-def _finding(number: int, key: Column, parent: bool = False) -> Column:
-    """One entry of a row for a rule: its key as text, and whether the row is the parent's."""
-    return F.struct(F.lit(number).alias("number"), key.cast("string").alias("key"), F.lit(parent).alias("parent"))
+class _Keys:
+    """The key columns of unique and relationship rules, in groups that are compared.
 
+    Columns that a relationship links, directly or by others, are members of one group, so
+    that one entry of a row serves all rules of its key. A group of whole numbers or dates
+    is keyed by a long, any other one by text.
+    """
 
-def run_checks(wh: Warehouse, rules=RULES, severity: str = "warn") -> DataFrame:
-    """Summary ``(model, column, rule, failures, status)`` with one row per rule.
-
-    Every model is read once: a row yields its key for each unique and relationship rule
-    that needs it (as child or parent), and an entry for each null or unaccepted value.
-    All entries are counted per (rule, key) in a single aggregation, whose partial sums
-    fold hot keys before the shuffle; what a rule calls a failure is read off the counts.
+    def __init__(self, wh: Warehouse, rules: list[tuple]):
+        columns: dict[tuple[str, str], int] = {}
+
+        def join(*keys: tuple[str, str]) -> None:
+            groups = [columns.setdefault(k, len(columns)) for k in keys]
+            for k, g in columns.items():
+                if g in groups:
+                    columns[k] = min(groups)
+
+        for model, column, rule, arg in rules:
+            if rule == "unique":
+                join((model, column))
+            elif rule == "relationships":
+                join((model, column), tuple(arg))
+        self.group = columns
+        self.member: dict[tuple[str, str], int] = {}
+        kinds: dict[int, set[str]] = defaultdict(set)
+        for k, g in columns.items():
+            self.member[k] = sum(1 for other in self.member if columns[other] == g)
+            t = wh.ref(k[0]).schema[k[1]].dataType
+            kinds[g].add("date" if isinstance(t, T.DateType) else "long" if isinstance(t, T.IntegralType) else "text")
+        self.kind = {g: next(iter(k)) if len(k) == 1 else "text" for g, k in kinds.items()}
+        self.members = max(self.member.values(), default=-1) + 1
+
+    def entry(self, key: tuple[str, str]) -> Column:
+        c, group = F.col(key[1]), self.group[key]
+        kind = self.kind[group]
+        number = F.unix_date(c).cast("long") if kind == "date" else c.cast("long") if kind == "long" else F.lit(None).cast("long")
+        text = c.cast("string") if kind == "text" else F.lit(None).cast("string")
+        return F.when(c.isNotNull(), _entry(group, number, text, self.member[key]))
+
+    def value(self, group: int) -> Column:
+        kind = self.kind[group]
+        if kind == "text":
+            return F.col("text")
+        return (F.date_from_unix_date(F.col("number").cast("int")) if kind == "date" else F.col("number")).cast("string")
+
+
+def _entry(group: int, number: Column, text: Column, member: int = 0) -> Column:
+    return F.struct(F.lit(group).alias("group"), number.alias("number"), text.alias("text"), F.lit(member).alias("member"))
+
+
+def _counted(wh: Warehouse, rules: list[tuple]) -> tuple[DataFrame, dict[int, tuple[Column, Column, Column]]]:
+    """Rows per key of every model, and per rule (by position) what to read off a row: whether
+    it violates the rule, the value, and how many rows of the model do so.
+
+    Every model is read once: a row yields an entry for each of its key columns, and one for
+    each null or unaccepted value. One aggregation by (group, key) counts them per member;
+    its partial sums fold hot keys before the shuffle.
     """
-    rules = list(rules)
+    keys = _Keys(wh, rules)
     entries: dict[str, list[Column]] = defaultdict(list)
-    for number, (model, column, rule, arg) in enumerate(rules):
+    for key in keys.group:
+        entries[key[0]].append(keys.entry(key))
+    none = F.lit(None)
+    for k, (model, column, rule, arg) in enumerate(rules):
         c = F.col(column)
         if rule == "not_null":
-            entries[model].append(F.when(c.isNull(), _finding(number, F.lit(""))))
+            entries[model].append(F.when(c.isNull(), _entry(-1 - k, none.cast("long"), none.cast("string"))))
         elif rule == "accepted_values":
-            entries[model].append(F.when(~c.isin(*arg), _finding(number, c)))
-        elif rule in ("unique", "relationships"):
-            entries[model].append(F.when(c.isNotNull(), _finding(number, c)))
-            if rule == "relationships":
-                parent, parent_column = arg
-                key = F.col(parent_column)
-                entries[parent].append(F.when(key.isNotNull(), _finding(number, key, parent=True)))
-        else:
+            entries[model].append(F.when(~c.isin(*arg), _entry(-1 - k, none.cast("long"), c.cast("string"))))
+        elif rule not in ("unique", "relationships"):
             raise ValueError(f"unknown rule {rule!r}")
     found = reduce(DataFrame.union, [
         wh.ref(model).select(F.inline(F.filter(F.array(*cols), lambda e: e.isNotNull()))) for model, cols in entries.items()
     ])
-    per_key = found.groupBy("number", "key").agg(F.count_if(~F.col("parent")).alias("n"), F.max("parent").alias("known"))
+    counts = [F.count_if(F.col("member") == m).alias(f"n{m}") for m in range(max(keys.members, 1))]
+    per_key = found.groupBy("group", "number", "text").agg(*counts)
 
-    def numbers(kind: str) -> list[int]:
-        return [k for k, r in enumerate(rules) if r[2] == kind] or [-1]
+    broken = {}
+    for k, (model, column, rule, arg) in enumerate(rules):
+        if rule in ("not_null", "accepted_values"):
+            broken[k] = (F.col("group") == -1 - k, F.col("text"), F.col("n0"))
+            continue
+        key = (model, column)
+        n, here = F.col(f"n{keys.member[key]}"), F.col("group") == keys.group[key]
+        wrong = n > 1 if rule == "unique" else (n > 0) & (F.col(f"n{keys.member[tuple(arg)]}") == 0)
+        broken[k] = (here & wrong, keys.value(keys.group[key]), n)
+    return per_key, broken
 
-    number, n = F.col("number"), F.col("n")
-    failures = (
-        F.when(number.isin(*numbers("unique")), (n > 1).cast("long"))
-        .when(number.isin(*numbers("accepted_values")), F.lit(1).cast("long"))
-        .when(number.isin(*numbers("not_null")) | ~F.col("known"), n)
-        .otherwise(0)
-    )
-    counted = per_key.groupBy("number").agg(F.sum(failures).alias("failures"))
-    listed = wh.spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("id"), F.lit(m).alias("model"), F.lit(c).alias("column"), F.lit(r).alias("rule"))
+
+def run_checks(wh: Warehouse, rules=RULES, severity: str = "warn") -> DataFrame:
+    """Summary ``(model, column, rule, failures, status)`` with one row per rule."""
+    rules = list(rules)
+    per_key, broken = _counted(wh, rules)
+    by_rows = ("not_null", "relationships")  # these fail once per row, the others once per value
+    sums = [F.sum(F.when(wrong, n if rules[k][2] in by_rows else F.lit(1).cast("long"))).alias(f"r{k}") for k, (wrong, _, n) in broken.items()]
+    totals = per_key.agg(*sums)
+    summary = totals.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(m).alias("model"), F.lit(c).alias("column"), F.lit(r).alias("rule"),
+            F.coalesce(F.col(f"r{k}"), F.lit(0)).cast("long").alias("failures"),
+        )
         for k, (m, c, r, _) in enumerate(rules)
     ])))
-    joined = listed.join(counted, F.col("id") == F.col("number"), "left")
-    summary = joined.select("model", "column", "rule", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
     return summary.withColumn("status", F.when(F.col("failures") > 0, severity).otherwise("pass"))
 
 
@@ -151,21 +204,13 @@ def enforce(summary: DataFrame, fail_on: str = "error") -> list[dict]:
 
 def violations(wh: Warehouse, kind: str, rules=RULES) -> DataFrame:
     """Violating values of all rules of one kind, ``(model, column, value, rows)``."""
-    frames = []
-    for model, column, rule, arg in rules:
-        if rule != kind:
-            continue
-        df = wh.ref(model)
-        if rule == "unique":
-            frames.append(check_unique(df, model, column))
-        elif rule == "not_null":
-            frames.append(check_not_null(df, model, column))
-        elif rule == "accepted_values":
-            frames.append(check_accepted(df, model, column, arg))
-        else:
-            parent, parent_col = arg
-            frames.append(check_relationship(df, model, column, wh.ref(parent), parent_col))
-    return reduce(DataFrame.unionByName, frames)
+    chosen = [r for r in rules if r[2] == kind]
+    per_key, broken = _counted(wh, chosen)
+    found = F.array(*[
+        F.when(wrong, F.struct(F.lit(chosen[k][0]).alias("model"), F.lit(chosen[k][1]).alias("column"), value.alias("value"), n.cast("long").alias("rows")))
+        for k, (wrong, value, n) in broken.items()
+    ])
+    return per_key.select(F.inline(F.filter(found, lambda v: v.isNotNull())))
 
 
 # Rules that the test tables break: each kind finds something when it is run over them.

@@ -3,27 +3,36 @@ and the building-block operators. Every query reads the test tables under ``sf_d
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from revlens.config import Filters
+from revlens.functions.columns import bucket30, month_start
 from revlens.operators.quality import check_relationship, check_unique
+from revlens.operators.reshape import cohort_pivot, map_text
+from revlens.operators.spine import register_series
 from revlens.plans import dashboard as B
 from revlens.plans import quality as Q
 from revlens.plans.building_blocks import OPERATOR_QUERIES
 from revlens.plans.catalog import query, raw_query
+from revlens.plans.marts import paid_invoices
 from revlens.plans.model import MART_ORDER, Warehouse
-from revlens.plans.staging import STAGING, stage
+from revlens.plans.staging import PROBLEM, STAGING, check_rows, stage
 from revlens.session import scratch_dir
 from revlens.sources.files import (
     current_version,
     drop_versions,
     load_report,
+    observed_report,
     raw_path,
     read_csv,
+    read_dirty_csv,
     read_raw,
     text_dates,
     write_table,
 )
+from revlens.sources.tables import TableCatalog
 from revlens.sources.testdata import TestdataRaw
 
 
@@ -46,7 +55,7 @@ query("dash_segment_revenue")(lambda wh: B.dash_segment_revenue(wh))
 query("dash_win_rate")(B.dash_win_rate)
 query("dash_sales_cycle")(B.dash_sales_cycle)
 query("dash_deal_value")(B.dash_deal_value)
-query("dash_cohort_heatmap")(lambda wh: B.dash_cohort_heatmap(wh))
+query("dash_cohort_heatmap")(lambda wh: B.dash_cohort_heatmap(wh).withColumn("before", map_text(F.col("before"))))
 query("dash_activation_vs_retention")(lambda wh: B.dash_activation_vs_retention(wh))
 query("dash_churn_by_cohort")(lambda wh: B.dash_churn_by_cohort(wh))
 query("dash_support_summary")(lambda wh: B.dash_support_summary(wh))
@@ -145,7 +154,127 @@ def sql_segment_mrr(wh):
     )
 
 
+@query("sql_month_series")
+def sql_month_series(wh):
+    """Subscription months in SQL, by the table function ``month_series``."""
+    wh.register_views(["stg_subscriptions"], prefix="m_")
+    register_series(wh.spark)
+    return wh.sql(
+        """SELECT s.account_id, s.subscription_id, m.month AS revenue_month, s.end_date
+           FROM m_stg_subscriptions s, LATERAL month_series(
+               greatest(trunc(s.start_date, 'MM'), :first),
+               least(coalesce(trunc(s.end_date, 'MM'), :open_end), :last)) m""",
+        first=wh.horizon.first_month, open_end=wh.horizon.open_end, last=wh.horizon.end,
+    )
+
+
+def _database(spark) -> str:
+    """A new database for the tables that a query publishes, below the shared scratch folder."""
+    name = f"revlens_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_dir(spark, name)}'")
+    return name
+
+
+@raw_query("sql_published_views")
+def sql_published_views(spark, sf_dir):
+    """SQL over staging views that another session's warehouse has created."""
+    database, other = _database(spark), spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        other.conf.set(key, spark.conf.get(key))
+    folder = scratch_dir(spark, "published-raw")
+    wh = Warehouse.from_testdata(other, sf_dir)
+    wh.load_raw(folder, ["raw_accounts", "raw_subscriptions"], database=database)
+    wh.publish_views(TableCatalog(other, database, folder))
+    return spark.sql(
+        f"""SELECT a.segment, s.plan_tier, count(*) AS subscriptions, min(s.start_date) AS first_start, max(s.end_date) AS last_end
+            FROM {database}.stg_subscriptions s JOIN {database}.stg_accounts a ON a.account_id = s.account_id
+            GROUP BY a.segment, s.plan_tier"""
+    )
+
+
+@raw_query("src_catalog_rebuild")
+def catalog_rebuild(spark, sf_dir):
+    """The account dimension by its table name, after it was built twice and old versions were removed."""
+    database, folder = _database(spark), scratch_dir(spark, "catalog-rebuild")
+    wh = Warehouse.from_testdata(spark, sf_dir)
+    for _ in range(2):
+        wh.materialize(folder, ["dim_account"], database=database, keep=1)
+    return spark.newSession().table(f"{database}.dim_account")
+
+
+def _built(spark, sf_dir, names, buckets=0):
+    """A warehouse whose marts ``names`` are written as tables of a new database."""
+    wh = Warehouse.from_testdata(spark, sf_dir)
+    database, folder = _database(spark), scratch_dir(spark, "built-marts")
+    wh.materialize(folder, names, database=database, buckets=buckets)
+    return wh
+
+
+@raw_query("dash_bucketed_mrr_trend")
+def bucketed_mrr_trend(spark, sf_dir):
+    """The MRR trend over tables bucketed by account (two buckets: a file each in every month)."""
+    return B.dash_mrr_trend(_built(spark, sf_dir, ["dim_account", "fct_revenue_monthly"], buckets=2))
+
+
+@raw_query("dash_built_kpis")
+def built_kpis(spark, sf_dir):
+    """The KPI row over written marts: the latest month comes from the partition folders."""
+    return B.dash_kpis(_built(spark, sf_dir, ["dim_account", "fct_cac_ltv", "fct_revenue_monthly", "fct_activation"]))
+
+
+@raw_query("dash_built_segment_revenue")
+def built_segment_revenue(spark, sf_dir):
+    return B.dash_segment_revenue(_built(spark, sf_dir, ["dim_account", "fct_revenue_monthly"]))
+
+
+@query("op_pivot_before")
+def pivot_before(wh):
+    """Paying accounts by 30-day bucket relative to the month in which their subscription ends:
+    most cells lie before it."""
+    ends = wh.ref("stg_subscriptions").where(F.col("end_date").isNotNull()).select(
+        F.col("account_id").alias("_ended"), month_start(F.col("end_date")).alias("cohort_month")
+    )
+    paid = paid_invoices(wh).select("account_id", month_start(F.col("invoice_date")).alias("month"))
+    cells = (
+        paid.join(ends, F.col("account_id") == F.col("_ended"))
+        .select("cohort_month", "account_id", bucket30(F.col("month"), F.col("cohort_month")).alias("bucket"))
+        .distinct()
+        .groupBy("cohort_month", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return cohort_pivot(cells, "cohort_month", "bucket", F.col("n"), 3).withColumn("before", map_text(F.col("before")))
+
+
 # -- sources and sinks ----------------------------------------------------------------------
+@raw_query("load_observed_counts")
+def load_observed_counts(spark, sf_dir):
+    """Rows per raw table, observed while they were loaded; nothing is read again."""
+    counts: dict[str, int] = {}
+    Warehouse.from_testdata(spark, sf_dir).load_raw(
+        scratch_dir(spark, "observed-load"), ["raw_accounts", "raw_subscriptions", "raw_support_tickets"], counts=counts
+    )
+    return observed_report(spark, counts)
+
+
+@raw_query("src_dirty_export")
+def dirty_export(spark, sf_dir):
+    """Subscriptions from a CSV export with broken dates and lines cut short: rows that can be
+    staged, quarantined rows by the columns that are wrong, and rows read."""
+    raw = TestdataRaw(spark, sf_dir).raw_subscriptions()
+    key = F.col("subscription_id")
+    fields = [F.col(f.name).cast("string") for f in raw.schema]
+    fields[3] = F.when(key % 7 == 0, F.lit("2024-13-45")).otherwise(fields[3])
+    fields[4] = F.when(F.col("end_date").isNotNull() & (key % 5 == 0), F.lit("soon")).otherwise(fields[4])
+    whole = F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])
+    path = scratch_dir(spark, "dirty-export")
+    raw.select(F.when(key % 11 == 0, F.substring_index(whole, ",", 2)).otherwise(whole).alias("line")).write.text(path)
+    checked = check_rows("stg_subscriptions", read_dirty_csv(spark, path, text_dates(raw.schema), header=False))
+    columns = F.array_join(F.transform(PROBLEM, lambda p: F.substring_index(p, ":", 1)), ", ")
+    problem = F.when(F.size(PROBLEM) == 0, "staged").otherwise(columns)
+    counts = checked.groupBy(problem.alias("problem")).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.unionByName(checked.agg(F.lit("read").alias("problem"), F.count(F.lit(1)).alias("rows")))
+
+
 @raw_query("src_second_load")
 def second_load(spark, sf_dir):
     """Rows per raw table after two loads into one folder, read back from the second."""

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from revlens.sources.files import CORRUPT
 
 TS, DATE, MONEY = "timestamp_ntz", "date", "decimal(18,2)"
 
@@ -70,3 +73,60 @@ def stage(name: str, raw: DataFrame) -> DataFrame:
         return F.col(c).cast(kind) if kind else F.col(c)
 
     return raw.select(*[staged(c, t).alias(c) for c, t in cols])
+
+
+def staging_sql(name: str, raw: T.StructType, source: str) -> str:
+    """The projection ``name`` as SQL text over the table ``source``, whose columns are ``raw``."""
+    _, cols = STAGING[name]
+
+    def staged(c: str, kind: str | None) -> str:
+        if not kind or raw[c].dataType.simpleString() == kind:
+            return c
+        cast = f"CAST({c} AS {kind})"
+        if kind != MONEY:
+            return f"{cast} AS {c}"
+        fits = f"{c} IS NULL OR CAST({cast} AS DOUBLE) = CAST({c} AS DOUBLE)"
+        return f"CASE WHEN {fits} THEN {cast} ELSE raise_error(concat('amount finer than a cent: ', CAST({c} AS STRING))) END AS {c}"
+
+    return f"SELECT {', '.join(staged(c, t) for c, t in cols)} FROM {source}"
+
+
+PROBLEM = "problems"
+
+
+def check_rows(name: str, raw: DataFrame) -> DataFrame:
+    """The staged relation ``name`` with ``problems``: why a raw row cannot be staged (empty for
+    a row that can), e.g. ``start_date: not a date: 2024-13-01``.
+
+    A value that does not cast becomes null and a problem instead of an error, as do an
+    amount finer than a cent and (from ``read_dirty_csv``) a line with too few or unreadable fields.
+    """
+    _, cols = STAGING[name]
+    problems, staged = [], []
+    for c, kind in cols:
+        value = F.col(c)
+        if kind:
+            value = value.try_cast(kind)
+            wrong = F.col(c).isNotNull() & value.isNull()
+            problems.append(F.when(wrong, F.concat(F.lit(f"{c}: not a {kind}: "), F.col(c).cast("string"))))
+            if kind == MONEY:
+                finer = value.cast("double") != F.col(c).try_cast("double")
+                problems.append(F.when(finer, F.concat(F.lit(f"{c}: finer than a cent: "), F.col(c).cast("string"))))
+                value = F.when(~F.coalesce(finer, F.lit(False)), value)
+        staged.append(value.alias(c))
+    if CORRUPT in raw.columns:
+        problems.append(F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("unreadable line: "), F.col(CORRUPT))))
+    every = F.filter(F.array(*problems), lambda p: p.isNotNull()) if problems else F.array().cast("array<string>")
+    return raw.select(*staged, every.alias(PROBLEM))
+
+
+def stage_clean(name: str, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(staged rows, quarantine) of a raw table that may be dirty; every row is in one of the two.
+
+    Quarantined rows are ``(model, record, problems)``, the staged values of the record as JSON.
+    """
+    checked = check_rows(name, raw)
+    good = checked.where(F.size(PROBLEM) == 0).drop(PROBLEM)
+    bad = checked.where(F.size(PROBLEM) > 0)
+    record = F.to_json(F.struct(*[c for c in checked.columns if c != PROBLEM]))
+    return good, bad.select(F.lit(name).alias("model"), record.alias("record"), PROBLEM)

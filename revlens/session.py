@@ -39,6 +39,9 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Few bytes may be many rows (a subscription becomes one row per month): do not
+        # merge shuffle partitions up to the default of 1 MB before they expand.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY") or _default_driver_memory())
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

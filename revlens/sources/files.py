@@ -7,7 +7,6 @@ import time
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +40,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_dirty_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """CSV of which some lines may be damaged: a line that does not fit the schema is kept whole in
+    ``_corrupt_record``, with what could be read of it in the other columns."""
+    with_line = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return (
+        spark.read.schema(with_line)
+        .option("header", header)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)  # a line is judged by all its fields, whatever a query needs
+        .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
+        .csv(path)
+    )
+
+
 def raw_path(directory: str, name: str, fmt: str) -> str:
     """Location of raw table ``name`` in an export folder (``accounts.csv``, ``accounts.parquet``, ...)."""
     return f"{directory.rstrip('/')}/{RAW_FILES[name].rsplit('.', 1)[0]}.{fmt}"
@@ -53,16 +70,11 @@ def read_raw(spark: SparkSession, directory: str, names: Iterable[str] | None =
     out: dict[str, DataFrame] = {}
     for name in names or RAW_FILES:
         path = raw_path(directory, name, fmt)
-        try:
-            # Parquet is self-describing (typed columns); staging casts either layout.
-            found = path if fmt == "csv" else current_version(spark, path) or path
-            df = read_csv(spark, path, schemas[name]) if fmt == "csv" else spark.read.parquet(found)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-                raise
+        if not exists(spark, path):
             log.warning("%s not found, skipping", path)
             continue
-        out[name] = df
+        # Parquet is self-describing (typed columns); staging casts either layout.
+        out[name] = read_csv(spark, path, schemas[name]) if fmt == "csv" else spark.read.parquet(current_version(spark, path) or path)
     return out
 
 
@@ -87,6 +99,28 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 VERSION = "version="
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _folder(spark, path)
+    return store.exists(folder)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none where there is no folder."""
+    folder, store = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(folder)) if store.exists(folder) else []
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a partition column that a table's folder lists, without its null partition."""
+    names = [n.removeprefix(f"{column}=") for n in list_folder(spark, path) if n.startswith(f"{column}=")]
+    return [n for n in names if n != "__HIVE_DEFAULT_PARTITION__"]
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The newest complete version folder of a table, if the table has versions."""
     jvm = spark.sparkContext._jvm
@@ -122,6 +156,12 @@ def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> int:
     return len(old)
 
 
+def observed_report(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+    """The load report from counts that were observed during the load (one row per table)."""
+    rows = [*counts.items(), ("total", sum(counts.values()))]
+    return spark.createDataFrame(rows, "`table` string, `rows` long")
+
+
 def load_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table plus a ``total`` row, computed in one job (rollup over a union)."""
     counts = [df.groupBy().count().select(F.lit(name).alias("table"), F.col("count").alias("rows"))

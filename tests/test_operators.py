@@ -9,12 +9,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators.median import exact_median
+from revlens.session import scratch_dir
+
+
+def written(df, name):
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("seed,in_task", [(1, 100_000), (2, 0), (3, 5), (4, 20)])
+@pytest.mark.parametrize("seed,in_task", [(1, 100_000), (2, 0), (3, 5), (5, None), (6, None)])
 def test_exact_median_matches_numpy(spark, seed, in_task):
+    """With a written histogram, its keys large or small, and (None) as a plan."""
     rnd = random.Random(seed)
     data = []
     for k in range(6):
@@ -25,7 +34,8 @@ def test_exact_median_matches_numpy(spark, seed, in_task):
             vals += [1e6] * 3 + [-1e9]  # far outliers: most values share one first-level bin
         data += [(k if k != 4 else None, v) for v in vals]
     df = spark.createDataFrame(data, "k int, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", in_task=in_task).collect()}
+    found = exact_median(df, ["k"], "v") if in_task is None else exact_median(df, ["k"], "v", in_task=in_task, written=written)
+    got = {r["k"]: r["median"] for r in found.collect()}
     for k in range(6):
         if k == 4:
             k = None
@@ -89,22 +99,21 @@ def test_hot_key_median_and_duplicates_match_brute_force(spark):
     by_key = {}
     for k, v in rows:
         by_key.setdefault(k, []).append(v)
-    for in_task in (100_000, 1000):
-        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", in_task=in_task).collect()}
+    for found in (exact_median(df, ["k"], "v"), exact_median(df, ["k"], "v", in_task=1000, written=written)):
+        got = {r["k"]: r["median"] for r in found.collect()}
         for k, vals in by_key.items():
             assert got[k] == pytest.approx(float(np.median(vals)), rel=0, abs=1e-9)
     dup = {r["value"]: r["rows"] for r in check_unique(df, "t", "k").collect()}
     assert dup["0"] == 4001 and len(dup) == 401
 
 
-def test_outlier_cannot_crowd_the_digits_of_a_median(spark, monkeypatch):
+def test_outlier_cannot_crowd_the_digits_of_a_median(spark):
     """100,001 distinct values beside one at 1e12: no running count sees more than 65,536 digits."""
     from revlens.operators import median
 
     df = spark.range(100_001).select(F.lit(1).alias("k"), F.rand(3).alias("v")).union(spark.sql("SELECT 1, 1e12D"))
     kept = []
-    monkeypatch.setattr(median, "_stored", lambda d, name, f=median._stored: kept.append((name, f(d, name))) or kept[-1][1])
-    got = exact_median(df, ["k"], "v", in_task=1000).collect()
+    got = exact_median(df, ["k"], "v", in_task=1000, written=lambda d, name: kept.append((name, written(d, name))) or kept[-1][1]).collect()
     vals = sorted(r["v"] for r in df.collect())
     assert got[0]["median"] == vals[50_000] + (vals[50_001] - vals[50_000]) * 0.5
     digits = [f"_d{i}" for i in range(median.DIGITS)]
@@ -115,10 +124,24 @@ def test_outlier_cannot_crowd_the_digits_of_a_median(spark, monkeypatch):
     assert rounds[-1].groupBy("k", *digits).count().agg(F.max("count")).first()[0] == 1
 
 
+def test_quantiles_fold_what_lies_outside_them(spark):
+    """200,000 distinct values in one key: the running counts of the plan see a few hundred."""
+    from revlens.operators import median
+
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.exp(F.rand(3) * 100).alias("v"))
+    vals = sorted(r["v"] for r in df.collect())
+    assert exact_median(df, ["k"], "v").first()["median"] == vals[99_999] + (vals[100_000] - vals[99_999]) * 0.5
+    share = [0.5 - 5 / median.ACCURACY, 0.5 + 5 / median.ACCURACY]
+    low, high = df.agg(F.percentile_approx("v", share, median.ACCURACY)).first()[0]
+    assert df.where(F.col("v").between(low, high)).count() < 400
+
+
 def test_ordered_bits_order_like_the_values(spark):
     from revlens.operators.median import ordered_bits
 
-    vals = [-1e308, -5.5, -1e-320, 0.0, 1e-320, 2.0, 2.0000000000000004, 1e300, float("inf"), float("-inf")]
+    vals = [-1e308, -5.5, -1e-320, 0.0, 5e-324, 1e-320, 2.0, 2.0000000000000004, 1e300, float("inf"), float("-inf")]
+    vals += [x for e in range(-1074, 1024, 7) for x in (2.0**e, 2.0**e * 1.9999999999999998, -(2.0**e))]
+    vals = sorted(set(vals))
     df = spark.createDataFrame([(v,) for v in vals], "v double").withColumn("b", ordered_bits(F.col("v")))
     assert [r["v"] for r in df.orderBy("b").collect()] == sorted(vals)
 

@@ -12,6 +12,7 @@ table, ratios are scalar subqueries per key, medians are read from sorted lists.
 
 from __future__ import annotations
 
+import re
 import textwrap
 
 from revlens.plans.quality import BROKEN_RULES, RULES  # the rule tables are data
@@ -246,19 +247,20 @@ MART_CTES = {
         SELECT {month_of('n.m')} AS revenue_month, n.account_id, n.mrr::DECIMAL(38,2) AS mrr,
                (n.mrr * 12)::DECIMAL(38,2) AS arr, p.was::DECIMAL(38,2) AS prior_month_mrr,
                p.diff::DECIMAL(38,2) AS revenue_change, t.label AS revenue_type,
-               (n.mrr * (t.label = 'new')::INTEGER)::DECIMAL(38,2) AS new_mrr,
-               (p.diff * (t.label = 'expansion')::INTEGER)::DECIMAL(38,2) AS expansion_mrr,
-               (p.diff * (t.label = 'contraction')::INTEGER)::DECIMAL(38,2) AS contraction_mrr,
-               (p.was * (t.label = 'churned')::INTEGER)::DECIMAL(38,2) AS churned_mrr,
-               CASE WHEN p.was > 0 THEN ((n.mrr - p.was) + (t.label = 'expansion')::INTEGER * p.diff
-                                         - (t.label = 'contraction')::INTEGER * p.diff)::DOUBLE / p.was::DOUBLE END AS nrr
+               (CASE t.label WHEN 'new' THEN n.mrr ELSE 0 END)::DECIMAL(38,2) AS new_mrr,
+               (CASE t.label WHEN 'expansion' THEN p.diff ELSE 0 END)::DECIMAL(38,2) AS expansion_mrr,
+               (CASE t.label WHEN 'contraction' THEN p.diff ELSE 0 END)::DECIMAL(38,2) AS contraction_mrr,
+               (CASE t.label WHEN 'churned' THEN p.was ELSE 0 END)::DECIMAL(38,2) AS churned_mrr,
+               CASE WHEN p.was > 0
+                    THEN (n.mrr - p.was + CASE t.label WHEN 'expansion' THEN p.diff WHEN 'contraction' THEN -p.diff ELSE 0 END)::DOUBLE
+                         / p.was::DOUBLE END AS nrr
         FROM neighbours n
         CROSS JOIN LATERAL (SELECT coalesce(n.before_mrr, 0) AS was, abs(n.mrr - coalesce(n.before_mrr, 0)) AS diff) p
         CROSS JOIN LATERAL (
             SELECT coalesce(max(v.label), 'new') AS label FROM movement v
             WHERE NOT n.is_first AND v.direction = sign(n.mrr - n.before_mrr)
               AND v.ends = (n.is_last AND n.subscription_end_date IS NOT NULL)) t
-        WHERE NOT (n.mrr <= 0 AND t.label <> 'churned')""",
+        WHERE n.mrr > 0 OR t.label = 'churned'""",
     "fct_pipeline": f"""
         SELECT g.*, {rate("(w.x).won", "(w.x).won + (w.x).lost")} AS win_rate,
                CASE WHEN (w.x).won + (w.x).lost > 0 THEN (w.x).won END AS won_deals,
@@ -365,8 +367,13 @@ MART_CTES = {
 
 
 def with_ctes(body: str, ctes: dict[str, str]) -> str:
-    """``WITH`` all given tables (unused ones are harmless) followed by ``body``."""
-    parts = [f"{name} AS (\n{textwrap.dedent(sql).strip()}\n)" for name, sql in ctes.items()]
+    """``WITH`` the tables that ``body`` needs, directly or through others, followed by ``body``."""
+    needed, texts = set(), [body]
+    while texts:
+        words = set(re.findall(r"\w+", texts.pop()))
+        texts += [ctes[name] for name in words & ctes.keys() - needed]
+        needed |= words & ctes.keys()
+    parts = [f"{name} AS (\n{textwrap.dedent(sql).strip()}\n)" for name, sql in ctes.items() if name in needed]
     return "WITH " + ",\n".join(parts) + "\n" + textwrap.dedent(body).strip()
 
 
@@ -406,6 +413,11 @@ def mean(x: str) -> str:
     return f"(sum({x})::DOUBLE / nullif(count({x}), 0)::DOUBLE)"
 
 
+def earlier(value: str) -> str:
+    """The cells of negative buckets as text, ``bucket:value`` in order of the bucket; null without any."""
+    return f"string_agg(months_since_cohort || ':' || ({value})::DECIMAL(38,1), ',' ORDER BY months_since_cohort) FILTER (months_since_cohort < 0)"
+
+
 LATEST = "(SELECT revenue_month FROM fct_revenue_monthly ORDER BY revenue_month DESC LIMIT 1)"
 
 
@@ -483,7 +495,7 @@ DASH_SQL = {
     "dash_deal_value": "SELECT segment, stage, avg_deal_value, deal_count FROM fct_pipeline WHERE starts_with(stage, 'Closed ')",
     "dash_cohort_heatmap": "SELECT cohort_month, " + ", ".join(
         f"(max(retention_rate) FILTER (months_since_cohort = {k}) * 100)::DOUBLE AS \"{k}\"" for k in range(13)
-    ) + ", nullif(count(*) FILTER (months_since_cohort < 0), 0) AS before FROM fct_retention WHERE months_since_cohort <= 12 GROUP BY cohort_month",
+    ) + ", " + earlier("retention_rate * 100") + " AS before FROM fct_retention WHERE months_since_cohort <= 12 GROUP BY cohort_month",
     "dash_activation_vs_retention": activation_vs_retention(),
     "dash_churn_by_cohort": f"""
         SELECT cohort_month, {mean('churn_rate')} AS avg_churn_rate FROM fct_retention
@@ -753,6 +765,33 @@ ORACLE_SQL: dict[str, str] = {
     "src_rebuilt_mart": q("FROM dim_account"),
     "src_partial_export": row_counts(["raw_users", "raw_marketing_spend"]),
     "src_second_load": row_counts(["raw_accounts", "raw_subscriptions", "raw_marketing_spend"]),
+    "load_observed_counts": row_counts(["raw_accounts", "raw_subscriptions", "raw_support_tickets"]),
+    "src_catalog_rebuild": q("FROM dim_account"),
+    "src_dirty_export": q("""
+        SELECT coalesce(problem, 'read') AS problem, count(*)::BIGINT AS "rows"
+        FROM (SELECT CASE WHEN subscription_id % 11 = 0 THEN 'unreadable line'
+                          WHEN subscription_id % 7 = 0 AND subscription_id % 5 = 0 AND end_date IS NOT NULL THEN 'start_date, end_date'
+                          WHEN subscription_id % 7 = 0 THEN 'start_date'
+                          WHEN subscription_id % 5 = 0 AND end_date IS NOT NULL THEN 'end_date'
+                          ELSE 'staged' END AS problem FROM stg_subscriptions)
+        GROUP BY ROLLUP (problem)"""),
+    "sql_published_views": q("""
+        SELECT a.segment, s.plan_tier, count(*)::BIGINT AS subscriptions, min(s.start_date) AS first_start, max(s.end_date) AS last_end
+        FROM stg_subscriptions s JOIN stg_accounts a ON a.account_id = s.account_id GROUP BY ALL"""),
+    "sql_month_series": q("SELECT account_id, subscription_id, revenue_month, end_date FROM sub_months"),
+    "dash_bucketed_mrr_trend": q(DASH_SQL["dash_mrr_trend"]),
+    "dash_built_kpis": q(DASH_SQL["dash_kpis"]),
+    "dash_built_segment_revenue": q(DASH_SQL["dash_segment_revenue"]),
+    "op_pivot_before": q("SELECT cohort_month, " + ", ".join(f"max(n) FILTER (months_since_cohort = {k}) AS \"{k}\"" for k in range(4))
+        + ", " + earlier("n") + """ AS before
+        FROM (SELECT cohort_month, months_since_cohort, count(DISTINCT account_id) AS n
+              FROM (SELECT date_trunc('month', s.end_date)::DATE AS cohort_month, i.account_id,
+                           floor(date_diff('day', date_trunc('month', s.end_date)::DATE, date_trunc('month', i.invoice_date)::DATE) / 30)::INTEGER
+                             AS months_since_cohort
+                    FROM stg_invoices i JOIN stg_subscriptions s ON s.account_id = i.account_id
+                    WHERE i.status = 'Paid' AND s.end_date IS NOT NULL)
+              GROUP BY ALL)
+        WHERE months_since_cohort <= 3 GROUP BY cohort_month"""),
     "load_row_counts": row_counts([n for n in RAW_CTES if n.startswith("raw_")]),
     **{name: q(sql) for name, sql in OP_SQL.items()},
 }
