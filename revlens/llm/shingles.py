@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import cache
 
 import numpy as np
 
-#: Characters or bytes hashed at once; a longer text is cut at blanks.
+#: Bytes hashed at once; a longer text is cut at blanks.
 BLOCK = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
+_MORE = _U(0x2545F4914F6CDD1D)
+#: Masks of the low 0 to 8 bytes of a step.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,36 +49,52 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-class _WordHashes(dict):
-    """64 bits of BLAKE2b per word, kept for words that come again."""
+def chained_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, by two different chains over its eight-byte steps.
 
-    MOST = 1 << 19
-    LONGEST = 64
-
-    def __missing__(self, word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_words = _WordHashes()
-_BLANK = re.compile(r"\s")
+    Unlike a polynomial it is not a sum over the bytes, so no pattern of bytes cancels out.
+    """
+    padded = np.append(data, np.zeros(8, dtype=np.uint8))
+    steps = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    length = ends - starts
+    seed, step = length.astype(np.uint64) * _ODD, steps[starts] & _KEEP[np.minimum(length, 8)]
+    one, two = mix(seed ^ step), mix(seed + step * _MORE)
+    active = np.flatnonzero((length > 8) & (length <= LONG_WORD))
+    at = 8
+    while len(active):
+        step = steps[starts[active] + at] & _KEEP[np.minimum(length[active] - at, 8)]
+        one[active] = mix(one[active] ^ step)
+        two[active] = mix(two[active] * _ODD + step)
+        at += 8
+        active = active[length[active] > at]
+    out = mix(one + ((two << _U(32)) | (two >> _U(32))))
+    for k in np.flatnonzero(length > LONG_WORD):
+        out[k] = _long_hash(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def _long_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """One hash per white-space separated word. No words are known that share one, and none can be
-    made up as for a polynomial."""
+    """One hash per white-space separated word."""
+    flat = " ".join(text.split()).encode("utf-8", "surrogatepass")
     found, at = [], 0
-    while at < len(text):
-        end = len(text)
-        if end - at > BLOCK and (blank := _BLANK.search(text, at + BLOCK)):
-            end = blank.start()
-        words = text[at:end].split()
-        found.append(np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words)))
-        at = end
+    while at < len(flat):
+        end = len(flat)
+        if end - at > BLOCK:
+            end = flat.rfind(b" ", at, at + BLOCK)
+            if end < 0:  # a word longer than a block
+                end = flat.find(b" ", at)
+                end = len(flat) if end < 0 else end
+                found.append(np.array([_long_hash(flat[at:end])], dtype=np.uint64))
+                at = end + 1
+                continue
+        data = np.frombuffer(flat[at:end], dtype=np.uint8)
+        blanks = np.flatnonzero(data == 32)
+        found.append(chained_hashes(data, np.append(0, blanks + 1), np.append(blanks, len(data))))
+        at = end + 1
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 

@@ -103,9 +103,15 @@ def test_word_hashes(monkeypatch):
     assert len(whole) == 502 and len(set(whole.tolist())) == 92
     assert (S.word_hashes("word3\n\tword4  ") == whole[3:5]).all()
     assert len(S.word_hashes(" \n ")) == 0
-    monkeypatch.setattr(S, "BLOCK", 256)
-    monkeypatch.setattr(S._WordHashes, "MOST", 10)
+    monkeypatch.setattr(S, "BLOCK", 310)
     assert (S.word_hashes(text) == whole).all()
+    monkeypatch.setattr(S, "BLOCK", 256)  # less than the long word, which is hashed by itself then
+    blocks = S.word_hashes(text)
+    assert (np.delete(blocks, 500) == np.delete(whole, 500)).all()
+    rng = random.Random(1)
+    every = {"".join(rng.choice("ab") for _ in range(n)) for n in (1, 7, 8, 9, 15, 16, 17, 40, 1024, 1025, 3000) for _ in range(60)}
+    assert len(set(S.word_hashes(" ".join(sorted(every))).tolist())) == len(every)
+    assert S.word_hashes("x " + "é" * 2000)[1] == S.word_hashes("é" * 2000)[0]
 
 
 def test_words_that_collide_in_a_polynomial_differ(spark, make_docs):
