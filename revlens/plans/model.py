@@ -184,7 +184,7 @@ class Warehouse:
             loaded[name] = catalog.publish(df, name) if catalog else write_version(df, raw_path(base_path, name, "parquet"))
             if seen is not None:
                 counts[name] = seen.get["rows"]
-        self._raw = {**dict(source.items()), **{n: self.spark.read.parquet(p) for n, p in loaded.items()}}
+        self._raw = {**dict(source.items()), **{n: self.spark.read.schema(source[n].schema).parquet(p) for n, p in loaded.items()}}
         self._models, self._written, self._folders = {}, {}, {}
         for name in loaded if keep is not None else ():
             _ = catalog.drop_old(name, keep) if catalog else drop_versions(self.spark, raw_path(base_path, name, "parquet"), keep)
@@ -218,8 +218,9 @@ class Warehouse:
                     path = catalog.publish(self.ref(name), name, layout)
                     self._written[name] = catalog.table(name)
                 else:
-                    path = write_version(self.ref(name), folder, MART_PARTITIONING.get(name))
-                    self._written[name] = self.spark.read.parquet(path)
+                    df = self.ref(name)
+                    path = write_version(df, folder, MART_PARTITIONING.get(name))
+                    self._written[name] = self.spark.read.schema(df.schema).parquet(path)
                 self._folders[name] = path
                 self._models.pop(name, None)
                 written[name] = path

@@ -96,6 +96,25 @@ for _kind in ("unique", "not_null", "accepted_values", "relationships"):
     query(f"dq_broken_{_kind}")(lambda wh, _kind=_kind: Q.violations(wh, _kind, Q.BROKEN_RULES))
 
 
+def damaged(wh: Warehouse) -> Warehouse:
+    """The same warehouse over raw tables that break the two assertions: accounts billed below zero,
+    subscriptions that end before they start, and some that start after their first invoices."""
+    last_digit = F.pmod(F.col("account_id"), F.lit(10))
+    amount = F.when(last_digit == 3, -F.col("amount")).otherwise(F.col("amount"))
+    turned = (last_digit == 7) & F.col("end_date").isNotNull()
+    late = F.when(last_digit == 4, F.date_add(F.col("start_date"), 40)).otherwise(F.col("start_date"))
+    dates = {"start_date": F.when(turned, F.col("end_date")).otherwise(late), "end_date": F.when(turned, F.col("start_date")).otherwise(F.col("end_date"))}
+    raw = {
+        "raw_invoices": wh.raw("raw_invoices").withColumn("amount", amount),
+        "raw_subscriptions": wh.raw("raw_subscriptions").withColumns(dates),
+    }
+    return Warehouse(wh.spark, raw, lambda: wh.horizon)
+
+
+query("dq_broken_amounts")(lambda wh: Q.non_negative_amounts(damaged(wh)))
+query("dq_broken_dates")(lambda wh: Q.valid_subscription_dates(damaged(wh)))
+
+
 @raw_query("dq_repeated_lines")
 def repeated_lines(spark, sf_dir):
     """Line items whose (order, line number) occurs more than once."""

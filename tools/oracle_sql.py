@@ -377,8 +377,11 @@ def with_ctes(body: str, ctes: dict[str, str]) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + textwrap.dedent(body).strip()
 
 
+ALL_CTES = {"horizon": HORIZON} | RAW_CTES | STAGING_CTES | MART_CTES
+
+
 def q(body: str) -> str:
-    return with_ctes(body, {"horizon": HORIZON} | RAW_CTES | STAGING_CTES | MART_CTES)
+    return with_ctes(body, ALL_CTES)
 
 
 DIM_DATE_SQL = """
@@ -524,6 +527,30 @@ DASH_SQL = {
 }
 
 
+BELOW_ZERO = """
+    SELECT invoice_id, account_id, invoice_date, amount::DOUBLE AS amount FROM stg_invoices WHERE sign(amount) = -1
+    UNION ALL BY NAME
+    SELECT account_id, revenue_month AS invoice_date, mrr::DOUBLE AS amount FROM fct_revenue_monthly WHERE sign(mrr) = -1"""
+WRONG_DATES = """
+    SELECT 'subscription_dates' AS "check", subscription_id, account_id, start_date, end_date
+    FROM stg_subscriptions WHERE end_date < start_date
+    UNION ALL BY NAME
+    SELECT 'invoice_dates' AS "check", i.account_id, s.start_date, s.end_date, i.invoice_date
+    FROM stg_invoices i, stg_subscriptions s
+    WHERE i.subscription_id = s.subscription_id
+      AND i.invoice_date NOT BETWEEN s.start_date AND coalesce(s.end_date, i.invoice_date)"""
+# Staged tables in which both find something: ids ending in 3 are billed below zero, those in 7 end
+# before they start, those in 4 start 40 days late.
+DAMAGED_CTES = {
+    "stg_invoices": f"""
+        SELECT * REPLACE (CASE account_id % 10 WHEN 3 THEN -amount ELSE amount END AS amount) FROM ({STAGING_CTES['stg_invoices']})""",
+    "stg_subscriptions": f"""
+        SELECT * REPLACE (CASE account_id % 10 WHEN 7 THEN coalesce(end_date, start_date) WHEN 4 THEN start_date + 40 ELSE start_date END AS start_date,
+                          CASE WHEN account_id % 10 = 7 AND end_date IS NOT NULL THEN start_date ELSE end_date END AS end_date)
+        FROM ({STAGING_CTES['stg_subscriptions']})""",
+}
+
+
 def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -586,18 +613,10 @@ DQ_SQL = {
         SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < o_orderdate) AS items,
                (SELECT min(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < o_orderdate) AS first_shipped
         FROM orders WHERE items > 0""",
-    "dq_non_negative_amounts": q("""
-        SELECT invoice_id, account_id, invoice_date, amount::DOUBLE AS amount FROM stg_invoices WHERE sign(amount) = -1
-        UNION ALL BY NAME
-        SELECT account_id, revenue_month AS invoice_date, mrr::DOUBLE AS amount FROM fct_revenue_monthly WHERE sign(mrr) = -1"""),
-    "dq_valid_subscription_dates": q("""
-        SELECT 'subscription_dates' AS "check", subscription_id, account_id, start_date, end_date
-        FROM stg_subscriptions WHERE end_date < start_date
-        UNION ALL BY NAME
-        SELECT 'invoice_dates' AS "check", i.account_id, s.start_date, s.end_date, i.invoice_date
-        FROM stg_invoices i, stg_subscriptions s
-        WHERE i.subscription_id = s.subscription_id
-          AND i.invoice_date NOT BETWEEN s.start_date AND coalesce(s.end_date, i.invoice_date)"""),
+    "dq_non_negative_amounts": q(BELOW_ZERO),
+    "dq_valid_subscription_dates": q(WRONG_DATES),
+    "dq_broken_amounts": with_ctes(BELOW_ZERO, ALL_CTES | DAMAGED_CTES),
+    "dq_broken_dates": with_ctes(WRONG_DATES, ALL_CTES | DAMAGED_CTES),
 }
 
 
