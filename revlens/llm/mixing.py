@@ -22,7 +22,7 @@ returned as they were by ``repeat``, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm.common import stored, text_or_empty
@@ -65,36 +65,58 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(sizes: DataFrame, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
+def weighed(spark: SparkSession, totals: DataFrame) -> DataFrame:
+    """source, source_size, weight: the weights repeat in order of the sources, however many.
+
+    Sources are sorted by ranges, a task each; a source's place is that in its range after
+    the rows of the ranges before it (one count per task comes to the driver).
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    ranged = totals.repartitionByRange(tasks, order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id())
+    ranged = stored(spark, ranged, "mix-sources").withColumn("range", F.shiftright("place", 33).cast("int"))
+    counts = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for number, n in counts:
+        starts.append((number, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(starts, "range int, start long"))  # a row per task at most
+    at = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (at % len(WEIGHTS) + 1).cast("int"))
+    return ranged.join(starts, "range").select("source", "source_size", weight.alias("weight"))
+
+
+def targets(spark: SparkSession, totals: DataFrame, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
     """source, source_size, target: one row per source.
 
-    Sorted by words per weight, the sources that reach their limit come first; the
-    first one whose share at the then common rate stays below its limit ends them.
+    Round by round, the sources whose share at the common rate is above their limit are shut,
+    and the others share what is left, until none is above; a round is one plain aggregate.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("at") % len(WEIGHTS) + 1).cast("int"))
-    weighed = sizes.withColumn("at", F.row_number().over(order) - 1).withColumn("weight", weight)
-    by_need = Window.orderBy(F.col("source_size") / F.col("weight"), "at")
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    steps = (
-        weighed.withColumn("all_words", F.sum("source_size").over(everything))
-        .withColumn("words_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("rate", (budget * F.col("all_words") - max_rate * F.col("words_before")) / F.col("weight_left"))
-        .withColumn("open", max_rate * F.col("source_size") >= F.col("rate") * F.col("weight"))
-        .withColumn("common", F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "at", "rate"))).over(everything)["rate"])
-    )
+    rows = stored(spark, weighed(spark, totals), "mix-weights")
     limit = max_rate * F.col("source_size")
-    return steps.select(
-        "source", "source_size", F.least(limit, F.coalesce(F.col("common") * F.col("weight"), limit)).alias("target")
-    )
+    first = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"), F.count("*").alias("n")).first()
+    everything, rate, n_open = budget * (first["words"] or 0), None, first["n"]
+    left, weights = everything, first["weights"] or 0
+    while n_open:
+        rate = left / weights
+        above = F.col("weight") * rate > limit
+        shut = rows.agg(
+            F.sum(F.when(above, F.col("source_size"))).alias("words"), F.sum(F.when(~above, F.col("weight"))).alias("weights"),
+            F.count_if(~above).alias("n"),
+        ).first()
+        if shut["n"] == n_open:
+            break
+        # the rate only rises, so what is shut stays shut
+        left, weights, n_open = everything - max_rate * (shut["words"] or 0), shut["weights"], shut["n"]
+        rate = None
+    share = limit if rate is None else F.least(limit, F.col("weight") * rate)
+    return rows.select("source", "source_size", share.alias("target"))
 
 
 def plan(spark: SparkSession, sizes: DataFrame, budget: float = BUDGET, max_rate: float = MAX_RATE) -> DataFrame:
     """``of`` (the source), source_size, target, whole, fraction, seed: one row per source."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per_source = stored(spark, targets(totals, budget, max_rate), "mix-targets")
+    per_source = stored(spark, targets(spark, totals, budget, max_rate), "mix-targets")
     rates = per_source.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rates = rates.withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("whole"))
     rates = rates.withColumnRenamed("source", "of")

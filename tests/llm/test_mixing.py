@@ -53,3 +53,14 @@ def test_empty_and_wordless(spark, make_docs):
     assert mixing.mix(spark, make_docs([])).collect() == []
     out = mixing.mix(spark, make_docs([(1, None), (2, " ")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in out] == [(0, 0.0, 0)] * 2
+
+
+def test_targets_of_many_sources(spark):
+    import random
+
+    rng = random.Random(2)
+    sizes = {f"host{k}.{'é' if k % 3 else 'e'}": int(10 ** rng.uniform(0, 6)) for k in range(2000)} | {None: 77, "zero": 0}
+    totals = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {r["source"]: r["target"] for r in mixing.targets(spark, totals).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
