@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -48,6 +49,48 @@ def test_odd_rows_and_planted_notices(spark, make_docs, odd_rows):
     assert got[400]["permission"] == len(LONG.split()) - licenses.WIDTH + 1
 
 
+def plain_windows(text, template):
+    """Most template shingles in any stretch of the text as long as the template, from strings alone."""
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    own, told = cut(text or ""), cut(template)
+    grams = {tuple(told[k : k + 3]) for k in range(len(told) - 2)}
+    at = [tuple(own[k : k + 3]) for k in range(len(own) - 2)]
+    hits = [k for k, g in enumerate(at) if g in grams]
+    span = len(told) - 2
+    most = lambda width: max((len({at[h] for h in hits if k <= h < k + width}) for k in hits), default=0)
+    return len(grams), most(span), most(2 * span + 2)
+
+
+def test_whole_table_against_strings(spark):
+    """Every stretch of a template's length that holds enough of it is found, and nothing that no stretch of
+    twice the longest length in its group holds; counts are those of some window in between."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    # stretches with some words of every template in them, so that near misses are judged as well
+    rng, made = random.Random(11), []
+    for k, name in enumerate(sorted(licenses._NOTICES)):
+        for part in (0.5, 0.7, 0.85, 1.0):
+            notice = licenses._NOTICES[name].split()
+            gone = set(rng.sample(range(len(notice)), int((1 - part) * len(notice) / 3)))
+            notice = [w for at, w in enumerate(notice) if at not in gone]
+            made.append((1_000_000 + 10 * k + int(10 * part), f"{words(rng, 37)} {' '.join(notice).upper()}, {words(rng, 41)}"))
+    docs = spark.createDataFrame([*map(tuple, rows), *made], "doc_id long, text string").repartition(8)
+    got = {(r["doc_id"], r["license"]): r["shared"] for r in licenses.scan(docs, licenses._NOTICES).collect()}
+    found = 0
+    for doc_id, text in [*map(tuple, rows), *made]:
+        for name, notice in licenses._NOTICES.items():
+            n, least, most = plain_windows(text, notice)
+            if 5 * least >= 4 * n:
+                assert (doc_id, name) in got, (doc_id, name, least, n)
+                found += 1
+            if (doc_id, name) in got:
+                shared = got[doc_id, name]
+                assert 5 * shared >= 4 * n and least <= shared, (doc_id, name)
+                if 5 * most < 4 * n:  # only where a longer template of its group widens the window
+                    group = next(g for g in licenses.prepare(licenses._NOTICES) if name in g.names)
+                    assert group.words > len(notice.split())
+    assert found > 60
+
+
 def test_empty(spark, make_docs):
     assert licenses.scan(make_docs([])).collect() == []
 

@@ -1,5 +1,11 @@
+import hashlib
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -23,6 +29,95 @@ def test_stages_and_run(spark):
     assert out.filter("piece = 0").count() == taken[-1]
 
 
+def plain_near_copies(docs):
+    """Of each group of similar texts the document with the least id; every pair is compared whose sizes allow it."""
+    sets = []
+    for d in docs:
+        own = (d["text"] or "").split()
+        sets.append({tuple(own[k : k + 5]) for k in range(max(len(own) - 4, 1))} if own else set())
+    first = list(range(len(docs)))
+
+    def find(k):
+        while first[k] != k:
+            k = first[k]
+        return k
+
+    for a in range(len(docs)):
+        for b in range(a):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if not small or 5 * small < 4 * large:
+                continue
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (small + large - shared):
+                x, y = sorted((find(a), find(b)), key=lambda k: docs[k]["doc_id"])
+                first[y] = x
+    return [d for k, d in enumerate(docs) if find(k) == k]
+
+
+def plain_mix(docs):
+    """The documents as often as they are taken, with exact targets, every seed tried on every source."""
+    size = lambda d: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or ""))
+    words = Counter()
+    for d in docs:
+        words[d["source"]] += size(d)
+    order = sorted((s for s in words if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in words)
+    weight, shut = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, set()
+    while True:
+        open_ = [s for s in order if s not in shut]
+        left = Fraction(3, 2) * sum(words.values()) - sum(2 * words[s] for s in shut)
+        target = {s: 2 * words[s] if s in shut else left * weight[s] / sum(weight[z] for z in open_) for s in order}
+        more = {s for s in open_ if target[s] > 2 * words[s]}
+        if not more:
+            break
+        shut |= more
+    out = []
+    for s in order:
+        own, rate = [d for d in docs if d["source"] == s], Fraction(target[s]) / words[s] if words[s] else 0
+        digest = [hashlib.md5(str(d["doc_id"]).encode()).hexdigest() for d in own]
+        tries = []
+        for seed in range(32):
+            draws = [(int(h[:8], 16) + seed * int(h[8:16], 16)) % 2**32 for h in digest]
+            times = [int(rate) + (Fraction(n, 2**32) < rate - int(rate)) for n in draws]
+            tries.append((abs(sum(size(d) * n for d, n in zip(own, times, strict=True)) - target[s]), seed, times))
+        out += [d for d, n in zip(own, min(tries)[2], strict=True) for _ in range(n)]
+    return out
+
+
+def test_run_equals_plain_python(spark):
+    """All stages over the whole table, with no code of the operators."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    data = "/root/testdata/sf0.01"
+    docs = [r.asDict() for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    docs = [d for d in docs if any(map(str.isalpha, d["text"] or ""))]
+    by_text = {}
+    for d in sorted(docs, key=lambda d: d["doc_id"]):
+        by_text[d["text"]] = d
+    kept = plain_near_copies(list(by_text.values()))
+    assert len(docs) > len(by_text) > len(kept)
+    taken = plain_mix(kept)
+
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for d in taken:
+        ids = [*tokenizer.encode(d["text"], add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        for k, a in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[a : first if k == 0 else a + 2048]
+            want[d["doc_id"], k, a, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes()), tuple(part)] += 1
+    got, places = Counter(), defaultdict(list)
+    for r in corpus_pipeline.run(spark, data).collect():
+        got[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])] += 1
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == want
+    for parts in places.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048
+    assert len(places) <= -(-sum(k[3] * n for k, n in want.items()) // 2048) + 2
+
+
 def test_empty_and_odd(spark, make_docs, odd_rows, tmp_path):
     for rows in ([], odd_rows):
         docs = make_docs(rows)
@@ -52,9 +147,6 @@ def test_clashing_columns_pass_every_stage(spark, tmp_path):
 
 
 def test_full_outputs_are_made(spark, monkeypatch):
-    import zlib
-
-    import numpy as np
     from pyspark.sql import functions as F
 
     from revlens.llm import packing, queries, suffix_dedup
