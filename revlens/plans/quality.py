@@ -10,6 +10,7 @@ Every rule has severity ``warn``: failures are reported, the run is not stopped.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from functools import reduce
 
@@ -107,27 +108,44 @@ class _Keys:
         self.kind = {g: next(iter(k)) if len(k) == 1 else "text" for g, k in kinds.items()}
         self.members = max(self.member.values(), default=-1) + 1
 
-    def entry(self, key: tuple[str, str]) -> Column:
-        c, group = F.col(key[1]), self.group[key]
+    def entry(self, key: tuple[str, str]) -> str:
+        c, group = _quoted(key[1]), self.group[key]
         kind = self.kind[group]
-        number = F.unix_date(c).cast("long") if kind == "date" else c.cast("long") if kind == "long" else F.lit(None).cast("long")
-        text = c.cast("string") if kind == "text" else F.lit(None).cast("string")
-        return F.when(c.isNotNull(), _entry(group, number, text, self.member[key]))
+        if kind == "text":
+            own = _entry(group, text=f"CAST({c} AS STRING)", member=self.member[key])
+        else:
+            number = f"unix_date({c})" if kind == "date" else c
+            own = _entry(group, number=f"CAST({number} AS BIGINT)", member=self.member[key])
+        return f"IF({c} IS NOT NULL, {own}, NULL)"
 
-    def value(self, group: int) -> Column:
+    def value(self, group: int) -> str:
         kind = self.kind[group]
         if kind == "text":
-            return F.col("text")
-        return (F.date_from_unix_date(F.col("number").cast("int")) if kind == "date" else F.col("number")).cast("string")
+            return "text"
+        return f"CAST({'date_from_unix_date(CAST(number AS INT))' if kind == 'date' else 'number'} AS STRING)"
+
+
+# The suite has hundreds of small expressions. They hold only column names and numbers, and are
+# written as SQL text: each one is a single call into the JVM then, instead of one per function.
+
+
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
 
+def _entry(group: int, number: str = "CAST(NULL AS BIGINT)", text: str = "CAST(NULL AS STRING)", member: int = 0) -> str:
+    return f"named_struct('group', {group}, 'number', {number}, 'text', {text}, 'member', {member})"
 
-def _entry(group: int, number: Column, text: Column, member: int = 0) -> Column:
-    return F.struct(F.lit(group).alias("group"), number.alias("number"), text.alias("text"), F.lit(member).alias("member"))
 
+def _named(rules: list[tuple]) -> Column:
+    """Model, column and rule of the rule at position ``k``, from one literal."""
+    names = json.dumps([{"model": m, "column": c, "rule": r} for m, c, r, _ in rules])
+    return F.from_json(F.lit(names), "array<struct<model string, column string, rule string>>")[F.col("k")]
 
-def _counted(wh: Warehouse, rules: list[tuple]) -> tuple[DataFrame, dict[int, tuple[Column, Column, Column]]]:
-    """Rows per key of every model, and per rule (by position) what to read off a row: whether
-    it violates the rule, the value, and how many rows of the model do so.
+
+def _counted(wh: Warehouse, rules: list[tuple]) -> tuple[DataFrame, dict[int, tuple[str, str, str]]]:
+    """Rows per key of every model, and per rule (by position) what to read off a row, as SQL:
+    whether it violates the rule, the value, and how many rows of the model do so.
 
     Every model is read once: a row yields an entry for each of its key columns, and one for
     each null or unaccepted value. One aggregation by (group, key) counts them per member;
@@ -136,31 +154,27 @@ def _counted(wh: Warehouse, rules: list[tuple]) -> tuple[DataFrame, dict[int, tu
     keys = _Keys(wh, rules)
     entries: dict[str, list[Column]] = defaultdict(list)
     for key in keys.group:
-        entries[key[0]].append(keys.entry(key))
-    none = F.lit(None)
+        entries[key[0]].append(F.expr(keys.entry(key)))
     for k, (model, column, rule, arg) in enumerate(rules):
-        c = F.col(column)
+        c = _quoted(column)
         if rule == "not_null":
-            entries[model].append(F.when(c.isNull(), _entry(-1 - k, none.cast("long"), none.cast("string"))))
-        elif rule == "accepted_values":
-            entries[model].append(F.when(~c.isin(*arg), _entry(-1 - k, none.cast("long"), c.cast("string"))))
+            entries[model].append(F.expr(f"IF({c} IS NULL, {_entry(-1 - k)}, NULL)"))
+        elif rule == "accepted_values":  # the values are bound, not written into the text
+            entries[model].append(F.when(~F.col(c).isin(*arg), F.expr(_entry(-1 - k, text=f"CAST({c} AS STRING)"))))
         elif rule not in ("unique", "relationships"):
             raise ValueError(f"unknown rule {rule!r}")
-    found = reduce(DataFrame.union, [
-        wh.ref(model).select(F.inline(F.filter(F.array(*cols), lambda e: e.isNotNull()))) for model, cols in entries.items()
-    ])
-    counts = [F.count_if(F.col("member") == m).alias(f"n{m}") for m in range(max(keys.members, 1))]
-    per_key = found.groupBy("group", "number", "text").agg(*counts)
+    found = reduce(DataFrame.union, [wh.ref(model).select(F.inline(F.array(*cols))) for model, cols in entries.items()])
+    counts = [F.expr(f"count_if(member = {m}) AS n{m}") for m in range(max(keys.members, 1))]
+    per_key = found.filter("`group` IS NOT NULL").groupBy("group", "number", "text").agg(*counts)
 
     broken = {}
     for k, (model, column, rule, arg) in enumerate(rules):
         if rule in ("not_null", "accepted_values"):
-            broken[k] = (F.col("group") == -1 - k, F.col("text"), F.col("n0"))
+            broken[k] = (f"`group` = {-1 - k}", "text", "n0")
             continue
-        key = (model, column)
-        n, here = F.col(f"n{keys.member[key]}"), F.col("group") == keys.group[key]
-        wrong = n > 1 if rule == "unique" else (n > 0) & (F.col(f"n{keys.member[tuple(arg)]}") == 0)
-        broken[k] = (here & wrong, keys.value(keys.group[key]), n)
+        group, n = keys.group[model, column], f"n{keys.member[model, column]}"
+        wrong = f"{n} > 1" if rule == "unique" else f"{n} > 0 AND n{keys.member[tuple(arg)]} = 0"
+        broken[k] = (f"`group` = {group} AND {wrong}", keys.value(group), n)
     return per_key, broken
 
 
@@ -169,15 +183,11 @@ def run_checks(wh: Warehouse, rules=RULES, severity: str = "warn") -> DataFrame:
     rules = list(rules)
     per_key, broken = _counted(wh, rules)
     by_rows = ("not_null", "relationships")  # these fail once per row, the others once per value
-    sums = [F.sum(F.when(wrong, n if rules[k][2] in by_rows else F.lit(1).cast("long"))).alias(f"r{k}") for k, (wrong, _, n) in broken.items()]
-    totals = per_key.agg(*sums)
-    summary = totals.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(m).alias("model"), F.lit(c).alias("column"), F.lit(r).alias("rule"),
-            F.coalesce(F.col(f"r{k}"), F.lit(0)).cast("long").alias("failures"),
-        )
-        for k, (m, c, r, _) in enumerate(rules)
-    ])))
+    totals = per_key.agg(*[
+        F.expr(f"coalesce(sum(IF({wrong}, {n if rules[k][2] in by_rows else '1L'}, NULL)), 0L) AS r{k}") for k, (wrong, _, n) in broken.items()
+    ])
+    summary = totals.selectExpr(f"posexplode(array({', '.join(f'r{k}' for k in broken)})) AS (k, failures)")
+    summary = summary.withColumn("of", _named(rules)).select("of.*", "failures")
     return summary.withColumn("status", F.when(F.col("failures") > 0, severity).otherwise("pass"))
 
 
@@ -206,11 +216,11 @@ def violations(wh: Warehouse, kind: str, rules=RULES) -> DataFrame:
     """Violating values of all rules of one kind, ``(model, column, value, rows)``."""
     chosen = [r for r in rules if r[2] == kind]
     per_key, broken = _counted(wh, chosen)
-    found = F.array(*[
-        F.when(wrong, F.struct(F.lit(chosen[k][0]).alias("model"), F.lit(chosen[k][1]).alias("column"), value.alias("value"), n.cast("long").alias("rows")))
-        for k, (wrong, value, n) in broken.items()
-    ])
-    return per_key.select(F.inline(F.filter(found, lambda v: v.isNotNull())))
+    found = ", ".join(
+        f"IF({wrong}, named_struct('k', {k}, 'value', {value}, 'rows', {n}), NULL)" for k, (wrong, value, n) in broken.items()
+    )
+    rows = per_key.selectExpr(f"inline(array({found}))").filter("k IS NOT NULL")
+    return rows.withColumn("of", _named(chosen)).select("of.model", "of.column", "value", "rows")
 
 
 # Rules that the test tables break: each kind finds something when it is run over them.
