@@ -175,3 +175,19 @@ def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
+
+
+def test_expanded_months_keep_their_tasks(spark):
+    from revlens.config import TESTDATA_HORIZON
+    from revlens.plans import building_blocks as BB
+    from revlens.plans import marts as M
+    from revlens.plans.model import Warehouse
+
+    horizon = TESTDATA_HORIZON
+    assert horizon.months == 84
+    wh = Warehouse.from_testdata(spark, "/root/testdata/sf0.001", horizon)
+    # few bytes before they expand: adaptive execution would merge them, in a union to one task
+    assert M.subscription_months(wh).rdd.getNumPartitions() == 84
+    assert wh.ref("stg_invoices").rdd.getNumPartitions() == 84
+    assert M.revenue_with_lag(wh).rdd.getNumPartitions() == 84
+    assert BB.op_union_all(wh).rdd.getNumPartitions() >= 84
