@@ -8,7 +8,9 @@ import tempfile
 from decimal import Decimal
 
 from helpers import account, invoice, subscription, warehouse
+from revlens.config import TESTDATA_HORIZON
 from revlens.plans import quality as Q
+from revlens.plans.model import Warehouse
 from revlens.sources.files import load_report, read_raw
 
 
@@ -103,3 +105,16 @@ def test_severity_warn_reports_and_error_blocks(spark):
     assert any(r["status"] == "warn" for r in rows)
     with pytest.raises(Q.QualityError):
         Q.enforce(Q.run_checks(wh, rules, severity="error"))
+
+
+def test_amount_check_is_staged_once(spark):
+    wh = warehouse(
+        spark,
+        raw_accounts=[account("a")], raw_subscriptions=[subscription("s", "a", "2025-01-01")],
+        raw_invoices=[invoice("i1", "s", "a", "2025-01-01", -5.25), invoice("i2", "s", "a", "2025-02-01", 7), ("i3", "s", "a", "2025-03-01", None, "Paid")],
+    )
+    found = Q.non_negative_amounts(wh)
+    assert [tuple(r)[:2] + (float(r["amount"]),) for r in found.collect()] == [("i1", "a", -5.25)]
+    tables = Warehouse.from_testdata(spark, "/root/testdata/sf0.001", TESTDATA_HORIZON)
+    plan = Q.non_negative_amounts(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("finer than a cent") == 2  # once a branch: the filter does not repeat the cast
