@@ -64,3 +64,13 @@ def test_targets_of_many_sources(spark):
     got = {r["source"]: r["target"] for r in mixing.targets(spark, totals).collect()}
     want = brute_targets(sizes)
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    import re
+
+    texts = [None, "", " ", "a", " a", "a ", "w ww w", "a\tb\nc\x0bd\x0ce\rf", "\x0e \x1f\xa0 \u2003x", "\U0001f600 \U0001f600\U0001f600", "$1 \\ w", "x " * 30_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").select("doc_id", mixing.words().alias("n"))
+    expected = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n"] for r in rows.collect()} == expected
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
