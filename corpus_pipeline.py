@@ -7,6 +7,7 @@
 5. best-fit packing: token sequences, a row per piece with its token ids.
 
 Stages 1 to 4 return the columns of their input, the last the pieces with their places and ids.
+They share the executors and their Python workers, so each bounds the batches that go there by bytes.
 """
 
 from __future__ import annotations
@@ -14,26 +15,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from revlens.llm import exact_dedup, language_id, mixing, near_dup, packing
-from revlens.llm.common import stored
+from revlens.llm.common import bound_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return language_id.keep_identified(spark, docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return exact_dedup.keep_one(spark, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return near_dup.keep_one(spark, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return mixing.repeat(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(spark, docs)
 
 

@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 
 from revlens.session import scratch_dir
 
+#: Bytes of rows that a task and its Python worker exchange at once.
+BATCH_BYTES = 4 << 20
+
 
 def stored(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
@@ -28,6 +31,17 @@ def stored(spark: SparkSession, df: DataFrame, name: str, compression: str = "sn
     return back
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, however long the rows are.
+
+    Spark's own bounds are 10,000 rows and 64 MB. The JVM and the worker of every task each hold a
+    batch, and keep much of the memory for later steps. A bound that the session has set stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the tables of ``stored`` frames that nothing reads any more, and their shuffle files."""
     for df in frames:

@@ -22,6 +22,7 @@ returned as they were by ``repeat``, whatever their names.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,9 @@ def weighed(spark: SparkSession, totals: DataFrame) -> DataFrame:
     for number, n in counts:
         starts.append((number, before))
         before += n
-    starts = F.broadcast(spark.createDataFrame(starts, "range int, start long"))  # a row per task at most
+    # a row per task at most; from Arrow it is a local relation, from a list Python workers would make it
+    starts = pa.table({"range": pa.array([s[0] for s in starts], pa.int32()), "start": pa.array([s[1] for s in starts], pa.int64())})
+    starts = F.broadcast(spark.createDataFrame(starts))
     at = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (at % len(WEIGHTS) + 1).cast("int"))
     return ranged.join(starts, "range").select("source", "source_size", weight.alias("weight"))

@@ -74,3 +74,12 @@ def test_words_are_counted_without_a_list_of_them(spark):
     expected = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
     assert {r["doc_id"]: r["n"] for r in rows.collect()} == expected
     assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_place_of_ranges_is_a_local_relation(spark):
+    """From a list of rows it would be made by Python workers, which then stay in the executors."""
+    totals = spark.createDataFrame([("a", 3), ("b", 5), (None, 7)], "source string, source_size long")
+    weighed = mixing.weighed(spark, totals)
+    plan = weighed._jdf.queryExecution().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    assert {r["source"]: r["weight"] for r in weighed.collect()} == {"a": 3, "b": 1, None: 2}

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -163,3 +164,26 @@ def test_full_outputs_are_made(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "deduplicate", lambda *a, **k: deduplicate(*a, **k).withColumn("kept", F.lit(b"x")))
     assert {r["ids_crc32"] for r in queries.op2_best_fit_packing(spark, DATA).collect()} == {zlib.crc32(b"\1\0\0\0")}
     assert len({r["kept_sha256"] for r in queries.op8_suffix_dedup(spark, DATA).collect()}) == 1
+
+
+def test_stages_bound_the_batches_of_workers(spark, make_docs):
+    """Long rows go to a Python worker a few megabytes at once, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    few = make_docs([(k, f"some words of text number {k}") for k in range(20)])
+    long_rows = spark.range(4000).coalesce(1).selectExpr("id", "repeat('x', 4000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    def largest():
+        return max(r["bytes"] for r in long_rows.mapInArrow(sizes, "bytes long").collect())
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, few, DATA)
+        assert largest() < 5 << 20, name
+    spark.conf.set(key, str(1 << 20))
+    corpus_pipeline.mix(spark, few, DATA)
+    assert largest() < 2 << 20
+    spark.conf.unset(key)
