@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.config import TESTDATA_HORIZON
 from revlens.operators.median import exact_median
+from revlens.operators.spine import deal_out
 from revlens.session import scratch_dir
 
 
@@ -191,3 +193,20 @@ def test_expanded_months_keep_their_tasks(spark):
     assert wh.ref("stg_invoices").rdd.getNumPartitions() == 84
     assert M.revenue_with_lag(wh).rdd.getNumPartitions() == 84
     assert BB.op_union_all(wh).rdd.getNumPartitions() >= 84
+
+
+@pytest.mark.parametrize("shuffles,initial,tasks", [("8", None, 84), ("84", None, 85), ("100", None, 101), ("100", "101", 102), ("8", "84", 85)])
+def test_dealt_out_rows_stay_in_a_set_number_of_tasks(spark, shuffles, initial, tasks):
+    """Also where the rows lie by the same key in as many partitions: these could be merged."""
+    keys = {"spark.sql.shuffle.partitions": shuffles, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": initial}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            _ = spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        by_account = spark.range(500).selectExpr("id % 50 AS account_id").groupBy("account_id").count()
+        dealt = deal_out(by_account, "account_id", TESTDATA_HORIZON)
+        assert dealt.rdd.getNumPartitions() == tasks
+        assert sorted(r["account_id"] for r in dealt.collect()) == list(range(50))
+    finally:
+        for k, v in old.items():
+            _ = spark.conf.unset(k) if v is None else spark.conf.set(k, v)
