@@ -195,7 +195,7 @@ def test_expanded_months_keep_their_tasks(spark):
     assert BB.op_union_all(wh).rdd.getNumPartitions() >= 84
 
 
-@pytest.mark.parametrize("shuffles,initial,tasks", [("8", None, 84), ("84", None, 85), ("100", None, 101), ("100", "101", 102), ("8", "84", 85)])
+@pytest.mark.parametrize("shuffles,initial,tasks", [("8", None, 84), ("84", None, 168), ("100", None, 200), ("100", "200", 201), ("8", "84", 85)])
 def test_dealt_out_rows_stay_in_a_set_number_of_tasks(spark, shuffles, initial, tasks):
     """Also where the rows lie by the same key in as many partitions: these could be merged."""
     keys = {"spark.sql.shuffle.partitions": shuffles, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": initial}
