@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 import pytest
 from helpers import account, raw_frames, subscription
@@ -233,3 +234,16 @@ def test_layout_of_a_table_without_statistics(spark, database):
     catalog.publish(spark.range(10).withColumn("k", F.col("id") % 2), "t", Layout(("k",)), analyze=False)
     assert catalog.table("t").where("k = 1").count() == 5 and "k=1" in catalog.folder_of("t") + "/k=1"
     assert catalog.table("t").columns == ["id", "k"]
+
+
+def test_bucketed_partitions_are_written_by_many_tasks(spark, database, tmp_path):
+    """A file for each partition and bucket, and no task that writes a whole bucket of the table."""
+    catalog = TableCatalog(spark, database, str(tmp_path))
+    rows = spark.range(600).withColumn("k", F.col("id") % 12)
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        path = catalog.publish(rows, "t", Layout(("k",), ("id",), 2), analyze=False)
+    files = [(f.parent.name, f.name) for f in Path(path).glob("k=*/*.parquet")]
+    assert len(files) == 24
+    assert len({re.match(r"part-(\d+)", name)[1] for _, name in files}) > 2
+    back = spark.table(f"{database}.t")
+    assert sorted(r["id"] for r in back.collect()) == list(range(600))
