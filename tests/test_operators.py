@@ -210,3 +210,32 @@ def test_dealt_out_rows_stay_in_a_set_number_of_tasks(spark, shuffles, initial,
     finally:
         for k, v in old.items():
             _ = spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_months_in_a_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """The tasks that expand months follow the accounts of the orders, on both sides of the revenue union."""
+    from revlens.operators import spine
+    from revlens.plans import marts as M
+    from revlens.plans.model import Warehouse
+
+    rows = "id, id % 200 AS o_custkey, 'F' AS o_orderstatus, 10.0D AS o_totalprice, '1-URGENT' AS o_orderpriority"
+    day = "CAST(date_add(DATE'2000-01-01', CAST(id % 700 AS INT)) AS timestamp_ntz)"
+    spark.range(2000).selectExpr(*rows.split(", "), f"{day} AS o_orderdate").withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(200).selectExpr(
+        "id AS c_custkey", "'c' AS c_name", "0 AS c_nationkey", "1.0D AS c_acctbal", "'BUILDING' AS c_mktsegment"
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 0 AS r_regionkey, 'r' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(5).selectExpr("id AS l_orderkey", "CAST(DATE'2001-01-01' AS timestamp_ntz) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    wh = Warehouse.from_testdata(spark, str(tmp_path))
+    assert wh.horizon.months == 24 and 160 <= wh.horizon.accounts <= 240
+    whole = sorted(map(tuple, M.revenue_with_lag(wh).collect()), key=str)
+    assert M.subscription_months(wh).rdd.getNumPartitions() == 24
+
+    monkeypatch.setattr(spine, "MONTHS_IN_TASK", 48)
+    tasks = -(-wh.horizon.accounts // 2)
+    again = Warehouse.from_testdata(spark, str(tmp_path))
+    assert M.subscription_months(again).rdd.getNumPartitions() == tasks > 24
+    assert again.ref("stg_invoices").rdd.getNumPartitions() == tasks
+    assert M.revenue_with_lag(again).rdd.getNumPartitions() == tasks  # neither side is dealt anew
+    assert sorted(map(tuple, M.revenue_with_lag(again).collect()), key=str) == whole
