@@ -239,3 +239,25 @@ def test_months_in_a_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatc
     assert again.ref("stg_invoices").rdd.getNumPartitions() == tasks
     assert M.revenue_with_lag(again).rdd.getNumPartitions() == tasks  # neither side is dealt anew
     assert sorted(map(tuple, M.revenue_with_lag(again).collect()), key=str) == whole
+
+
+def test_customers_are_read_by_their_own_tasks(spark, tmp_path):
+    """The nations are broadcast to the customers also when adaptive execution plans anew, never the customers to the one task of the nations."""
+    from revlens.sources.testdata import TestdataRaw
+
+    spark.range(3000).selectExpr(
+        "id AS o_orderkey", "id % 900 AS o_custkey", "'F' AS o_orderstatus", "10.0D AS o_totalprice",
+        "CAST(date_add(DATE'2000-01-01', CAST(id % 700 AS INT)) AS timestamp_ntz) AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0, 1000, 1, 4).selectExpr(
+        "id AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 30 AS INT) AS c_nationkey", "1.0D AS c_acctbal", "'BUILDING' AS c_mktsegment"
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 25, 1, 1).selectExpr(
+        "CAST(id AS INT) AS n_nationkey", "concat('n', id) AS n_name", "CAST(id % 5 AS INT) AS n_regionkey"
+    ).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(0, 5, 1, 1).selectExpr("CAST(id AS INT) AS r_regionkey", "concat('r', id) AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    raw = TestdataRaw(spark, str(tmp_path))
+    for df, rows in ((raw.raw_subscriptions(), 750), (raw.raw_accounts(), 750), (raw.raw_crm_deals(), 2500)):
+        assert len(df.collect()) == rows
+        joins = [line for line in plan_text(df).partition("Initial Plan")[0].splitlines() if "c_nationkey" in line and "Join [" in line]
+        assert joins and all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins)
